@@ -29,7 +29,7 @@ from .units import UnitCache, split_units
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Distinct units that one Python worker remembers.
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 600_000
 
 
 def byte_alphabet() -> list[str]:

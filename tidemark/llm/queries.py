@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk, urlfilter
 from .common import scratch_path, table
 
 
@@ -27,5 +28,35 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_token_store": op2_token_store, "op4_bpe": op4_bpe}
-ORACLES: dict[str, str] = {}
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmlextract import page_texts
+
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_of
+
+    return language_of(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_html": op1_html, "op2_token_store": op2_token_store, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op7_pii": op7_pii, "op10_language": op10_language}
+ORACLES: dict[str, str] = {"op3_topk": topk.oracle(), "op5_urls": urlfilter.oracle()}

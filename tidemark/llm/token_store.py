@@ -37,7 +37,7 @@ MIN_IDS, MEAN_IDS, MAX_IDS = 256, 1024, 8192
 _WINDOW = 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct units whose ids one Python worker remembers, and characters encoded at a time.
-CACHE_UNITS, SLICE_CHARS = 1_500_000, 4_000_000
+CACHE_UNITS, SLICE_CHARS = 700_000, 4_000_000
 
 _OBJECT = "kind string, key binary, doc_id long, n_tokens long, payload binary"
 
