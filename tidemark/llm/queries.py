@@ -52,11 +52,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language_of
 
     return language_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_html": op1_html, "op2_token_store": op2_token_store, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op7_pii": op7_pii, "op10_language": op10_language}
+QUERIES = {"op1_html": op1_html, "op2_token_store": op2_token_store, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op10_language": op10_language}
 ORACLES: dict[str, str] = {"op3_topk": topk.oracle(), "op5_urls": urlfilter.oracle()}
