@@ -19,8 +19,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
-from functools import lru_cache
+from array import array
+from functools import lru_cache, reduce
 from hashlib import sha256
 
 import numpy as np
@@ -37,8 +39,9 @@ MIN_IDS, MEAN_IDS, MAX_IDS = 256, 1024, 8192
 _WINDOW = 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct units whose ids one Python worker remembers, and characters encoded at a time.
-CACHE_UNITS, SLICE_CHARS = 700_000, 4_000_000
+CACHE_UNITS, SLICE_CHARS = 1_000_000, 4_000_000
 
+_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 _OBJECT = "kind string, key binary, doc_id long, n_tokens long, payload binary"
 
 
@@ -50,13 +53,20 @@ def _library(path: str):
     return tokenizer, {}, {}, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
-def _fill(tokenizer, known: dict, pieces: list[str], lead: str, limit: int) -> None:
-    new = list({p for p in pieces if p not in known})
+def _fill(tokenizer, known: dict, needed: set[str], lead: str, limit: int) -> None:
+    new = list(needed - known.keys())
     if len(known) + len(new) > limit:
         known.clear()
-        new = list(set(pieces))
-    for p, e in zip(new, tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-        known[p] = np.array(e.ids, dtype="<u4").tobytes()
+        new = list(needed)
+    # Letters and the punctuation after them are pre-tokens of their own: both parts are shared by many units.
+    parts = {p: m.groups() for p, m in zip(new, map(_WORD_AND_MARKS, new)) if m}
+    stems = {w for w, _ in parts.values()} - known.keys()
+    alone = list(stems.union(p for p in new if p not in parts))
+    for p, e in zip(alone, tokenizer.encode_batch_fast([lead + p for p in alone], add_special_tokens=False)):
+        known[p] = array("I", e.ids).tobytes()
+    marks = {t: array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in {t for _, t in parts.values()}}
+    for p, (stem, tail) in parts.items():
+        known[p] = known[stem] + marks[tail]
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
@@ -68,11 +78,12 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     tokenizer, first, later, added = _library(path)
     whole = {i for i, t in enumerate(texts) if any(a in t for a in added)}
     pieces = [[""] if i in whole else split_units(t) for i, t in enumerate(texts)]
-    _fill(tokenizer, first, [p[0] for p in pieces], "", CACHE_UNITS // 4)
-    _fill(tokenizer, later, [u for p in pieces for u in p[1:]], " ", CACHE_UNITS)
-    out = [first[p[0]] + b"".join(map(later.__getitem__, p[1:])) for p in pieces]
+    heads = [p.pop(0) for p in pieces]
+    _fill(tokenizer, first, set(heads), "", CACHE_UNITS // 4)
+    _fill(tokenizer, later, set().union(*pieces), " ", CACHE_UNITS)
+    out = [first[h] + b"".join(map(later.__getitem__, p)) for h, p in zip(heads, pieces)]
     for i in whole:
-        out[i] = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        out[i] = array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
     return out
 
 
@@ -207,15 +218,18 @@ def _ids(payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, dtype="<u2" if payload[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
-def _crc_table():
+def _times(matrix: list[int], bits: int) -> int:
+    return reduce(lambda a, i: a ^ matrix[i], (i for i in range(32) if bits >> i & 1), 0)
+
+
+def _crc_table() -> list[list[int]]:
     """Row k: what 2**k zero bytes after it do to each bit of a crc."""
     step = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
-    times = lambda m, v: __import__("functools").reduce(lambda a, i: a ^ m[i], (i for i in range(32) if v >> i & 1), 0)
     rows = []
     for k in range(48 + 3):
         if k >= 3:
             rows.append(step)
-        step = [times(step, s) for s in step]
+        step = [_times(step, s) for s in step]
     return rows
 
 
@@ -227,11 +241,7 @@ def crc_join(first: int, second: int, length: int) -> int:
     k = 0
     while length:
         if length & 1:
-            row, out = _SHIFTS[k], 0
-            for i in range(32):
-                if first >> i & 1:
-                    out ^= row[i]
-            first = out
+            first = _times(_SHIFTS[k], first)
         length >>= 1
         k += 1
     return first ^ second
