@@ -46,6 +46,12 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
@@ -64,5 +70,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_html": op1_html, "op2_token_store": op2_token_store, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op10_language": op10_language}
+QUERIES = {"op1_html": op1_html, "op2_token_store": op2_token_store, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op10_language": op10_language}
 ORACLES: dict[str, str] = {"op3_topk": topk.oracle(), "op5_urls": urlfilter.oracle()}
