@@ -64,11 +64,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language_of
 
     return language_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_html": op1_html, "op2_token_store": op2_token_store, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op10_language": op10_language}
+QUERIES = {"op1_html": op1_html, "op2_token_store": op2_token_store, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_substrings": op9_substrings, "op10_language": op10_language}
 ORACLES: dict[str, str] = {"op3_topk": topk.oracle(), "op5_urls": urlfilter.oracle()}
