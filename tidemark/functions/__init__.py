@@ -1 +1 @@
-"""functions."""
+"""Column expressions: geometry, profiles, waves, climate, labels, identifiers."""

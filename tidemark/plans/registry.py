@@ -1,5 +1,10 @@
 """All queries outside the training-data subpackage."""
 
+from __future__ import annotations
+
+from . import survey_queries, wave_queries
+
 FLAGSHIP = "wave_site_summary"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+_ALL = {**wave_queries.QUERIES, **survey_queries.QUERIES}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
