@@ -18,7 +18,7 @@ bytes, with the common prefixes carried along.
 
 Spread.  Anchors with equal surroundings prove each other repeated without being
 compared, so of many copies one is sorted.  A range partitioning by (context,
-surroundings) spreads them, whatever one context's share.  A context with more
+surroundings, place) spreads them, whatever one surrounding's share.  A context with more
 than ``MAX_GROUP`` different surroundings is not gathered: the strings around
 its anchors are counted one by one (same results, tested with a small limit).
 
@@ -435,7 +435,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT
     texts = _identified(docs)
     rows = texts.select("did", "th", "text").mapInPandas(lambda b: _anchor_rows(b, length, context), _ANCHOR)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sifted = rows.repartitionByRange(n, "context", "around").sortWithinPartitions("context", "around").mapInPandas(_sift, "kind string, " + _ANCHOR)
+    sifted = rows.repartitionByRange(n, "context", "around", "did", "pos").sortWithinPartitions("context", "around").mapInPandas(_sift, "kind string, " + _ANCHOR)
     sifted = materialize(sifted, "anchors")
     _release(spark)
     to_sort = sifted.where("kind = 'sort'").groupBy("did", "th").agg(F.collect_list(F.struct("context", "pos")).alias("places"))  # of one document
