@@ -87,5 +87,5 @@ def ordinal(date: Column) -> Column:
 
 def colour(r: Column, g: Column, b: Column) -> Column:
     """``rgb(r,g,b)`` from channels in 0..1; a missing channel is 128."""
-    byte = lambda c: F.coalesce(F.least(F.greatest((c * 255).cast("int"), F.lit(0)), F.lit(255)), F.lit(128))
+    byte = lambda c: F.least(F.greatest(F.coalesce((c * 255).cast("int"), F.lit(128)), F.lit(0)), F.lit(255))
     return F.format_string("rgb(%d,%d,%d)", byte(r), byte(g), byte(b))
