@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,34 @@ def split_by_bytes(values: list, limit: int):
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Bits that an id filter may have (32 MB), and bits an id.
+FILTER_BITS, BITS_AN_ID = 1 << 28, 16
+
+
+def likely_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key is in ``ids`` (one column), and a few others.
+
+    A bitmap of hashed ids, made by one aggregation, lets the scan drop rows
+    before a shuffle.  Its size is bounded; where the ids are too many for the
+    bound, ``df`` comes back as it is.  An exact join must follow.
+    """
+    spark = df.sparkSession
+    bits = 1 << (BITS_AN_ID * max(1, ids.count()) - 1).bit_length()
+    if bits > FILTER_BITS:
+        return df
+    (name,) = ids.columns
+    marks = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(name, F.lit(k)), F.lit(bits)) for k in (1, 2)])).alias("h"))
+    words = marks.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toPandas()
+    bitmap = np.zeros(max(1, bits >> 6), np.int64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def marked(a: pd.Series, b: pd.Series) -> pd.Series:
+        m = shared.value
+        hit = lambda h: (m[h.to_numpy() >> 6] >> (h.to_numpy() & 63)) & 1
+        return pd.Series((hit(a) & hit(b)) == 1)
+
+    return df.where(marked(*[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in (1, 2)]))

@@ -16,8 +16,9 @@ below, hence their overlap from above; only pairs that pass are intersected.
 
 Groups.  Only connectivity is asked for, so a tile never emits all its pairs:
 first each member is held against the tile's smallest id; tiles that still hold
-several components are searched again with bitmaps, first for a spanning set of
-likely links, then for every remaining pair between different components.
+several components are searched again with bitmaps, large ones first for a
+spanning set of likely links, then all for every remaining pair between
+different components.
 Tiles above ``BLOCK`` members are cut into pairs of blocks.
 
 Results for unusual input: null and empty texts have no set and are their own
@@ -38,12 +39,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, split_by_bytes, text_or_empty
+from .common import likely_in, materialize, split_by_bytes, text_or_empty
 from .graph import connected_components
 from .shingles import mix, shingle_sets
 
 #: Characters handled at a time, bits of a bitmap an element, members of a block of a tile.
 SLICE_CHARS, BITS, BLOCK = 1_000_000, 4, 4096
+#: Tiles above this are searched for a spanning set before all their pairs.
+SPAN_FIRST = 32
 
 
 def band(n: int) -> int:
@@ -174,26 +177,34 @@ def _distinct_tiles(shared: DataFrame, least: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link: bitmaps first, then the exact intersection."""
+    """Those of the pairs (a, b) that link: bitmaps first, then the exact intersection of what passes."""
 
-    def exact(batches):
+    def bounded(batches):
         for b in batches:
             keep = []
-            for m1, m2, s1, s2 in zip(b["bits_a"], b["bits_b"], b["set_a"], b["set_b"]):
-                n1, n2 = len(s1) // 8, len(s2) // 8
+            for n1, n2, m1, m2 in zip(b["n_a"], b["n_b"], b["bits_a"], b["bits_b"]):
                 m1, m2 = np.frombuffer(m1, np.uint64), np.frombuffer(m2, np.uint64)
                 width = min(len(m1), len(m2))
-                differing = int(np.bitwise_count(fold(m1, width) ^ fold(m2, width)).sum())
-                if not may_link(n1, n2, differing, percent):
-                    keep.append(False)
-                    continue
+                keep.append(bool(may_link(n1, n2, int(np.bitwise_count(fold(m1, width) ^ fold(m2, width)).sum()), percent)))
+            yield b.loc[keep, ["a", "b"]]
+
+    def exact(batches):
+        for b in batches:
+            keep = []
+            for s1, s2 in zip(b["set_a"], b["set_b"]):
                 overlap = len(np.intersect1d(np.frombuffer(s1, "<u8"), np.frombuffer(s2, "<u8"), assume_unique=True))
-                keep.append(100 * overlap >= percent * (n1 + n2 - overlap))
+                keep.append(100 * overlap >= percent * ((len(s1) + len(s2)) // 8 - overlap))
             yield b.loc[keep, ["a", "b"]]
 
-    left = sets.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"), F.col("set").alias("set_b"))
-    return pairs.join(right, "b").join(left, "a").mapInPandas(exact, "a long, b long")
+    def with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+        for side in ("b", "a"):
+            own = table.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+            pairs = pairs.join(own, side)
+        return pairs
+
+    passing = materialize(with_both(pairs, sets, ["n", "bits"]).mapInPandas(bounded, "a long, b long"), "passing")
+    ends = passing.select(F.col("a").alias("id")).union(passing.select("b")).distinct()
+    return with_both(passing, likely_in(sets.select("id", "set"), "id", ends), ["set"]).mapInPandas(exact, "a long, b long")
 
 
 def _tile_pairs(ids, comp, sizes, bits, side, percent: int, every: bool):
@@ -284,12 +295,13 @@ def link_classes(docs: DataFrame, shingle: int, percent: int, block: int = BLOCK
     stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(_linked(stars, sets, percent), "links").unionByName(tie)
     labels = connected_components(links)
-    larger = members.where("members > 2").select("tile", "members", "id")
-    for every in (False, True):
+    # Large tiles are first searched for a spanning set, so that few of their pairs are left.
+    for least, every in ((SPAN_FIRST, False), (2, True)):
         _release(spark)
-        pairs = materialize(_candidates(larger, sets, labels, percent, every, block), "pairs")
+        tiles_left = members.where(F.col("members") > least).select("tile", "members", "id")
+        pairs = materialize(_candidates(tiles_left, sets, labels, percent, every, block), "pairs")
         if pairs.isEmpty():
-            break
+            continue
         more = materialize(_linked(pairs, sets, percent), "links")
         links = links.unionByName(more)
         labels = connected_components(links)
@@ -310,7 +322,7 @@ def _sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
-    return texts.join(needed, "id").mapInPandas(make, "id long, n long, bits binary, set binary")
+    return likely_in(texts, "id", needed).join(needed, "id").mapInPandas(make, "id long, n long, bits binary, set binary")
 
 
 def jaccard_components(docs: DataFrame, shingle: int, percent: int, block: int = BLOCK) -> DataFrame:
