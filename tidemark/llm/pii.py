@@ -356,7 +356,8 @@ def redact(docs: DataFrame) -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
     )
-    found = with_spans(docs)
-    clean = F.when(F.size("_spans") > 0, folded).otherwise(t)
-    columns = [clean.alias("text") if c == "text" else F.length(clean).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*columns)
+    found = with_spans(docs).withColumn("_clean", F.when(F.size("_spans") > 0, folded).otherwise(t))
+    new = {"text": F.col("_clean").alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("_clean").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return found.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])

@@ -166,7 +166,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     encoded.repartition(n, "kind", "key").sortWithinPartitions("kind", "key").dropDuplicates(["kind", "key"]).write.partitionBy("kind").parquet(f"{path}/objects")
 
-    recipes = spark.read.schema(_OBJECT.replace("kind string, ", "")).parquet(f"{path}/objects/kind=recipe")
+    recipes = _read(spark, path, "recipe")
     ordered = recipes.select("doc_id", "n_tokens", F.col("payload").alias("addresses"))
     (
         ordered.repartitionByRange(max(1, n // 4), "doc_id", "addresses")
@@ -208,6 +208,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     ).coalesce(1).write.parquet(f"{path}/manifest")
 
 
+def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(_OBJECT).parquet(f"{path}/objects").where(F.col("kind") == kind)
+
+
 def store_root(spark: SparkSession, path: str) -> str:
     """Hexadecimal Merkle root of a store, from its manifest (one row for each slice)."""
     rows = spark.read.parquet(f"{path}/manifest").orderBy("start", "part").collect()
@@ -264,7 +268,7 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((address, len(ids), zlib.crc32(ids.tobytes())))
             yield pd.DataFrame(rows, columns=["address", "n_ids", "crc"])
 
-    chunks = spark.read.schema("key binary, payload binary").parquet(f"{path}/objects/kind=chunk")
+    chunks = _read(spark, path, "chunk").select("key", "payload")
     chunks = chunks.mapInPandas(facts, "address binary, n_ids long, crc long")
     recipes = spark.read.parquet(f"{path}/recipes").drop("part")
     places = F.transform(F.sequence(F.lit(0), (F.length("addresses") / 32).cast("int") - 1), lambda i: F.substring(F.col("addresses"), i * 32 + 1, F.lit(32)))
@@ -302,7 +306,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 {"doc_id": b["doc_id"], "start": b["start"], "token_ids": [np.concatenate([_ids(p["payload"]) for p in sorted(parts, key=lambda p: p["seq"])]) for parts in b["parts"]]}
             )
 
-    chunks = spark.read.schema("key binary, payload binary").parquet(f"{path}/objects/kind=chunk").withColumnRenamed("key", "address")
+    chunks = _read(spark, path, "chunk").select("key", "payload").withColumnRenamed("key", "address")
     recipes = spark.read.parquet(f"{path}/recipes")
     places = F.transform(F.sequence(F.lit(0), (F.length("addresses") / 32).cast("int") - 1), lambda i: F.substring(F.col("addresses"), i * 32 + 1, F.lit(32)))
     named = recipes.select("doc_id", "start", F.posexplode(places).alias("seq", "address"))

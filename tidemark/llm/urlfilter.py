@@ -80,16 +80,12 @@ def _by_suffix(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same verdicts from an equi-join of every host suffix with the rules' hosts."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    row = F.monotonically_increasing_id()
-    urls = urls.withColumn("_key", row)
-    hit = urls.select("_key", "path", F.explode(suffixes).alias("rule_host")).join(rules, "rule_host").where(F.expr("startswith(path, rule_path)"))
-    size = F.length("rule_host") + F.length("rule_path")
-    best = hit.groupBy("_key").agg(
-        F.max_by(F.struct((F.concat("rule_host", "rule_path")).alias("rule"), F.col("rule_verdict").alias("verdict")), F.struct(size, F.length("rule_host"), F.col("rule_verdict") == "block")).alias("b")
-    )
-    return urls.join(best, "_key", "left").select(
-        *[c for c in urls.columns if c != "_key"], F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict")
-    )
+    each = urls.select("host", "path").distinct()
+    hit = each.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("rule_host")).join(rules, "rule_host").where(F.expr("startswith(path, rule_path)"))
+    rule = F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))
+    rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), F.col("rule_verdict") == "block")
+    best = hit.groupBy("host", "path").agg(F.max_by(rule, rank).alias("b"))
+    return urls.join(best, ["host", "path"], "left").select(*urls.columns, F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, default: str = DEFAULT, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
