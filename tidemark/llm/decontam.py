@@ -7,7 +7,10 @@ is laid along the document and the share of its words that agree in place is the
 similarity, so substitutions are tolerated wherever they fall.
 
 Words are runs of letters and digits, lower-cased; they are compared by their
-64-bit hashes.  All masks begin with two neighbouring words, and a document's
+64-bit hashes.  The masks are complete: any
+item with no more than a fifth of its words substituted keeps four words of one
+mask (four in a row, or two and two around a substitution; three and one in
+items of five words).  All masks hold two neighbouring words, and a document's
 places are first tested against the benchmark's word pairs, which keeps the
 seeds that are joined few.  While the benchmark holds at most ``max_seeds``
 seeds, both tests are broadcast; beyond it the seeds are joined by a shuffle and
@@ -25,14 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Places of each mask; 1 counts, 0 is ignored.
-MASKS = ("11111", "110111", "111011", "11011001", "11001011")
+#: Places of each mask from a pair of neighbouring words (0, 1) on; what lies between is ignored.
+MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
+#: Further masks that items of five words need.
+SHORT_MASKS = ((0, 1, 2, 4), (-2, 0, 1, 2))
 SIMILARITY = 0.8
 MIN_WORDS = 5
 MAX_SEEDS = 200_000
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
-_PLACES = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
 
 
 def word_hashes(text: Column) -> Column:
@@ -41,10 +45,10 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(h: Column, at: Column, k: int) -> Column:
-    """Hash of mask k's words from a place on; null beyond the text's end."""
-    places = _PLACES[k]
-    return F.when(at + places[-1] < F.size(h), F.xxhash64(F.lit(k), *[F.get(h, at + p) for p in places]))
+def _seed(h: Column, at: Column, places: tuple[int, ...]) -> Column:
+    """Hash of a mask's words around a place; null beyond the text's ends."""
+    inside = (at + places[0] >= 0) & (at + places[-1] < F.size(h))
+    return F.when(inside, F.xxhash64(F.lit(str(places)), *[F.get(h, at + p) for p in places]))
 
 
 def _pair(h: Column, at: Column) -> Column:
@@ -58,9 +62,11 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
     """seed, item_id, item, q: every mask at every place of every item."""
-    placed = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - MIN_WORDS)).alias("q"))
-    seeds = F.array(*[F.struct(_seed(F.col("item"), F.col("q"), k).alias("seed")) for k in range(len(MASKS))])
-    return placed.select("item_id", "item", "q", F.inline(seeds)).where(F.col("seed").isNotNull())
+    placed = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 2)).alias("q"))
+    item, q = F.col("item"), F.col("q")
+    seeds = [F.struct(_seed(item, q, m).alias("seed")) for m in MASKS]
+    seeds += [F.struct(F.when(F.size("item") == MIN_WORDS, _seed(item, q, m)).alias("seed")) for m in SHORT_MASKS]
+    return placed.select("item_id", "item", "q", F.inline(F.array(*seeds))).where(F.col("seed").isNotNull())
 
 
 def _laid(h: Column, item: Column, start: Column) -> Column:
@@ -79,11 +85,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """
     items = benchmark_items(benchmark)
     seeds = benchmark_seeds(items)
-    texts = docs.select("doc_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") >= MIN_WORDS)
-    places = F.sequence(F.lit(0), F.size("h") - MIN_WORDS)
+    texts = docs.select("doc_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") >= 2)
+    places = F.sequence(F.lit(0), F.size("h") - 2)
+    masks = MASKS if items.where(F.size("item") == MIN_WORDS).isEmpty() else MASKS + SHORT_MASKS
 
     def seeds_at(h: Column, at: Column) -> Column:
-        return F.array(*[F.struct(at.alias("p"), _seed(h, at, k).alias("seed")) for k in range(len(MASKS))])
+        return F.array(*[F.struct(at.alias("p"), _seed(h, at, m).alias("seed")) for m in masks])
 
     few = seeds.limit(max_seeds + 1).count() <= max_seeds
     if few:
@@ -93,7 +100,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
             known = [0]
         listed = ",".join(f"{v}L" if v > -(2**63) else "(-9223372036854775807L-1L)" for v in known)
         # Bound as a lambda's argument, the hashes are made once a row.
-        near = F.expr(f"transform(array(h), x -> filter(sequence(0, size(x) - {MIN_WORDS}), i -> xxhash64(x[i], x[i + 1]) in ({listed})))[0]")
+        near = F.expr(f"transform(array(h), x -> filter(sequence(0, size(x) - 2), i -> xxhash64(x[i], x[i + 1]) in ({listed})))[0]")
         held = texts.withColumn("near", near).where(F.size("near") > 0)
         found = F.flatten(F.transform("near", lambda i: seeds_at(F.col("h"), i)))
         hits = held.select("doc_id", "h", F.explode(found).alias("s")).select("doc_id", "h", "s.p", "s.seed").join(F.broadcast(seeds), "seed")
