@@ -54,14 +54,13 @@ def _library(path: str):
 
 
 def _fill(tokenizer, known: dict, needed: set[str], lead: str, limit: int) -> None:
-    new = list(needed - known.keys())
+    new = [p for p in needed if p not in known]
     if len(known) + len(new) > limit:
         known.clear()
         new = list(needed)
     # Letters and the punctuation after them are pre-tokens of their own: both parts are shared by many units.
     parts = {p: m.groups() for p, m in zip(new, map(_WORD_AND_MARKS, new)) if m}
-    stems = {w for w, _ in parts.values()} - known.keys()
-    alone = list(stems.union(p for p in new if p not in parts))
+    alone = [p for p in {w for w, _ in parts.values()}.union(new) if p not in parts and p not in known]
     for p, e in zip(alone, tokenizer.encode_batch_fast([lead + p for p in alone], add_special_tokens=False)):
         known[p] = array("I", e.ids).tobytes()
     marks = {t: array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in {t for _, t in parts.values()}}
@@ -80,8 +79,12 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     pieces = [[""] if i in whole else split_units(t) for i, t in enumerate(texts)]
     heads = [p.pop(0) for p in pieces]
     _fill(tokenizer, first, set(heads), "", CACHE_UNITS // 4)
-    _fill(tokenizer, later, set().union(*pieces), " ", CACHE_UNITS)
-    out = [first[h] + b"".join(map(later.__getitem__, p)) for h, p in zip(heads, pieces)]
+    found = [list(map(later.get, p)) for p in pieces]
+    holes = [(f, i, p[i]) for f, p in zip(found, pieces) if None in f for i in range(len(f)) if f[i] is None]
+    _fill(tokenizer, later, {unit for _, _, unit in holes}, " ", CACHE_UNITS)
+    for f, i, unit in holes:
+        f[i] = later[unit]
+    out = [first[h] + b"".join(f) for h, f in zip(heads, found)]
     for i in whole:
         out[i] = array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
     return out
