@@ -136,3 +136,14 @@ def test_empty_inputs(spark):
     assert profile.cliff_features(e, ["k"]).count() == 0
     assert stats.histogram(e, "elevation", 5).count() == 0
     assert stats.monthly_counts(spark.createDataFrame([], "d date"), "d", F.lit(True)).count() == 0
+
+
+def test_weighted_sample(spark):
+    from tidemark.operators import selection
+
+    rows = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 9.0)], "k long, w double")
+    got = [r["k"] for r in selection.weighted_sample(rows, "k", "w", 2000).collect()]
+    assert len(got) == 2000 and 1 not in got and 0.85 < got.count(3) / 2000 < 0.95
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    files = spark.createDataFrame([(1, 5), (2, 0)], "k int, n int")
+    assert {r["k"]: r["status"] for r in selection.availability(ids, files, "k", "n").collect()} == {1: "valid", 2: "invalid", 3: "missing"}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import labels as lab
-from ..operators import cube, joins, profile, samples, stats
+from ..operators import cube, joins, profile, samples, selection, stats
 from . import carriers as k
 from .wave_queries import _round
 
@@ -432,6 +432,62 @@ def expected_columns(spark, d):
 EXPECTED = "select 'sxy' as name"
 
 
+def pick_representatives(spark, d):
+    x = k.slumps(spark, d).select("event_id", "transect_idx", "volume")
+    return selection.representatives(x, ["transect_idx"], "volume", "event_id", 5)
+
+
+PICK_REPRESENTATIVES = f"""with {k.SLUMPS}, x as (select event_id, transect_idx, volume, row_number() over (partition by transect_idx order by volume, event_id) - 1 as r, greatest(floor(count(*) over (partition by transect_idx) / 5), 1)::bigint as step from slumps)
+select event_id, transect_idx, volume from x where (r - step // 2 + step) % step = 0 and r // step < 5"""
+
+
+def pick_middle(spark, d):
+    return selection.middle(k.slumps(spark, d).select("event_id", "transect_idx", "volume"), ["transect_idx"], "volume", "event_id")
+
+
+PICK_MIDDLE = f"""with {k.SLUMPS}, m as (select transect_idx, (min(volume) + max(volume)) / 2 as mid from slumps group by 1), r as (select s.transect_idx, event_id, volume, row_number() over (partition by s.transect_idx order by abs(volume - mid), event_id) as r from slumps s join m on s.transect_idx = m.transect_idx)
+select transect_idx, event_id, volume from r where r = 1"""
+
+
+def grid_lookup(spark, d):
+    p = k.points(spark, d).groupBy("las_source").agg(F.max("x").alias("x"), F.min("y").alias("y"))
+    grid = spark.range(100).select((F.col("id") % 10).cast("int").alias("row"), F.floor(F.col("id") / 10).cast("int").alias("col"), F.when(F.col("id") % 7 == 0, -9999.0).otherwise(F.col("id").cast("double")).alias("value"))
+    return selection.grid_values(p, grid, 0.0, 50.0, 12.0, -9999.0)
+
+
+GRID_LOOKUP = f"""with {k.POINTS}, p as (select las_source, max(x) as x, min(y) as y from points group by 1), q as (select *, cast(floor((50 - y) / 12.0) as integer) as row, cast(floor(x / 12.0) as integer) as col from p),
+g as (select cast(i % 10 as integer) as row, cast(i // 10 as integer) as col, case when i % 7 = 0 then null else i::double end as value from range(0, 100) t(i)) select q.row, q.col, las_source, x, y, g.value from q left join g on q.row = g.row and q.col = g.col"""
+
+
+def site_labels(spark, d):
+    return selection.candidate_labels(k.probes(spark, d).select("mop").distinct(), "mop")
+
+
+SITE_LABELS = f"with {k.PROBES}, m as (select distinct mop from probes) select mop, unnest(['D' || mop, 'D' || lpad(mop::varchar, 4, '0'), 'D' || lpad(mop::varchar, 5, '0')]) as label from m"
+
+
+def scan_coverage(spark, d):
+    c = k.climate(spark, d)
+    scans = c.where("day(date) = 1").select("beach", F.col("date").alias("scan_date"), F.concat_ws("/", "beach", "date").alias("scan"))
+    return selection.scan_coverage(scans, c, ["beach"], "scan_date", "date", 10, ["scan"])
+
+
+SCAN_COVERAGE = f"""with {k.CLIMATE}, s as (select beach, date as scan_date, beach || '/' || date as scan from climate where day(date) = 1), x as (select scan, count(c.date) as days from s left join (select distinct beach, date from climate) c on c.beach = s.beach and c.date between s.scan_date - 9 and s.scan_date group by 1)
+select scan, days, case when days = 10 then 'covered' when days > 0 then 'partial' else 'missing' end as status from x"""
+
+
+def wave_islands(spark, d):
+    return selection.islands(k.waves(spark, d), ["mop_id"], "ts", "hs", 8.0)
+
+
+WAVE_ISLANDS = f"""with {k.WAVES}, n as (select *, row_number() over (partition by mop_id order by ts) as n, count(*) over (partition by mop_id) as c from waves), h as (select *, n - row_number() over (partition by mop_id order by ts) as g from n where hs > 8)
+select mop_id, min(n) - 1 as first, count(*) as n_rows, max(hs) as peak from h group by mop_id, g having min(n) > 1 and max(n) < max(c)"""
+
+
+def weighted_draws(spark, d):
+    return selection.weighted_sample(k.slumps(spark, d).select("event_id", "volume"), "event_id", "volume", 300)
+
+
 QUERIES = {
     "beach_first_match": (beach_first_match, BEACH_FIRST), "beach_nearest": (beach_nearest, BEACH_NEAREST), "beach_counts": (beach_counts, BEACH_COUNTS), "study_area": (study_area, STUDY_AREA),
     "event_bracket": (event_bracket, EVENT_BRACKET), "event_asof_wave": (event_asof_wave, EVENT_ASOF), "event_forward_wave": (event_forward_wave, EVENT_FORWARD), "event_overlap": (event_overlap, EVENT_OVERLAP),
@@ -443,4 +499,6 @@ QUERIES = {
     "cube_change": (cube_change, CUBE_CHANGE), "cube_window_choice": (cube_window_choice, CUBE_WINDOW), "cube_labels": (cube_labels, CUBE_LABELS), "names_parsed": (names_parsed, NAMES_PARSED), "names_dated": (names_dated, NAMES_DATED),
     "label_progress": (label_progress, LABEL_PROGRESS), "class_weights": (class_weights, CLASS_WEIGHTS), "accuracy_by_class": (accuracy_by_class, ACCURACY), "range_rules": (range_rules, RANGE_RULES), "monotonic_rule": (monotonic_rule, MONOTONIC),
     "duplicate_rule": (duplicate_rule, DUPLICATE), "last_row_wins": (last_row_wins, LAST_ROW), "uncovered_events": (uncovered_events, UNCOVERED), "split_by_date": (split_by_date, SPLIT), "expected_columns": (expected_columns, EXPECTED),
+    "pick_representatives": (pick_representatives, PICK_REPRESENTATIVES), "pick_middle": (pick_middle, PICK_MIDDLE), "grid_lookup": (grid_lookup, GRID_LOOKUP), "site_labels": (site_labels, SITE_LABELS), "scan_coverage": (scan_coverage, SCAN_COVERAGE),
+    "wave_islands": (wave_islands, WAVE_ISLANDS), "weighted_draws": (weighted_draws, None),
 }
