@@ -7,12 +7,11 @@ is laid along the document and the share of its words that agree in place is the
 similarity, so substitutions are tolerated wherever they fall.
 
 Words are runs of letters and digits, lower-cased; they are compared by their
-64-bit hashes.  The masks are complete: any
-item with no more than a fifth of its words substituted keeps four words of one
-mask (four in a row, or two and two around a substitution; three and one in
-items of five words).  All masks hold two neighbouring words, and a document's
-places are first tested against the benchmark's word pairs, which keeps the
-seeds that are joined few.  While the benchmark holds at most ``max_seeds``
+64-bit hashes.  The masks are complete: an item with no more than a fifth of its
+words substituted keeps all words of one mask somewhere (four in a row, or two
+and two around a substitution; three and one in items of five words).  All masks
+hold two neighbouring words, and a document's places are first tested against
+the benchmark's word pairs, which keeps the seeds that are joined few.  While the benchmark holds at most ``max_seeds``
 seeds, both tests are broadcast; beyond it the seeds are joined by a shuffle and
 the hits meet their documents again (same results, tested).
 

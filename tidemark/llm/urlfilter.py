@@ -19,7 +19,6 @@ name stay as they are in ``judge``.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +46,12 @@ def reversed_key(host: str) -> str:
 
 def _sweep(batches, rules: list[tuple[str, str, str]], default: str):
     """rules: (verdict, host, path).  One pass over the sorted urls of each batch."""
-    nested = sorted({(reversed_key(h), h, p): (v, h, p) for v, h, p in sorted(rules, key=lambda r: r[0] != "block", reverse=True)}.items())
+    by_place = {}
+    for v, h, p in rules:  # of equal rules block wins
+        place = (reversed_key(h), h, p)
+        if by_place.get(place, ("",))[0] != "block":
+            by_place[place] = (v, h, p)
+    nested = sorted(by_place.items())
     for b in batches:
         hosts, paths = b["host"].tolist(), b["path"].tolist()
         keys = [reversed_key(h) for h in hosts]
