@@ -49,15 +49,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again.
 
     This cuts the lineage at a copy that survives the loss of executors, and
-    keeps column pruning for the readers that follow.
+    keeps column pruning for the readers that follow.  The shuffle files behind
+    it are dropped as soon as it is written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
