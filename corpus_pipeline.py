@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import bpe_digests
-from tidemark.llm.common import scratch_path, table
+from tidemark.llm.common import bounded_batches, scratch_path, table
 from tidemark.llm.decontam import decontaminate
 from tidemark.llm.jaccard import keep_first
 from tidemark.llm.langid import keep_identified
@@ -33,10 +33,12 @@ SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return keep_first(docs, SHINGLE, PERCENT)
 
 
@@ -49,6 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return bpe_digests(docs, tokenizer_path())
 
 

@@ -32,7 +32,7 @@ SAMPLE, EPOCHS, RATE = 3000, 4, 0.6
 #: Share of correct held-back predictions that rejection must keep.
 KEEP = 0.999
 #: Characters handled at a time.
-SLICE_CHARS = 500_000
+SLICE_CHARS = 150_000
 
 
 @lru_cache(maxsize=1)
