@@ -56,9 +56,9 @@ select * from x where epoch_before < epoch_after"""
 
 
 def event_asof_wave(spark, d):
-    """The last wave at the site before each slump's hour, both of January 2024."""
+    """The last high wave at the site before each event; every event is a probe."""
     w = k.waves(spark, d)
-    probe = w.where("event_id % 50 = 0").select(F.col("event_id").alias("probe"), "mop_id", F.col("ts").alias("at"))
+    probe = w.select(F.col("event_id").alias("probe"), "mop_id", F.col("ts").alias("at"))
     return joins.asof_join(probe, w.where("hs >= 20"), ["mop_id"], "at", "ts", ["ts", "hs"], strict=True)
 
 
@@ -68,7 +68,7 @@ select p.probe, p.mop_id, p.at, h.ts, h.hs from p left join m on p.probe = m.pro
 
 def event_forward_wave(spark, d):
     w = k.waves(spark, d)
-    probe = w.where("event_id % 50 = 0").select(F.col("event_id").alias("probe"), "mop_id", F.col("ts").alias("at"))
+    probe = w.select(F.col("event_id").alias("probe"), "mop_id", F.col("ts").alias("at"))
     return joins.asof_join(probe, w.where("hs >= 20"), ["mop_id"], "at", "ts", ["ts", "hs"], direction="forward")
 
 
