@@ -3,7 +3,7 @@
 from oracle import same_as_oracle
 
 from tidemark.plans import carriers as k
-from tidemark.plans.registry import QUERIES
+from tidemark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +17,9 @@ def test_every_event_has_its_asof_row(spark):
         sql = f"with {k.WAVES}, h as (select * from waves where hs >= 20) select w.event_id as probe, w.mop_id, w.ts as at, h.ts, h.hs from waves w asof left join h on w.mop_id = h.mop_id and w.ts {sign} h.ts"
         whole(spark, name, sql)
         assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_every_event_is_a_scan(spark):
+    for name in ("wave_lookback", "wave_lookback_filled"):
+        whole(spark, name, ORACLES[name].replace(" where event_id % 500 = 0", ""))
+        assert QUERIES[name](spark, SF).count() == 20 * spark.read.parquet(f"{SF}/events.parquet").count()

@@ -67,7 +67,7 @@ WAVE_RESAMPLE = f"""with {k.WAVES} select mop_id, time_bucket(interval '6 hours'
 
 def wave_lookback(spark, d):
     x = k.waves(spark, d)
-    scans = x.where("event_id % 500 = 0").select(F.col("event_id").alias("scan"), "mop_id", F.col("ts").alias("scan_ts"))
+    scans = x.select(F.col("event_id").alias("scan"), "mop_id", F.col("ts").alias("scan_ts"))
     return _round(series.lookback_slots(scans, x, ["mop_id"], "scan_ts", "ts", "hs", 20, 6, ["scan"]), "hs")
 
 
