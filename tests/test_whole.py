@@ -23,3 +23,9 @@ def test_every_event_is_a_scan(spark):
     for name in ("wave_lookback", "wave_lookback_filled"):
         whole(spark, name, ORACLES[name].replace(" where event_id % 500 = 0", ""))
         assert QUERIES[name](spark, SF).count() == 20 * spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_every_source_and_point_is_binned_and_normalised(spark):
+    for name, part in (("points_voxels", " where las_source <= 20"), ("points_normalised", " where y >= 49")):
+        whole(spark, name, ORACLES[name].replace(part, ""))
+        assert QUERIES[name](spark, SF).agg({"n": "sum"}).first()[0] == k.points(spark, SF).count()

@@ -142,7 +142,7 @@ POINTS_BBOX = f"with {k.POINTS} select las_source, count(*) as n, min(x) as x_mi
 
 
 def points_normalised(spark, d):
-    x = k.points(spark, d).where("y >= 49")
+    x = k.points(spark, d)
     top = x.groupBy("las_source").agg(F.max("intensity").alias("top"))
     n = x.join(top, "las_source").select("las_source", (F.col("intensity") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias("v"))
     return _round(n.groupBy("las_source").agg(F.avg("v").alias("mean"), F.count("*").alias("n")), "mean")
@@ -182,7 +182,7 @@ POINTS_DOMINANT = f"with {k.POINTS}, c as (select las_source, classification, co
 
 
 def points_voxels(spark, d):
-    p = k.points(spark, d).where("las_source <= 20").select("las_source", F.col("x").alias("distance"), F.col("z").alias("elevation"))
+    p = k.points(spark, d).select("las_source", F.col("x").alias("distance"), F.col("z").alias("elevation"))
     return _round(profile.voxel_bins(p, ["las_source"], 1.0).select("las_source", "bin", "n", "mean", "std", "range", "valid"), "mean", "std", "range")
 
 
