@@ -29,3 +29,9 @@ def test_every_source_and_point_is_binned_and_normalised(spark):
     for name, part in (("points_voxels", " where las_source <= 20"), ("points_normalised", " where y >= 49")):
         whole(spark, name, ORACLES[name].replace(part, ""))
         assert QUERIES[name](spark, SF).agg({"n": "sum"}).first()[0] == k.points(spark, SF).count()
+
+
+def test_every_slump_overlaps_and_labels(spark):
+    for name, part in (("event_overlap", " where volume > 270"), ("cube_labels", " where volume > 250")):
+        whole(spark, name, ORACLES[name].replace(part, ""))
+    assert {r["event_class"] for r in QUERIES["cube_labels"](spark, SF).collect()} == {0, 1, 2, 3}

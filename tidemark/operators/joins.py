@@ -89,8 +89,8 @@ def bracket(events: DataFrame, epochs: DataFrame, start: str, end: str, epoch_da
     )
 
 
-def interval_overlap(left: DataFrame, right: DataFrame, left_lo: str, left_hi: str, right_lo: str, right_hi: str, width: float) -> DataFrame:
-    """Pairs of closed intervals that overlap.
+def interval_overlap(left: DataFrame, right: DataFrame, left_lo: str, left_hi: str, right_lo: str, right_hi: str, width: float, by: list[tuple[str, str]] = ()) -> DataFrame:
+    """Pairs of closed intervals that overlap, with equal values in each pair of columns of ``by`` (left, right).
 
     Both sides are named in each cell they touch; a pair is kept in the first
     cell that both touch, so it comes once.
@@ -100,6 +100,8 @@ def interval_overlap(left: DataFrame, right: DataFrame, left_lo: str, left_hi: s
     b = right.withColumn("_b", F.explode(F.sequence(cell(right_lo), cell(right_hi))))
     first = F.greatest(cell(left_lo), cell(right_lo))
     on = (F.col("_a") == F.col("_b")) & (F.col("_a") == first) & (F.col(left_lo) <= F.col(right_hi)) & (F.col(right_lo) <= F.col(left_hi))
+    for x, y in by:
+        on = on & (F.col(x) == F.col(y))
     return a.join(b, on).drop("_a", "_b")
 
 

@@ -76,12 +76,12 @@ EVENT_FORWARD = EVENT_ASOF.replace("max(h.ts)", "min(h.ts)").replace("h.ts < p.a
 
 
 def event_overlap(spark, d):
-    """Slumps of large volume whose time spans overlap on one transect."""
-    s = k.slumps(spark, d).where("volume > 270")
+    """Slumps whose time spans overlap on one transect."""
+    s = k.slumps(spark, d)
     days = lambda c: F.datediff(F.col(c), F.lit("1995-01-01").cast("date"))
     a = s.select(F.col("event_id").alias("a"), F.col("transect_idx").alias("ta"), days("start_date").alias("a_lo"), days("end_date").alias("a_hi"))
     b = s.select(F.col("event_id").alias("b"), F.col("transect_idx").alias("tb"), days("start_date").alias("b_lo"), days("end_date").alias("b_hi"))
-    return joins.interval_overlap(a, b, "a_lo", "a_hi", "b_lo", "b_hi", 90).where("ta = tb and a < b").select("a", "b", F.col("ta").alias("transect_idx"))
+    return joins.interval_overlap(a, b, "a_lo", "a_hi", "b_lo", "b_hi", 90, [("ta", "tb")]).where("a < b").select("a", "b", F.col("ta").alias("transect_idx"))
 
 
 EVENT_OVERLAP = f"with {k.SLUMPS}, s as (select * from slumps where volume > 270) select x.event_id as a, y.event_id as b, x.transect_idx from s x join s y on x.transect_idx = y.transect_idx and x.event_id < y.event_id and x.start_date <= y.end_date and y.start_date <= x.end_date"
@@ -319,7 +319,7 @@ select c.transect_idx, epoch_idx, case when rt is not null then 'reference' when
 
 def cube_labels(spark, d):
     c = k.cells(spark, d)
-    e = k.slumps(spark, d).select("transect_idx", (F.year("start_date") - 1995).alias("epoch_idx"), "volume", "height", (F.col("event_id")).alias("epoch_before"), lab.volume_class(F.col("volume")).alias("event_class")).where("volume > 250")
+    e = k.slumps(spark, d).select("transect_idx", (F.year("start_date") - 1995).alias("epoch_idx"), "volume", "height", (F.col("event_id")).alias("epoch_before"), lab.volume_class(F.col("volume")).alias("event_class"))
     x = samples.label_cells(c.select("transect_idx", "epoch_idx"), e, ["transect_idx", "epoch_idx"])
     return _round(x.withColumn("collapse", F.array_join(F.col("collapse").cast("array<string>"), "")), "volume", "risk")
 
