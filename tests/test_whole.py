@@ -35,3 +35,10 @@ def test_every_slump_overlaps_and_labels(spark):
     for name, part in (("event_overlap", " where volume > 270"), ("cube_labels", " where volume > 250")):
         whole(spark, name, ORACLES[name].replace(part, ""))
     assert {r["event_class"] for r in QUERIES["cube_labels"](spark, SF).collect()} == {0, 1, 2, 3}
+
+
+def test_every_site_and_beach(spark):
+    whole(spark, "wave_ecdf", f"with {k.WAVES} select distinct mop_id, hs, round(cume_dist() over (partition by mop_id order by hs), 6) as share from waves")
+    sql = f"""with {k.CLIMATE}, m as (select beach, cast(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), interval 1 month)) as date) as month from climate group by beach),
+h as (select beach, cast(date_trunc('month', date) as date) as month, count(*) as n from climate where precip_mm >= 38 group by all) select m.beach, m.month, coalesce(h.n, 0) as n from m left join h on m.beach = h.beach and m.month = h.month"""
+    whole(spark, "climate_extreme_months", sql)

@@ -48,13 +48,13 @@ def month_by_year(rows: DataFrame, date: str, value: str, years: list[int]) -> D
     return out.select("month", *[F.col(f"`{y}`").alias(f"y{y}") for y in years])
 
 
-def monthly_counts(rows: DataFrame, date: str, hit: Column) -> DataFrame:
-    """Hits a month, 0 for months of the range without any."""
+def monthly_counts(rows: DataFrame, date: str, hit: Column, by: list[str] = ()) -> DataFrame:
+    """Hits a month, 0 for months of the range without any; with ``by`` for each group over its own range."""
     m = F.trunc(date, "month")
-    counts = rows.groupBy(m.alias("month")).agg(F.count_if(hit).alias("n"))
-    span = rows.agg(F.min(m).alias("lo"), F.max(m).alias("hi")).where("lo is not null")
-    every = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month"))
-    return every.join(counts, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = rows.groupBy(*by, m.alias("month")).agg(F.count_if(hit).alias("n"))
+    span = rows.groupBy(*by).agg(F.min(m).alias("lo"), F.max(m).alias("hi")).where("lo is not null")
+    every = span.select(*by, F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month"))
+    return every.join(counts, [*by, "month"], "left").select(*by, "month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def rose(rows: DataFrame, angle: str, weight: str, bins: int = 16) -> DataFrame:
@@ -64,11 +64,12 @@ def rose(rows: DataFrame, angle: str, weight: str, bins: int = 16) -> DataFrame:
     return b.select("bin", F.round(100 * F.col("w") / F.sum("w").over(Window.partitionBy()), 6).alias("pct"))  # a row a bin
 
 
-def ecdf(rows: DataFrame, value: str) -> DataFrame:
-    """Share of rows at or below each distinct value, from counts: only distinct values are ranked."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    run = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(value, (run / F.sum("n").over(Window.partitionBy())).alias("share"))
+def ecdf(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """Share of rows at or below each distinct value, from counts: only distinct values are ranked; with ``by`` within each group."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*by)
+    run = F.sum("n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select(*by, value, (run / F.sum("n").over(group)).alias("share"))
 
 
 def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:

@@ -96,7 +96,7 @@ WAVE_ROSE = f"with {k.WAVES}, b as (select cast(floor(dp / 22.5) as integer) as
 
 
 def wave_ecdf(spark, d):
-    return _round(stats.ecdf(k.waves(spark, d).where("mop_id = 3"), "hs"), "share")
+    return _round(stats.ecdf(k.waves(spark, d), "hs", ["mop_id"]), "share")
 
 
 WAVE_ECDF = f"with {k.WAVES} select distinct hs, round(cume_dist() over (order by hs), 6) as share from waves where mop_id = 3"
@@ -167,7 +167,7 @@ MONTH_BY_YEAR = f"with {k.CLIMATE} select cast(month(date) as integer) as month,
 
 
 def climate_extreme_months(spark, d):
-    return stats.monthly_counts(k.climate(spark, d).where("beach = 1"), "date", F.col("precip_mm") >= 38)
+    return stats.monthly_counts(k.climate(spark, d), "date", F.col("precip_mm") >= 38, ["beach"])
 
 
 EXTREME_MONTHS = f"""with {k.CLIMATE}, m as (select cast(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), interval 1 month)) as date) as month from climate where beach = 1),
