@@ -5,7 +5,8 @@ linear softmax over that average gives the language.  Embeddings and softmax
 are trained together by stochastic gradient descent in numpy on the driver, on
 at most ``sample`` labelled documents, chosen over all of them by the hash of
 their id.  A fifth of the sample is kept from training to fit the softmax
-temperature and the score below which a prediction is rejected.
+temperature and the score below which a prediction is rejected: the quantile
+1 - ``KEEP`` of its correct predictions' scores, without a floor or a cap.
 
 Results for unusual input: a null text, or one without a letter, is ``und`` with
 score 0; without any labelled document every text is ``und``; documents with a
@@ -150,7 +151,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
         p /= p.sum(axis=1, keepdims=True)
         right = p.argmax(axis=1) == y[held]
         if right.any():
-            reject = float(min(np.quantile(p.max(axis=1)[right], 1 - KEEP), 1 / len(names) + 0.1))
+            reject = float(np.quantile(p.max(axis=1)[right], 1 - KEEP))
     return LanguageModel(names, logits.astype(np.float64), bias, temperature, reject)
 
 
