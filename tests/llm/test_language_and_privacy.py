@@ -114,7 +114,7 @@ def test_leaks(spark, documents, sample):
     assert len(want) > 20
     few = sorted(map(tuple, decontam.leaks(docs, bench).collect()))
     assert {x[:2] for x in few} == want and len(few) == len(want)
-    assert sorted(map(tuple, decontam.leaks(docs, bench, max_seeds=10).collect())) == few
+    assert sorted(map(tuple, decontam.leaks(docs, bench, max_words=10).collect())) == few
     kept = decontam.decontaminate(docs, bench)
     assert kept.columns == docs.columns
     assert {x["doc_id"] for x in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}

@@ -11,29 +11,37 @@ Words are runs of letters and digits, lower-cased; they are compared by their
 words substituted keeps all words of one mask somewhere (four in a row, or two
 and two around a substitution; three and one in items of five words).  All masks
 hold two neighbouring words, and a document's places are first tested against
-the benchmark's word pairs, which keeps the seeds that are joined few.  While the benchmark holds at most ``max_seeds``
-seeds, both tests are broadcast; beyond it the seeds are joined by a shuffle and
-the hits meet their documents again (same results, tested).
+the benchmark's word pairs, which keeps the seeds that are joined few.  While the
+benchmark holds at most ``max_words`` words, pairs, seeds and items are broadcast;
+beyond it the seeds are joined by a shuffle and the hits meet their documents
+again (same results, tested).
 
 Results for unusual input: null or empty texts have no words and no hits; an
 item with fewer than five words never matches; items with equal texts each
-match; documents that share a doc_id share a decision (null ids too); repeated
-rows give one link; empty tables give an empty result.  Extra columns are
-ignored by ``leaks`` and kept by ``decontaminate``.
+match; a very long text or item is matched as a whole; of equally good places
+the first counts; in ``leaks`` documents that share a doc_id share their links
+(null ids too) and repeated rows give one link, while ``decontaminate`` judges
+each different text by itself; empty tables give an empty result.  Extra columns
+are ignored by ``leaks`` and kept by ``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_names
+
 #: Places of each mask from a pair of neighbouring words (0, 1) on; what lies between is ignored.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
 #: Further masks that items of five words need.
 SHORT_MASKS = ((0, 1, 2, 4), (-2, 0, 1, 2))
 SIMILARITY = 0.8
 MIN_WORDS = 5
-MAX_SEEDS = 200_000
+#: Words that the benchmark may hold for its seeds, word pairs and items (some 100 bytes a word in all) to be broadcast.
+MAX_WORDS = 200_000
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -77,46 +85,59 @@ def _laid(h: Column, item: Column, start: Column) -> Column:
     )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, max_seeds: int = MAX_SEEDS) -> DataFrame:
-    """doc_id, item_id, start, n_match, n_words, similarity: each document's best place of each item it holds.
+def _agree(h: Column, item: Column, p: Column, q: Column, places: tuple[int, ...]) -> Column:
+    """Whether a mask's words agree at p of the document and q of the item; beyond either's ends they don't."""
+    inside = (p + places[0] >= 0) & (q + places[0] >= 0)
+    same = [F.coalesce(F.get(h, p + k) == F.get(item, q + k), F.lit(False)) for k in places]
+    return F.when(inside, reduce(lambda a, b: a & b, same)).otherwise(False)
 
-    ``start`` is the place (in words) at which the item's first word lies.
-    """
+
+def _found(docs: DataFrame, keys: list[str], benchmark: DataFrame, similarity: float, max_words: int) -> DataFrame:
+    """keys, item_id, start, n_match, n_words of every place where an item lies close enough."""
     items = benchmark_items(benchmark)
-    seeds = benchmark_seeds(items)
-    texts = docs.select("doc_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") >= 2)
-    places = F.sequence(F.lit(0), F.size("h") - 2)
-    masks = MASKS if items.where(F.size("item") == MIN_WORDS).isEmpty() else MASKS + SHORT_MASKS
+    seeds = benchmark_seeds(items).drop("item")
+    texts = docs.select(*keys, word_hashes(F.col("text")).alias("h")).where(F.size("h") >= 2)
+    shape = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)).alias("words"), F.coalesce(F.min(F.size("item")), F.lit(0)).alias("least")).first()
+    masks = MASKS + SHORT_MASKS if shape["least"] == MIN_WORDS else MASKS
 
     def seeds_at(h: Column, at: Column) -> Column:
-        return F.array(*[F.struct(at.alias("p"), _seed(h, at, m).alias("seed")) for m in masks])
+        return F.array(*[F.struct(at.alias("p"), F.lit(k).alias("mask"), _seed(h, at, m).alias("seed")) for k, m in enumerate(masks)])
 
-    few = seeds.limit(max_seeds + 1).count() <= max_seeds
-    if few:
+    # Word pairs, seeds and items are all in proportion to the benchmark's words, so their number bounds what is broadcast.
+    if shape["words"] <= max_words:
         pairs = items.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("item") - 2), lambda q: _pair(F.col("item"), q))).alias("pair")).distinct()
-        known = [r[0] for r in pairs.collect()]  # at most max_seeds of them
-        if not known:
-            known = [0]
+        known = [r[0] for r in pairs.collect()] or [0]
         listed = ",".join(f"{v}L" if v > -(2**63) else "(-9223372036854775807L-1L)" for v in known)
         # Bound as a lambda's argument, the hashes are made once a row.
         near = F.expr(f"transform(array(h), x -> filter(sequence(0, size(x) - 2), i -> xxhash64(x[i], x[i + 1]) in ({listed})))[0]")
         held = texts.withColumn("near", near).where(F.size("near") > 0)
         found = F.flatten(F.transform("near", lambda i: seeds_at(F.col("h"), i)))
-        hits = held.select("doc_id", "h", F.explode(found).alias("s")).select("doc_id", "h", "s.p", "s.seed").join(F.broadcast(seeds), "seed")
-        laid = hits.select("doc_id", "item_id", "h", "item", (F.col("p") - F.col("q")).alias("start"))
+        hits = held.select(*keys, "h", F.explode(found).alias("s")).select(*keys, "h", "s.p", "s.mask", "s.seed").join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id")
+        # Of a run of hits of one mask along one diagonal the first is measured.
+        before = [F.when(F.col("mask") == k, _agree(F.col("h"), F.col("item"), F.col("p") - 1, F.col("q") - 1, m)) for k, m in enumerate(masks)]
+        laid = hits.where(~F.coalesce(*before, F.lit(False))).select(*keys, "item_id", "h", "item", (F.col("p") - F.col("q")).alias("start"))
     else:
+        places = F.sequence(F.lit(0), F.size("h") - 2)
         found = F.flatten(F.transform(places, lambda i: seeds_at(F.col("h"), i)))
-        wide = texts.select("doc_id", F.xxhash64("h").alias("row"), F.explode(found).alias("s")).select("doc_id", "row", "s.p", "s.seed")
-        hits = wide.join(seeds.drop("item"), "seed").select("doc_id", "row", "item_id", (F.col("p") - F.col("q")).alias("start")).distinct()
-        back = texts.withColumn("row", F.xxhash64("h"))
+        wide = texts.select(*keys, F.xxhash64("h").alias("row"), F.explode(found).alias("s")).select(*keys, "row", "s.p", "s.seed")
+        hits = wide.join(seeds, "seed").select(*keys, "row", "item_id", (F.col("p") - F.col("q")).alias("start")).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(f"x.{k}").eqNullSafe(F.col(f"d.{k}")) for k in [*keys, "row"]])
         laid = (
             hits.alias("x")
-            .join(back.alias("d"), F.expr("x.doc_id <=> d.doc_id and x.row = d.row"))
+            .join(texts.withColumn("row", F.xxhash64("h")).distinct().alias("d"), same)
             .join(items.alias("i"), F.expr("x.item_id = i.item_id"))
-            .select(F.col("x.doc_id"), F.col("x.item_id"), F.col("d.h"), F.col("i.item"), F.col("x.start"))
+            .select(*[F.col(f"x.{k}") for k in keys], F.col("x.item_id"), F.col("d.h"), F.col("i.item"), F.col("x.start"))
         )
-    measured = laid.select("doc_id", "item_id", "start", _laid(F.col("h"), F.col("item"), F.col("start")).alias("n_match"), F.size("item").alias("n_words"))
-    close = measured.where(F.col("n_match") >= F.lit(similarity) * F.col("n_words"))
+    measured = laid.select(*keys, "item_id", "start", _laid(F.col("h"), F.col("item"), F.col("start")).alias("n_match"), F.size("item").alias("n_words"))
+    return measured.where(F.col("n_match") >= F.lit(similarity) * F.col("n_words"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, max_words: int = MAX_WORDS) -> DataFrame:
+    """doc_id, item_id, start, n_match, n_words, similarity: each document's best place of each item it holds.
+
+    ``start`` is the place (in words) at which the item's first word lies.
+    """
+    close = _found(docs.select("doc_id", "text"), ["doc_id"], benchmark, similarity, max_words)
     best = close.groupBy("doc_id", "item_id", "n_words").agg(F.max(F.struct("n_match", (-F.col("start")).alias("back"))).alias("b"))
     return best.select(
         "doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.n_match").cast("long").alias("n_match"), F.col("n_words").cast("long").alias("n_words"),
@@ -124,7 +145,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no benchmark item, with their own columns."""
-    found = leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, max_words: int = MAX_WORDS) -> DataFrame:
+    """The rows whose text holds no benchmark item, with their own columns, whatever their names.
+
+    A row is known by its doc_id and a 128-bit hash of its text.
+    """
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    one, two = fresh_names(docs, "one", "two")
+    marked = docs.withColumn(one, F.xxhash64(t)).withColumn(two, F.xxhash64(t, F.lit(1)))
+    rows = marked.select("doc_id", F.col(one).alias("t1"), F.col(two).alias("t2"), "text")
+    found = _found(rows, ["doc_id", "t1", "t2"], benchmark, similarity, max_words).select(F.col("doc_id").alias("leak"), "t1", "t2").distinct()
+    same = marked["doc_id"].eqNullSafe(found["leak"]) & (marked[one] == found["t1"]) & (marked[two] == found["t2"])
+    return marked.join(found, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
