@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import fresh_names, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Number of generated labelled candidates, trees, learning rate, and the precision that thresholds must reach.
@@ -67,24 +67,17 @@ _SPAN = "struct<s:int,e:int,t:string>"
 
 def _spans(text: Column, pattern: str) -> Column:
     """(s, e, t) of each leftmost non-overlapping match: matches and the gaps between them alternate."""
-    whole = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    return F.transform(
-        F.array(whole),
-        lambda w: F.aggregate(
-            F.arrays_zip(w["g"].alias("g"), w["m"].alias("m")),
-            F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-                F.when(
-                    x["m"].isNotNull(),
-                    F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("s"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("e"), x["m"].alias("t")).cast(_SPAN))),
-                )
-                .otherwise(acc["out"])
-                .alias("out"),
-            ),
-            lambda acc: acc["out"],
-        ),
-    )[0]
+
+    def placed(w: Column) -> Column:
+        return F.zip_with(w["m"], F.slice(w["g"], 1, F.size(w["m"])), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
+
+    def located(steps: Column) -> Column:
+        before = _scan(steps, lambda x: x["g"] + x["n"], lambda a, b: a + b, "int")
+        start = lambda x, at: F.coalesce(at, F.lit(0)) + x["g"]
+        return F.zip_with(steps, before, lambda x, at: F.struct(start(x, at).alias("s"), (start(x, at) + x["n"]).alias("e"), x["m"].alias("t")).cast(_SPAN))
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    return F.transform(F.transform(F.array(found), placed), located)[0]
 
 
 def _digits(t: Column) -> Column:
@@ -296,34 +289,65 @@ def models(spark: SparkSession) -> dict[str, tuple]:
 _ALL = "array<struct<s:int,k:int,e:int>>"
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Append ``_base`` and ``_spans``: arrays of (s, k, e) by start and kind."""
+def _scan(rows: Column, value, merge, kind: str) -> Column:
+    """For each element the merge of the values of all before it (null at the first).
+
+    In blocks of about the root of the length: running values inside a block are
+    appended to a short array, so long arrays cost less than their square.
+    """
+    width = F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(rows)))).cast("int")
+    none = F.array().cast(f"array<{kind}>")
+    joined = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(merge(a, b))
+    empty = F.lit(None).cast(kind)
+
+    def running(items: Column, start: Column) -> Column:
+        step = lambda acc, v: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), joined(acc["at"], v).cast(kind).alias("at"))
+        return F.aggregate(items, F.struct(none.alias("out"), start.alias("at")), step, lambda acc: acc["out"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / width).cast("int")), lambda k: F.transform(F.slice(rows, k * width + 1, width), value))
+    whole = F.transform(F.array(blocks), lambda bs: F.zip_with(bs, running(F.transform(bs, lambda b: F.aggregate(b, empty, lambda a, v: joined(a, v).cast(kind))), empty), running))[0]
+    return F.when(F.size(rows) > 0, F.flatten(whole)).otherwise(none)
+
+
+def with_spans(docs: DataFrame, base_name: str, spans_name: str, text: str = "text") -> DataFrame:
+    """Append two columns: arrays of (s, k, e) by start and kind, of the base spans and of all."""
     fitted = models(docs.sparkSession)
     t = text_or_empty(text)
     base = {k: base_spans(t, k) for k in KINDS}
     place = lambda k: lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(k)).alias("k"), x["e"].alias("e"))
     may = t.rlike("[0-9@]|" + _SPELT)
     none = F.array().cast(_ALL)
-    out = docs.withColumn("_base", F.when(may, F.array_sort(F.concat(*[F.transform(base[k], place(k)) for k in KINDS]))).otherwise(none).cast(_ALL))
+    out = docs.withColumn(base_name, F.when(may, F.array_sort(F.concat(*[F.transform(base[k], place(k)) for k in KINDS]))).otherwise(none).cast(_ALL))
+    offered = "array<struct<s:int,score:double,k:int,e:int>>"
 
     def chosen(kind):
         model, limit = fitted[kind]
         if not np.isfinite(limit):
-            return F.array().cast("array<struct<score:double,s:int,k:int,e:int>>")
+            return F.array().cast(offered)
         scored = F.transform(
             candidates(t, kind),
-            lambda c: F.struct((-_score(model, features(kind, c))).alias("score"), c["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), c["e"].alias("e")),
+            lambda c: F.struct(c["s"].alias("s"), (-_score(model, features(kind, c))).alias("score"), F.lit(KINDS.index(kind)).alias("k"), c["e"].alias("e")),
         )
         return F.filter(scored, lambda c: c["score"] <= -limit)
 
     apart = lambda spans, c: ~F.exists(spans, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    proposed = F.array_sort(F.concat(*[chosen(k) for k in KINDS]))  # the highest score first
-    added = F.aggregate(
-        proposed,
-        F.col("_base"),
-        lambda acc, c: F.when(apart(acc, c), F.concat(acc, F.array(F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))).cast(_ALL))).otherwise(acc),
-    )
-    return out.withColumn("_spans", F.when(may, F.array_sort(added)).otherwise(none))
+    sure = F.transform(base_name, lambda b: F.struct(b["s"].alias("s"), F.lit(-1e9).alias("score"), b["k"].alias("k"), b["e"].alias("e")))
+    both = F.array_sort(F.concat(sure.cast(offered), *[chosen(k) for k in KINDS]))
+
+    def select(cluster: Column) -> Column:
+        """Base spans, then the highest scores that overlap nothing chosen."""
+        by_score = F.array_sort(F.transform(cluster, lambda c: F.struct(c["score"].alias("score"), c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
+        take = lambda acc, c: F.when((c["score"] == -1e9) | apart(acc, c), F.concat(acc, F.array(F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))).cast(_ALL))).otherwise(acc)
+        return F.aggregate(by_score, none, take)
+
+    def clusters(rows: Column) -> Column:
+        """Runs of overlapping spans: a span that starts at or behind every earlier end opens one."""
+        ends = _scan(rows, lambda x: x["e"], F.greatest, "int")
+        opens = F.filter(F.transform(F.arrays_zip(rows.alias("r"), ends.alias("end")), lambda z, i: F.when(z["end"].isNull() | (z["r"]["s"] >= z["end"]), i)), lambda i: i.isNotNull())
+        return F.transform(F.array(opens), lambda at: F.transform(at, lambda i, n: F.slice(rows, i + 1, F.coalesce(F.get(at, n + 1), F.size(rows)) - i)))[0]
+
+    added = F.transform(F.array(both), lambda rows: F.flatten(F.transform(clusters(rows), select)))[0]
+    return out.withColumn(spans_name, F.when(may, F.array_sort(added)).otherwise(none))
 
 
 def _listed(spans: Column) -> Column:
@@ -333,31 +357,32 @@ def _listed(spans: Column) -> Column:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, base_sha256, spans of every whole text."""
-    found = with_spans(docs.select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("_base", lambda x: x["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    found = with_spans(docs.select("doc_id", "text"), "base", "spans")
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return found.select(
-        "doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"),
-        (F.size("_spans") - F.size("_base")).cast("long").alias("n_added"),
+        "doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
     )
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; n_chars follows where it exists."""
+    base, spans, clean = fresh_names(docs, "base", "spans", "clean")
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     t = F.col("text")
-    folded = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["e"] <= acc["at"], acc).otherwise(
-            F.struct(
-                x["e"].alias("at"),
-                F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.get(name, x["k"])).alias("out"),
-            )
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
-    )
-    found = with_spans(docs).withColumn("_clean", F.when(F.size("_spans") > 0, folded).otherwise(t))
-    new = {"text": F.col("_clean").alias("text")}
+
+    def pieces(rows: Column) -> Column:
+        """The text up to each span and its kind, and the rest; a span inside earlier ones adds nothing."""
+        ends = F.transform(_scan(rows, lambda x: x["e"], F.greatest, "int"), lambda e: F.coalesce(e, F.lit(0)))
+        each = F.transform(
+            F.arrays_zip(rows.alias("x"), ends.alias("at")),
+            lambda z: F.when(z["x"]["e"] <= z["at"], F.lit("")).otherwise(F.concat(F.substring(t, z["at"] + 1, F.greatest(z["x"]["s"] - z["at"], F.lit(0))), F.get(name, z["x"]["k"]))),
+        )
+        return F.concat(F.array_join(each, ""), F.substring(t, F.array_max(F.transform(rows, lambda x: x["e"])) + 1, F.length(t)))
+
+    folded = F.transform(F.array(F.col(spans)), pieces)[0]
+    found = with_spans(docs, base, spans).withColumn(clean, F.when(F.size(spans) > 0, folded).otherwise(t))
+    new = {"text": F.col(clean).alias("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("_clean").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        new["n_chars"] = F.length(clean).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return found.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
