@@ -11,7 +11,9 @@ temperature and the score below which a prediction is rejected: the quantile
 Results for unusual input: a null text, or one without a letter, is ``und`` with
 score 0; without any labelled document every text is ``und``; documents with a
 null doc_id or lang are never learned from; repeated rows are judged row by
-row; an empty table gives an empty result.  Extra columns are ignored.
+row; a very long text counts as a whole, and a tie goes to the first language by
+name; an empty table gives an empty result.  Extra columns are ignored, or kept
+by ``keep_identified`` whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_by_bytes
+from .common import fresh_names, split_by_bytes
 
 #: Hash buckets of the n-grams, n-gram lengths, size of an embedding.
 BUCKETS, LENGTHS, WIDTH = 1 << 15, (2, 3, 4), 16
@@ -169,27 +171,37 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Append lang_pred, lang_score and lang_kept (the score isn't below the model's limit) to every row."""
+def _judged(docs: DataFrame, model: LanguageModel):
+    """The struct (lang_pred, score, kept) of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, kept boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double, kept boolean")
+    def predict(texts: pa.Array) -> pa.Array:
         m = shared.value
-        names, scores = m.predict(texts.fillna("").tolist())
-        return pd.DataFrame({"lang_pred": names, "score": scores, "kept": [n != "und" and s >= m.reject_below for n, s in zip(names, scores)]})
+        names, scores = m.predict([t or "" for t in texts.to_pylist()])
+        kept = [n != "und" and s >= m.reject_below for n, s in zip(names, scores)]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())], ["lang_pred", "score", "kept"])
+
+    return predict(F.col("text").cast("string"))
 
-    found = docs.withColumn("_lang", predict("text"))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("lang_score"), F.col("_lang.kept").alias("lang_kept"))
+
+def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """Append lang_pred, lang_score and lang_kept (the score isn't below the model's limit) to every row; columns of these names are replaced."""
+    (name,) = fresh_names(docs, "lang")
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "lang_score", "lang_kept")]
+    found = docs.withColumn(name, _judged(docs, model))
+    return found.select(*own, F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["score"].alias("lang_score"), F.col(name)["kept"].alias("lang_kept"))
 
 
 def language_of(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, kept of every document."""
     model = learn(docs, sample)
-    found = identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_kept").alias("kept"))
+    found = docs.select("doc_id", _judged(docs, model).alias("r"))
+    return found.select("doc_id", is_held_out().alias("held_out"), "r.lang_pred", "r.score", "r.kept")
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents whose language is not rejected, with their own columns."""
-    return identify(docs, learn(docs, sample)).where("lang_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents whose language is not rejected, with their own columns, whatever their names."""
+    (name,) = fresh_names(docs, "lang")
+    found = docs.withColumn(name, _judged(docs, learn(docs, sample)))
+    return found.where(F.col(name)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
