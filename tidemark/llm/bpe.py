@@ -8,7 +8,10 @@ skipped.  Decoding concatenates vocabulary strings and maps them back to bytes.
 Results for unusual input: a null text counts as empty; an empty text has no
 ids and decodes to the empty string; the text of an added token (such as
 ``<|endoftext|>``) becomes that token's id, as in the tokenizers library;
-repeated rows are encoded row by row; an empty table gives an empty result.
+repeated rows are encoded row by row; a very long text is encoded as a whole, in
+time about its length; of merges of one rank the leftmost comes first; an empty
+table gives an empty result.  Extra columns are ignored by ``bpe_digests`` and
+kept by the others, which replace a column of the name they write.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import text_or_empty
 from .units import UnitCache, split_units
@@ -174,25 +178,23 @@ def text_digest(text: str, path: str) -> tuple[int, str, str]:
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """Append the ids of ``text`` as an array column; all other columns stay."""
-    from pyspark.sql import functions as F
+    """Append the ids of ``text`` as an array column; a column named ``ids`` is replaced, all others stay."""
 
-    @F.pandas_udf("array<int>")
-    def ids_of(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def ids_of(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        return texts.map(c.encode)
+        return pa.array([c.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
     return docs.withColumn(ids, ids_of(text_or_empty(text)))
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
-    """Append the text that an array column of ids stands for; null ids give null."""
-    from pyspark.sql import functions as F
+    """Append the text that an array column of ids stands for; null ids give null; a column named ``text`` is replaced."""
 
-    @F.pandas_udf("string")
-    def text_of(rows: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def text_of(rows: pa.Array) -> pa.Array:
         c = codec(path)
-        return rows.map(lambda r: None if r is None else c.decode(r))
+        return pa.array([None if r is None else c.decode(r) for r in rows.to_pylist()], pa.string())
 
     return docs.withColumn(text, text_of(F.col(ids)))
 
@@ -206,11 +208,11 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def digest(batches):
         for b in batches:
-            rows = [text_digest(t, path) for t in b["text"]]
-            yield pd.DataFrame(
-                {"doc_id": b["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]}
+            counts, ids, decoded = map(list, zip(*[text_digest(t, path) for t in b.column("text").to_pylist()])) if b.num_rows else ([], [], [])
+            yield pa.record_batch(
+                {"doc_id": b.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             )
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(
         digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
