@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (as
-    in local tests) a folder of our own is made and set.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and the
+    master is local (as in tests) a folder of our own is made and set.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
@@ -119,15 +121,47 @@ def likely_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
         return df
     (name,) = ids.columns
     marks = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(name, F.lit(k)), F.lit(bits)) for k in (1, 2)])).alias("h"))
-    words = marks.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toPandas()
+    words = marks.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toArrow()
     bitmap = np.zeros(max(1, bits >> 6), np.int64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy()
     shared = spark.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def marked(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def marked(a: pa.Array, b: pa.Array) -> pa.Array:
         m = shared.value
-        hit = lambda h: (m[h.to_numpy() >> 6] >> (h.to_numpy() & 63)) & 1
-        return pd.Series((hit(a) & hit(b)) == 1)
+        places = [h.to_numpy(zero_copy_only=False) for h in (a, b)]
+        return pa.array(np.logical_and.reduce([(m[h >> 6] >> (h & 63)) & 1 == 1 for h in places]))
 
     return df.where(marked(*[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in (1, 2)]))
+
+
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that the table doesn't have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        k = 0
+        while f"_{name}{k}" in taken:
+            k += 1
+        out.append(f"_{name}{k}")
+    return out
+
+
+def whole_runs(batches, keys: list[str]):
+    """From sorted Arrow batches, tables that end where a run of equal keys ends."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        if held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        changes = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        if len(changes):
+            cut = int(changes[-1]) + 1
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held, b = [], b.slice(cut)
+        held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)

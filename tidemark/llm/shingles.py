@@ -21,7 +21,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
