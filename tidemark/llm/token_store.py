@@ -13,7 +13,8 @@ with the first id's place in the whole stream), ``manifest``.
 
 Results for unusual input: null texts count as empty; an empty text is just its
 end id; documents with the same doc_id stay separate rows, ordered by their
-root; a null doc_id comes first; an empty table gives an empty store.  Extra
+root; a null doc_id comes first; a very long text is encoded as a whole and cut
+like any other; an empty table gives an empty store.  Extra
 columns are ignored.
 """
 
@@ -54,7 +55,7 @@ def _library(path: str):
 
 
 def _fill(tokenizer, known: dict, needed: set[str], lead: str, limit: int) -> None:
-    new = [p for p in needed if p not in known]
+    new = list(needed.difference(known))
     if len(known) + len(new) > limit:
         known.clear()
         new = list(needed)
@@ -79,12 +80,8 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     pieces = [[""] if i in whole else split_units(t) for i, t in enumerate(texts)]
     heads = [p.pop(0) for p in pieces]
     _fill(tokenizer, first, set(heads), "", CACHE_UNITS // 4)
-    found = [list(map(later.get, p)) for p in pieces]
-    holes = [(f, i, p[i]) for f, p in zip(found, pieces) if None in f for i in range(len(f)) if f[i] is None]
-    _fill(tokenizer, later, {unit for _, _, unit in holes}, " ", CACHE_UNITS)
-    for f, i, unit in holes:
-        f[i] = later[unit]
-    out = [first[h] + b"".join(f) for h, f in zip(heads, found)]
+    _fill(tokenizer, later, set().union(*pieces), " ", CACHE_UNITS)
+    out = [first[h] + b"".join(map(later.__getitem__, p)) for h, p in zip(heads, pieces)]
     for i in whole:
         out[i] = array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
     return out
