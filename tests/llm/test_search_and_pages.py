@@ -30,6 +30,25 @@ def test_extract_cases():
     assert len(x("<p>" + "word " * 200_000 + "</p>")) == 999_999
 
 
+def test_furniture_and_articles():
+    x = htmlextract.extract
+    words = "Some words of an article that is long enough to be found."
+    assert x(f'<article><p>{words}</p><p class="ad">Buy now.</p><p>More of it.</p></article>') == f"{words}\nMore of it."
+    assert x("<article><p><a href=1>All of this paragraph</a> <a href=2>is made of links</a></p></article>") == "All of this paragraph is made of links"
+    assert x(f'<article><header class="post-header"><h1>The title</h1></header><p>{words}</p></article>') == f"The title\n{words}"
+    assert x(f'<div class="search-results-study"><p>{words}</p></div><div class="search"><p>find it</p></div>') == words
+
+
+def test_bad_markup_is_linear():
+    import time
+
+    x, start = htmlextract.extract, time.process_time()
+    for page in ("<a " * 300_000, "<div>" * 100_000, "<b>" * 100_000 + "<hr>" * 100_000, '<a "> " ' * 100_000 + "'>", "<!--" * 200_000, "<script>" * 100_000, "<p><td>" + "<b>" * 50_000 + "<hr>" * 50_000, "</x>" * 200_000):
+        assert x(page + "<p>the end") is not None
+    assert time.process_time() - start < 30
+    assert x("<div>" * 30_000 + "<p>deep words</p>").endswith("deep words")
+
+
 def test_pages(spark):
     rows = [(1, None, None), (2, "u", "<p>x y</p>"), (2, "u", "<p>x y</p>"), (3, "v", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as main_text")

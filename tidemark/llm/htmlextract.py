@@ -11,8 +11,10 @@ telling ancestor (article, paragraph, link, menu, footer, ...), and of each tag.
 Results for unusual input: null or empty html gives an empty text; html without
 tags is one block; unclosed tags, comments and cut-off character references are
 read as browsers read them; a page with no word of positive weight has an empty
-text; repeated rows are extracted row by row; an empty table gives an empty
-result.  Extra columns are ignored.
+text; of equally good regions the first counts; very long, deeply nested and
+unfinished markup costs time in proportion; repeated rows are extracted row by
+row; an empty table gives an empty result.  Extra columns are ignored, or kept
+by ``main_text``, which replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "butt
 FURNITURE_NAMES = re.compile(
     r"(?i)(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|header|masthead|"
     r"comment\w*|disqus\w*|reply|replies|cookie\w*|consent|gdpr|notice\w*|popup\w*|modal\w*|newsletter|subscri\w*|share|sharing|social\w*|related|recommend\w*|"
-    r"widget\w*|toolbar|login|signup|search|pager|pagination|copyright|complementary|navigation|contentinfo|search|form|alert)(?:$|[\s_-])"
+    r"widget\w*|toolbar|login|signup|pager|pagination|copyright|complementary|navigation|contentinfo|form|alert|search(?=$|\s|[_-](?:form|box|bar|field|input|widget)))(?:$|[\s_-])"
 )
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -48,14 +50,10 @@ _ENDS_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "nav", "aside", "header", "footer", "form"}
 
-_PIECE = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))"  # comments
-    r"|<(script|style|textarea|title|noscript|iframe|template)\b[^>]*>.*?(?:</\1\s*>|\Z)"  # whole, with what they hold
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"  # a tag
-    r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)"  # other markup
-    r"|[^<]+|<",
-    re.S | re.I,
-)
+_WHOLE = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
+_STOP = re.compile("[>\"']")
+_TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_COMMENT_END = re.compile(r"--!?>")
 _NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 #: Labelled pages: what ``<main-text>`` holds is main text.  The weights come from them.
@@ -77,69 +75,131 @@ LABELLED = [
 ]
 
 
+def _pieces(page: str):
+    """(text run, None, False, "") and (None, tag name, is an end, attributes) in order, in one pass.
+
+    What a script, style or the like holds is passed over with its tag.  A quote
+    that never closes ends the reading of quotes up to its place, so no part of
+    a page is read over and over.
+    """
+    at, size, lower = 0, len(page), page.lower()
+    last = {q: page.rfind(q) for q in ">\"'"}
+    unquoted = -1  # up to here quotes mean nothing
+    missing: set[str] = set()  # end tags that don't occur any more
+    while at < size:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            yield page[at:end], None, False, ""
+            at = end
+            continue
+        m = _TAG_NAME.match(page, at + 1)
+        if m is None:
+            if page.startswith("<!--", at):
+                short = next((k for k in (">", "->") if page.startswith(k, at + 4)), None)
+                found = _COMMENT_END.search(page, at + 4) if short is None else None
+                at = at + 4 + len(short) if short else found.end() if found else size
+            elif page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
+            else:
+                yield "<", None, False, ""
+                at += 1
+            continue
+        place = m.end()
+        while True:
+            stop = _STOP.search(page, place) if place <= last[">"] else None
+            if stop is None or stop[0] == ">":
+                break
+            if place <= unquoted:
+                place = stop.end()
+            elif stop.start() == last[stop[0]]:
+                unquoted, place = stop.start(), m.end()
+            else:
+                place = page.index(stop[0], stop.end()) + 1
+        if stop is None:  # a tag that is cut off ends at the next one
+            end = page.find("<", m.end())
+            at = size if end < 0 else end
+            continue
+        name, at = m[2].lower(), stop.end()
+        yield None, name, m[1] == "/", page[m.end() : stop.start()]
+        if name in _WHOLE and not m[1]:
+            end = -1 if name in missing else lower.find(f"</{name}", at)
+            if end < 0:
+                missing.add(name)
+                at = size
+            else:
+                close = page.find(">", end)
+                at = size if close < 0 else close + 1
+
+
 class _Reader:
-    """Words and tags of a page, in order, with the open elements at each."""
+    """Words and tags of a page, in order; each open element carries what its content inherits."""
+
+    TELLING = {"a", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "blockquote", "pre", "article", "main", "dd", "dt", "label"}
 
     def __init__(self):
-        self.open: list[tuple[str, bool]] = []  # (name, furniture)
+        #: (name, inside an article, furniture outside it, furniture inside it, silent, context, place of the nearest scope)
+        self.open: list[tuple[str, bool, bool, bool, bool, str, int]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def state(self) -> tuple[bool, bool, bool, bool, str, int]:
+        return self.open[-1][1:] if self.open else (False, False, False, False, "plain", -1)
 
     def muted(self) -> bool:
         """Inside furniture that lies within an article: it is left out, but doesn't end the article."""
-        names = [n for n, _ in self.open]
-        at = next((k for k, n in enumerate(names) if n in ("article", "main")), len(names))
-        return not any(f for _, f in self.open[:at]) and any(f for _, f in self.open[at:])
+        _, outer, inner, _, _, _ = self.state()
+        return inner and not outer
 
     def context(self) -> str:
         """The nearest telling ancestor of what comes next."""
-        if any(f for _, f in self.open):
-            return "furniture"
-        for name, _ in reversed(self.open):
-            if name in ("a", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "blockquote", "pre", "article", "main", "dd", "dt", "label"):
-                return "heading" if name[0] == "h" and name[1:].isdigit() else name
-        return "plain"
+        _, outer, inner, _, context, _ = self.state()
+        return "furniture" if outer or inner else context
 
     def tokens(self, page: str):
         """("word", text run, context, muted) and ("tag", name, is an end, muted)."""
-        for m in _PIECE.finditer(page):
-            whole, silent, end, name, rest = m[0], m[1], m[2], m[3], m[4]
-            if silent is not None:
-                yield "tag", silent.lower(), False, self.muted()
-            elif name is not None:
-                name = name.lower()
-                if end:
-                    muted = self.muted()
-                    if any(name == n for n, _ in self.open):
-                        while self.open.pop()[0] != name:
-                            pass
-                    yield "tag", name, True, muted
-                else:
-                    self._start(name, rest)
+        for text, name, end, rest in _pieces(page):
+            if name is None:
+                if not self.state()[3]:
+                    yield "word", text, self.context(), self.muted()
+            elif end:
+                muted = self.muted()
+                if self.places.get(name):
+                    self._cut(self.places[name][-1])
+                yield "tag", name, True, muted
+            else:
+                if name in _WHOLE:
                     yield "tag", name, False, self.muted()
-            elif whole[0] != "<" or whole == "<":
-                if not any(n in SILENT for n, _ in self.open):
-                    yield "word", whole, self.context(), self.muted()
+                    continue
+                self._start(name, rest)
+                yield "tag", name, False, self.muted()
+
+    def _cut(self, size: int) -> None:
+        while len(self.open) > size:
+            self.places[self.open.pop()[0]].pop()
 
     def _start(self, name: str, rest: str) -> None:
-        if name in _ENDS_P:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == "p":
-                    del self.open[k:]
-                    break
-                if self.open[k][0] in _SCOPE:
-                    break
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in _SIBLINGS.get(name, ()):
-                del self.open[k:]
-                break
-            if self.open[k][0] in _SCOPE:
-                break
+        ended = (("p",) if name in _ENDS_P else (), _SIBLINGS.get(name, ()))
+        for names in ended:
+            at = max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+            scope = self.state()[5]
+            if at > scope or at == scope >= 0:
+                self._cut(at)
         if name in VOID or rest.rstrip().endswith("/") and name not in BLOCKS:
             return
-        inside = any(n in ("article", "main") for n, _ in self.open)
-        furniture = name in FURNITURE and not (name == "figcaption" and inside)
-        if not furniture and rest and "=" in rest and name not in ("html", "body", "article", "main", "a", "p"):
-            furniture = any(FURNITURE_NAMES.search(v[0] or v[1] or v[2]) for v in _NAMED.findall(rest))
-        self.open.append((name, furniture))
+        inside, outer, inner, silent, context, scope = self.state()
+        # A header within an article holds its title, a caption belongs to its figure.
+        furniture = name in FURNITURE and not (inside and name in ("figcaption", "header"))
+        if not furniture and "=" in rest and name not in ("html", "body", "article", "main", "a"):
+            for v in _NAMED.findall(rest):
+                found = FURNITURE_NAMES.search(v[0] or v[1] or v[2])
+                furniture |= found is not None and not (inside and found[0].strip(" _-").lower() == "header")
+        if name in self.TELLING and not (name == "a" and context in ("p", "heading", "blockquote", "article", "main")):
+            context = "heading" if name[0] == "h" and name[1:].isdigit() else name
+        inside = inside or name in ("article", "main")
+        place = len(self.open)
+        self.places.setdefault(name, []).append(place)
+        self.open.append((name, inside, outer or furniture and not inside, inner or furniture and inside, silent or name in SILENT, context, place if name in _SCOPE else scope))
 
 
 @lru_cache(maxsize=1)
@@ -201,9 +261,9 @@ def extract(page: str | None) -> str:
 def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """Append ``main_text`` to every page.  A row's text depends on that row alone: no shuffle."""
 
-    @F.pandas_udf("string")
-    def text_of(values: pd.Series) -> pd.Series:
-        return values.map(extract)
+    @F.arrow_udf("string")
+    def text_of(values: pa.Array) -> pa.Array:
+        return pa.array([extract(v) for v in values.to_pylist()], pa.string())
 
     return pages.withColumn("main_text", text_of(F.col(html).cast("string")))
 
