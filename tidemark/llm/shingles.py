@@ -9,7 +9,11 @@ _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A second hash for where 64 bits don't suffice.
+_BYTE2 = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
+_BASES = (_BASE, _INVERSE, _BASE2, np.uint64(pow(int(_BASE2), -1, 2**64)))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64)] * 4
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -19,14 +23,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
+def _powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse."""
+    at = 2 * second
+    if len(_POWERS[at]) < n:
         size = max(n, 1 << 18)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
+        for k in (at, at + 1):
+            p = np.full(size, _BASES[k], np.uint64)
             p[0] = 1
             _POWERS[k] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    return _POWERS[at][:n], _POWERS[at + 1][:n]
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:

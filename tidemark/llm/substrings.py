@@ -16,8 +16,8 @@ strings in between repeated.  In large groups the order at each place before the
 anchors follows from the order behind it by one stable pass over the preceding
 bytes, with the common prefixes carried along.
 
-Spread.  Anchors with equal surroundings prove each other repeated without being
-compared, so of many copies one is sorted.  A range partitioning by (context,
+Spread.  Anchors with equal surroundings (by two 64-bit hashes) prove each other
+repeated without being compared, so of many copies one is sorted.  A range partitioning by (context,
 surroundings, place) spreads them, whatever one surrounding's share.  A context with more
 than ``MAX_GROUP`` different surroundings is not gathered: the strings around
 its anchors are counted one by one (same results, tested with a small limit).
@@ -285,7 +285,7 @@ def _range_min(lcp: np.ndarray, new: np.ndarray) -> np.ndarray:
     return out
 
 
-_ANCHOR = "context long, around long, did long, th long, pos int"
+_ANCHOR = "context long, around long, around2 long, did long, th long, pos int"
 
 
 def _did() -> F.Column:
@@ -311,7 +311,9 @@ def _anchor_rows(batches, length: int, context: int):
                 continue
             n = len(places)
             lo, hi = np.maximum(places - reach, 0), np.minimum(places + length, len(data))
-            found.append((_range_prints(data, places, places + context), _range_prints(data, lo, hi) ^ mix((places - lo).astype(np.uint64)), np.full(n, did), np.full(n, th), places))
+            before = mix((places - lo).astype(np.uint64))
+            prints = [_range_prints(data, lo, hi, second) ^ before for second in (False, True)]  # 128 bits, as equal ones count as equal strings
+            found.append((_range_prints(data, places, places + context), *prints, np.full(n, did), np.full(n, th), places))
             held += len(data)
             if held > SLICE_BYTES:
                 yield _anchor_frame(found)
@@ -321,16 +323,16 @@ def _anchor_rows(batches, length: int, context: int):
 
 
 def _anchor_frame(found: list) -> pd.DataFrame:
-    context, around, did, th, pos = map(np.concatenate, zip(*found))
-    return pd.DataFrame({"context": context.view("<i8"), "around": around.view("<i8"), "did": did, "th": th, "pos": pos.astype(np.int32)})
+    context, around, around2, did, th, pos = map(np.concatenate, zip(*found))
+    return pd.DataFrame({"context": context.view("<i8"), "around": around.view("<i8"), "around2": around2.view("<i8"), "did": did, "th": th, "pos": pos.astype(np.int32)})
 
 
-def _range_prints(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hash of data[lo:hi] for each range."""
-    from .shingles import _BYTE, _powers
+def _range_prints(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hash of data[lo:hi] for each range, by one of two hashes."""
+    from .shingles import _BYTE, _BYTE2, _powers
 
-    up, down = _powers(len(data) + 1)
-    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
+    up, down = _powers(len(data) + 1, second)
+    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_BYTE2 if second else _BYTE)[data] * up[: len(data)], dtype=np.uint64)))
     return mix((run[hi] - run[lo]) * down[lo] + (hi - lo).astype(np.uint64) * _FACTOR)
 
 
@@ -342,9 +344,9 @@ def _sift(batches):
     for b in batches:
         if not len(b):
             continue
-        c, a = b["context"].to_numpy(), b["around"].to_numpy()
+        c, a, a2 = b["context"].to_numpy(), b["around"].to_numpy(), b["around2"].to_numpy()
         new_c = np.concatenate(([True], c[1:] != c[:-1]))
-        new_a = new_c | np.concatenate(([True], a[1:] != a[:-1]))
+        new_a = new_c | np.concatenate(([True], (a[1:] != a[:-1]) | (a2[1:] != a2[:-1])))
         run_c, run_a = np.cumsum(new_c) - 1, np.cumsum(new_a) - 1
         kinds = np.bincount(run_c[new_a])
         open_c = (run_c == 0) | (run_c == run_c[-1])
@@ -422,11 +424,12 @@ def _counted(rows: DataFrame, length: int, reach: int) -> DataFrame:
                 lo = np.arange(max(0, len(data) - length + 1))
                 lo = lo[lo <= before]
                 if len(lo):
-                    yield pd.DataFrame({"context": context, "print": _range_prints(data, lo, lo + length).view("<i8"), "did": did, "th": th, "pos": pos, "s": (pos - before + lo).astype(np.int32)})
+                    one, two = (_range_prints(data, lo, lo + length, second).view("<i8") for second in (False, True))
+                    yield pd.DataFrame({"context": context, "print": one, "print2": two, "did": did, "th": th, "pos": pos, "s": (pos - before + lo).astype(np.int32)})
 
-    each = rows.mapInPandas(strings, "context long, print long, did long, th long, pos int, s int")
-    twice = each.groupBy("context", "print").agg(F.min(F.struct("did", "th", "s")).alias("a"), F.max(F.struct("did", "th", "s")).alias("b")).where("a <> b").select("context", "print")
-    return each.join(twice, ["context", "print"]).select("did", "th", "s", (F.col("s") + length).alias("e"))
+    each = rows.mapInPandas(strings, "context long, print long, print2 long, did long, th long, pos int, s int")
+    twice = each.groupBy("context", "print", "print2").agg(F.min(F.struct("did", "th", "s")).alias("a"), F.max(F.struct("did", "th", "s")).alias("b")).where("a <> b").select("context", "print", "print2")
+    return each.join(twice, ["context", "print", "print2"]).select("did", "th", "s", (F.col("s") + length).alias("e"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT, max_group: int = MAX_GROUP) -> DataFrame:
@@ -435,7 +438,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT
     texts = _identified(docs)
     rows = texts.select("did", "th", "text").mapInPandas(lambda b: _anchor_rows(b, length, context), _ANCHOR)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sifted = rows.repartitionByRange(n, "context", "around", "did", "pos").sortWithinPartitions("context", "around").mapInPandas(_sift, "kind string, " + _ANCHOR)
+    sifted = rows.repartitionByRange(n, "context", "around", "around2", "did", "pos").sortWithinPartitions("context", "around", "around2").mapInPandas(_sift, "kind string, " + _ANCHOR)
     sifted = materialize(sifted, "anchors")
     _release(spark)
     to_sort = sifted.where("kind = 'sort'").groupBy("did", "th").agg(F.collect_list(F.struct("context", "pos")).alias("places"))  # of one document
