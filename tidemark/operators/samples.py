@@ -33,13 +33,19 @@ def context(cells: DataFrame, by: list[str], order: str, value: str, most: int =
     return x.withColumn("context", padded).drop("_c").where(F.col("n_context") >= least)
 
 
-def chronological_split(rows: DataFrame, date: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """Append split by date: cut dates are exact percentiles over the rows' counts a date, so nothing is ranked row by row."""
+def chronological_split(rows: DataFrame, date: str, key: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
+    """Append split: the first int(n * train) rows by date and key, the next int(n * validation), the rest.
+
+    A row's rank is the number of rows of earlier dates and its rank on its own
+    date, so only one date's rows are ranked together.
+    """
     days = rows.groupBy(date).agg(F.count("*").alias("_n"))
-    run = F.sum("_n").over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0))
-    share = days.select(date, (run / F.sum("_n").over(Window.partitionBy())).alias("_share"))
-    split = F.when(F.col("_share") <= train, "train").when(F.col("_share") <= train + validation, "validation").otherwise("test")
-    return rows.join(share.select(date, split.alias("split")), date)
+    before = F.sum("_n").over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1))  # a row a date
+    places = days.select(date, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(date).orderBy(key))
+    first, second = F.floor(F.col("_all") * train), F.floor(F.col("_all") * validation)
+    split = F.when(rank <= first, "train").when(rank <= first + second, "validation").otherwise("test")
+    return rows.join(places, date).select(*rows.columns, split.alias("split"))
 
 
 def hashed_split(rows: DataFrame, key: str, seed: int = 42, train: float = 0.7, validation: float = 0.15) -> DataFrame:

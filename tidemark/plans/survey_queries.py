@@ -415,11 +415,11 @@ UNCOVERED = f"with {k.CELLS}, {k.SLUMPS} select event_id, s.transect_idx, cast(y
 
 
 def split_by_date(spark, d):
-    return samples.chronological_split(k.slumps(spark, d).select("event_id", "start_date"), "start_date")
+    return samples.chronological_split(k.slumps(spark, d).select("event_id", "start_date"), "start_date", "event_id")
 
 
-SPLIT = f"""with {k.SLUMPS}, s as (select start_date, sum(count(*)) over (order by start_date) / (select count(*) from slumps)::double as share from slumps group by 1)
-select event_id, e.start_date, case when share <= 0.7 then 'train' when share <= 0.7::double + 0.15::double then 'validation' else 'test' end as split from slumps e join s on e.start_date = s.start_date"""
+SPLIT = f"""with {k.SLUMPS}, s as (select event_id, start_date, row_number() over (order by start_date, event_id) as r, count(*) over () as n from slumps)
+select event_id, start_date, case when r <= floor(n * 0.7::double) then 'train' when r <= floor(n * 0.7::double) + floor(n * 0.15::double) then 'validation' else 'test' end as split from s"""
 
 
 def expected_columns(spark, d):

@@ -199,16 +199,6 @@ SEASONS = f"""with {k.CLIMATE} select beach, case when month(date) in (12, 1, 2)
  round(avg(temp_mean_c), 6) as mean, round(stddev_samp(temp_mean_c), 6) as std from climate group by all"""
 
 
-def climate_high_risk_days(spark, d):
-    x = k.climate(spark, d).withColumn("p7", series.rolling_sum(F.col("precip_mm"), ["beach"], "date", 7))
-    limit = x.groupBy("beach").agg(F.percentile("p7", 0.75).alias("limit"))
-    return _round(x.join(F.broadcast(limit), "beach").where("p7 > limit and p7 > 50").select("beach", "date", "p7"), "p7")
-
-
-HIGH_RISK = f"""with {k.CLIMATE}, x as (select *, sum(precip_mm) over (partition by beach order by date rows 6 preceding) as p7 from climate), l as (select beach, quantile_cont(p7, 0.75) as l from x group by 1)
-select x.beach, date, round(p7, 6) as p7 from x join l on x.beach = l.beach where p7 > l and p7 > 50"""
-
-
 def climate_year_mean(spark, d):
     x = k.climate(spark, d).withColumn("mean_365d", series.rolling_days_mean(F.col("precip_mm"), ["beach"], "date", 365) + 1e-9)  # off rounding ties
     return _round(x.select("beach", "date", "mean_365d"), "mean_365d")
@@ -229,5 +219,5 @@ QUERIES = {
     "wave_ecdf": (wave_ecdf, WAVE_ECDF), "wave_histogram": (wave_histogram, WAVE_HISTOGRAM), "wave_correlations": (wave_correlations, WAVE_CORRELATIONS), "wave_feature_stats": (wave_feature_stats, WAVE_FEATURE_STATS),
     "climate_daily_features": (climate_daily_features, CLIMATE_FEATURES), "climate_climatology": (climate_climatology, CLIMATOLOGY), "climate_month_by_year": (climate_month_by_year, MONTH_BY_YEAR),
     "climate_extreme_months": (climate_extreme_months, EXTREME_MONTHS), "climate_completeness": (climate_completeness, COMPLETENESS), "climate_return_periods": (climate_return_periods, RETURN_PERIODS),
-    "climate_seasons": (climate_seasons, SEASONS), "climate_high_risk_days": (climate_high_risk_days, HIGH_RISK), "climate_year_mean": (climate_year_mean, YEAR_MEAN), "climate_window": (climate_window, None),
+    "climate_seasons": (climate_seasons, SEASONS), "climate_year_mean": (climate_year_mean, YEAR_MEAN), "climate_window": (climate_window, None),
 }
