@@ -62,8 +62,7 @@ def event_asof_wave(spark, d):
     return joins.asof_join(probe, w.where("hs >= 20"), ["mop_id"], "at", "ts", ["ts", "hs"], strict=True)
 
 
-EVENT_ASOF = f"""with {k.WAVES}, p as (select event_id as probe, mop_id, ts as at from waves where event_id % 50 = 0), h as (select mop_id, ts, hs from waves where hs >= 20), m as (select probe, max(h.ts) as ts from p join h on p.mop_id = h.mop_id and h.ts < p.at group by 1)
-select p.probe, p.mop_id, p.at, h.ts, h.hs from p left join m on p.probe = m.probe left join h on h.mop_id = p.mop_id and h.ts = m.ts"""
+EVENT_ASOF = f"with {k.WAVES}, h as (select * from waves where hs >= 20) select w.event_id as probe, w.mop_id, w.ts as at, h.ts, h.hs from waves w asof left join h on w.mop_id = h.mop_id and w.ts > h.ts"
 
 
 def event_forward_wave(spark, d):
@@ -72,7 +71,7 @@ def event_forward_wave(spark, d):
     return joins.asof_join(probe, w.where("hs >= 20"), ["mop_id"], "at", "ts", ["ts", "hs"], direction="forward")
 
 
-EVENT_FORWARD = EVENT_ASOF.replace("max(h.ts)", "min(h.ts)").replace("h.ts < p.at", "h.ts >= p.at")
+EVENT_FORWARD = EVENT_ASOF.replace("w.ts > h.ts", "w.ts <= h.ts")
 
 
 def event_overlap(spark, d):
@@ -84,7 +83,7 @@ def event_overlap(spark, d):
     return joins.interval_overlap(a, b, "a_lo", "a_hi", "b_lo", "b_hi", 90, [("ta", "tb")]).where("a < b").select("a", "b", F.col("ta").alias("transect_idx"))
 
 
-EVENT_OVERLAP = f"with {k.SLUMPS}, s as (select * from slumps where volume > 270) select x.event_id as a, y.event_id as b, x.transect_idx from s x join s y on x.transect_idx = y.transect_idx and x.event_id < y.event_id and x.start_date <= y.end_date and y.start_date <= x.end_date"
+EVENT_OVERLAP = f"with {k.SLUMPS}, s as (select * from slumps) select x.event_id as a, y.event_id as b, x.transect_idx from s x join s y on x.transect_idx = y.transect_idx and x.event_id < y.event_id and x.start_date <= y.end_date and y.start_date <= x.end_date"
 
 
 def event_nearest_transect(spark, d):
@@ -148,7 +147,7 @@ def points_normalised(spark, d):
     return _round(n.groupBy("las_source").agg(F.avg("v").alias("mean"), F.count("*").alias("n")), "mean")
 
 
-POINTS_NORMALISED = f"with {k.POINTS}, x as (select las_source, intensity, max(intensity) over (partition by las_source) as top from points where y >= 49) select las_source, round(avg(intensity / case when top > 0 then top else 1 end), 6) as mean, count(*) as n from x group by 1"
+POINTS_NORMALISED = f"with {k.POINTS}, x as (select las_source, intensity, max(intensity) over (partition by las_source) as top from points) select las_source, round(avg(intensity / case when top > 0 then top else 1 end), 6) as mean, count(*) as n from x group by 1"
 
 
 def _lines(spark):
@@ -186,7 +185,7 @@ def points_voxels(spark, d):
     return _round(profile.voxel_bins(p, ["las_source"], 1.0).select("las_source", "bin", "n", "mean", "std", "range", "valid"), "mean", "std", "range")
 
 
-POINTS_VOXELS = f"""with {k.POINTS}, a as (select las_source, x, z, min(x) over w as lo, max(x) over w as hi from points where las_source <= 20 window w as (partition by las_source)),
+POINTS_VOXELS = f"""with {k.POINTS}, a as (select las_source, x, z, min(x) over w as lo, max(x) over w as hi from points window w as (partition by las_source)),
 b as (select *, cast(least(greatest(floor((hi - lo) / 1.0), 1), 128) as integer) as nb from a), c as (select *, cast(least(floor((x - lo) / greatest((hi - lo) / nb, 1e-8)), nb - 1) as integer) as bin from b)
 select las_source, bin, count(*) as n, round(case when count(*) >= 3 then avg(z) else 0 end, 6) as mean, round(case when count(*) >= 3 then stddev_pop(z) else 0 end, 6) as std, round(case when count(*) >= 3 then max(z) - min(z) else 0 end, 6) as range, count(*) >= 3 as valid from c group by 1, 2"""
 
@@ -324,7 +323,7 @@ def cube_labels(spark, d):
     return _round(x.withColumn("collapse", F.array_join(F.col("collapse").cast("array<string>"), "")), "volume", "risk")
 
 
-CUBE_LABELS = f"""with {k.CELLS}, {k.SLUMPS}, e as (select transect_idx, cast(year(start_date) - 1995 as integer) as epoch_idx, sum(volume) as volume, arg_min(case when volume < 10 then 0 when volume < 50 then 1 when volume < 200 then 2 else 3 end, event_id) as event_class, max(height) as height from slumps where volume > 250 group by 1, 2),
+CUBE_LABELS = f"""with {k.CELLS}, {k.SLUMPS}, e as (select transect_idx, cast(year(start_date) - 1995 as integer) as epoch_idx, sum(volume) as volume, arg_min(case when volume < 10 then 0 when volume < 50 then 1 when volume < 200 then 2 else 3 end, event_id) as event_class, max(height) as height from slumps group by 1, 2),
 x as (select c.transect_idx, c.epoch_idx, coalesce(volume, 0) as volume, coalesce(event_class, 0) as event_class, coalesce(height, 0) as height from cells c left join e on c.transect_idx = e.transect_idx and c.epoch_idx = e.epoch_idx)
 select transect_idx, epoch_idx, round(volume, 6) as volume, event_class, height, round(1 / (1 + exp(-0.5 * (ln(1 + volume) * least(greatest(1 + 0.05 * (height - 15), 0.5), 2) - 4))), 6) as risk, case when volume >= 10 then '1111' else '0000' end as collapse from x"""
 

@@ -71,7 +71,7 @@ def wave_lookback(spark, d):
     return _round(series.lookback_slots(scans, x, ["mop_id"], "scan_ts", "ts", "hs", 20, 6, ["scan"]), "hs")
 
 
-WAVE_LOOKBACK = f"""with {k.WAVES}, s as (select event_id as scan, mop_id, floor(epoch(ts))::bigint - 19 * 21600 as f from waves where event_id % 500 = 0),
+WAVE_LOOKBACK = f"""with {k.WAVES}, s as (select event_id as scan, mop_id, floor(epoch(ts))::bigint - 19 * 21600 as f from waves),
 g as (select scan, slot::integer as slot from s, range(0, 20) t(slot)),
 m as (select scan, cast(floor((floor(epoch(w.ts))::bigint - f) / 21600) as integer) as slot, avg(hs) as hs from s join waves w on s.mop_id = w.mop_id and floor(epoch(w.ts))::bigint >= f and floor(epoch(w.ts))::bigint < f + 20 * 21600 group by 1, 2)
 select g.scan, g.slot, round(hs, 6) as hs from g left join m on g.scan = m.scan and g.slot = m.slot"""
@@ -99,7 +99,7 @@ def wave_ecdf(spark, d):
     return _round(stats.ecdf(k.waves(spark, d), "hs", ["mop_id"]), "share")
 
 
-WAVE_ECDF = f"with {k.WAVES} select distinct hs, round(cume_dist() over (order by hs), 6) as share from waves where mop_id = 3"
+WAVE_ECDF = f"with {k.WAVES} select distinct mop_id, hs, round(cume_dist() over (partition by mop_id order by hs), 6) as share from waves"
 
 
 def wave_histogram(spark, d):
@@ -170,8 +170,8 @@ def climate_extreme_months(spark, d):
     return stats.monthly_counts(k.climate(spark, d), "date", F.col("precip_mm") >= 38, ["beach"])
 
 
-EXTREME_MONTHS = f"""with {k.CLIMATE}, m as (select cast(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), interval 1 month)) as date) as month from climate where beach = 1),
-h as (select cast(date_trunc('month', date) as date) as month, count(*) as n from climate where beach = 1 and precip_mm >= 38 group by 1) select m.month, coalesce(h.n, 0) as n from m left join h on m.month = h.month"""
+EXTREME_MONTHS = f"""with {k.CLIMATE}, m as (select beach, cast(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), interval 1 month)) as date) as month from climate group by beach),
+h as (select beach, cast(date_trunc('month', date) as date) as month, count(*) as n from climate where precip_mm >= 38 group by all) select m.beach, m.month, coalesce(h.n, 0) as n from m left join h on m.beach = h.beach and m.month = h.month"""
 
 
 def climate_completeness(spark, d):
