@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from array import array
 from hashlib import sha256
 
 import numpy as np
@@ -96,3 +97,13 @@ def test_cut_points_follow_content():
 def test_crc_join():
     for a, b in ((b"", b"x"), (b"abc", b""), (b"abc", b"defgh" * 999)):
         assert token_store.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_units_of_odd_texts_are_the_library(tokenizer):
+    """Words go to the library's model by themselves; what joins them must not change their ids."""
+    rnd = random.Random(5)
+    pieces = ["a", "B", "é", "ß", " ", "  ", "\n", ".", "'", "'s", "9", "_", "ñ", "\t", "\xa0", "你", "😀", "ɏ", "ə", "\u0301", "!?", "\r"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(30))) for _ in range(3000)]
+    texts += ["x.\nAning it's Don't.\nIt'll a.\n\nb a. \nb", " .\na", "a.\nb c,\nd", "<|endoftext|> a"]
+    for raw, e in zip(token_store.encode_texts(texts, tokenizer_path()), tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert raw == array("I", e.ids).tobytes()

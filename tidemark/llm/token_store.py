@@ -31,8 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import text_or_empty
-from .units import split_units
+from .units import UnitCache, split_units
 
 END_ID = 0
 #: Chunks hold at least MIN_IDS ids (but for a document's last) and at most MAX_IDS, about MEAN_IDS beyond the least.
@@ -42,7 +43,9 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct units whose ids one Python worker remembers, and characters encoded at a time.
 CACHE_UNITS, SLICE_CHARS = 1_000_000, 4_000_000
 
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+#: A word, the marks after it, and the first word of the next line: each is a pre-token.
+_PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)(?:([!-&(-/:-@\[-`{-~]+)(?:\n([A-Za-zÀ-ÖØ-öø-ɏ]+))?)?").fullmatch
+_BYTE_CHARS = dict(enumerate(byte_alphabet()))
 _OBJECT = "kind string, key binary, doc_id long, n_tokens long, payload binary"
 
 
@@ -55,18 +58,41 @@ def _library(path: str):
 
 
 def _fill(tokenizer, known: dict, needed: set[str], lead: str, limit: int) -> None:
-    new = list(needed.difference(known))
+    """Add the ids of the needed units.
+
+    A word is one pre-token, so the library's model takes it as it is, in the
+    byte alphabet, without its normalised strings and offsets; units of another
+    form go through the whole tokenizer.
+    """
+    new = needed.difference(known)
     if len(known) + len(new) > limit:
         known.clear()
-        new = list(needed)
-    # Letters and the punctuation after them are pre-tokens of their own: both parts are shared by many units.
-    parts = {p: m.groups() for p, m in zip(new, map(_WORD_AND_MARKS, new)) if m}
-    alone = [p for p in {w for w, _ in parts.values()}.union(new) if p not in parts and p not in known]
-    for p, e in zip(alone, tokenizer.encode_batch_fast([lead + p for p in alone], add_special_tokens=False)):
-        known[p] = array("I", e.ids).tobytes()
-    marks = {t: array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in {t for _, t in parts.values()}}
-    for p, (stem, tail) in parts.items():
-        known[p] = known[stem] + marks[tail]
+        new = needed
+    tokenize, space = tokenizer.model.tokenize, lead and _BYTE_CHARS[ord(lead)]
+
+    def word(w: str, before: str) -> bytes:
+        chars = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array("I", [t.id for t in tokenize(before + chars)]).tobytes()
+
+    def plain(text: str) -> bytes:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    marks, bare, other = UnitCache(plain, limit), UnitCache(lambda w: word(w, ""), limit), []
+    for unit in new:
+        parts = _PARTS(unit)
+        if parts is None:
+            other.append(unit)
+            continue
+        stem, tail, after = parts.groups()
+        ids = known.get(stem)
+        if ids is None:
+            ids = known[stem] = word(stem, space)
+        if after:
+            known[unit] = ids + marks[tail + "\n"] + bare[after]
+        elif tail:
+            known[unit] = ids + marks[tail]
+    for unit, e in zip(other, tokenizer.encode_batch_fast([lead + u for u in other], add_special_tokens=False)):
+        known[unit] = array("I", e.ids).tobytes()
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
