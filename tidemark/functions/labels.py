@@ -75,7 +75,7 @@ def mapped_path(path: Column, prefixes: dict[str, str]) -> Column:
     """A path with its longest known prefix replaced."""
     chain = None
     for old in sorted(prefixes, key=len, reverse=True):
-        new = F.concat(F.lit(prefixes[old]), F.substring(path, len(old) + 1, 10_000))
+        new = F.concat(F.lit(prefixes[old]), F.substr(path, F.lit(len(old) + 1)))
         chain = F.when(path.startswith(old), new) if chain is None else chain.when(path.startswith(old), new)
     return path if chain is None else chain.otherwise(path)
 
@@ -89,3 +89,19 @@ def colour(r: Column, g: Column, b: Column) -> Column:
     """``rgb(r,g,b)`` from channels in 0..1; a missing channel is 128."""
     byte = lambda c: F.least(F.greatest(F.coalesce((c * 255).cast("int"), F.lit(128)), F.lit(0)), F.lit(255))
     return F.format_string("rgb(%d,%d,%d)", byte(r), byte(g), byte(b))
+
+
+def mop_base(name: Column) -> Column:
+    """Digits of the part before ``_``, without the prefix: ``MOP 520_001`` is 520."""
+    base = F.split_part(F.regexp_replace(name, "MOP |mop ", ""), F.lit("_"), F.lit(1))
+    return F.nullif(F.regexp_replace(base, "[^0-9]", ""), F.lit("")).try_cast("int")
+
+
+def survey_date(name: Column) -> Column:
+    """The date of a name that starts with eight digits and ``_``; else null."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(name, "^([0-9]{8})_", 1), F.lit("")), F.lit("yyyyMMdd")).cast("date")
+
+
+def mop_alongshore(alongshore_m: Column, first_mop: Column) -> Column:
+    """A hundred metres along the shore are one number."""
+    return first_mop + alongshore_m / 100.0

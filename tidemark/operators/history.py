@@ -105,7 +105,7 @@ def common_range(rows: DataFrame, by: list[str], epoch: str, x: str, value: str)
 
 def interpolated(at: Column, points: Column) -> Column:
     """Value at ``at`` on the line through sorted points (x, v); null outside them."""
-    left = F.element_at(F.filter(points, lambda p: p["x"] <= at), -1)
+    left = F.try_element_at(F.filter(points, lambda p: p["x"] <= at), F.lit(-1))
     right = F.get(F.filter(points, lambda p: p["x"] >= at), 0)
     slope = (right["v"] - left["v"]) / (right["x"] - left["x"])
     return F.when(left.isNull() | right.isNull(), None).when(right["x"] == left["x"], left["v"]).otherwise(left["v"] + slope * (at - left["x"]))

@@ -115,10 +115,10 @@ EVENT_RISK = f"""with {k.SLUMPS} select event_id, case when volume < 10 then 0 w
 
 
 def event_queue(spark, d):
-    return samples.queue(k.slumps(spark, d), ["transect_idx", "start_date"], 500).select("event_id", "transect_idx", "volume", "position")
+    return samples.queue(k.slumps(spark, d), ["transect_idx", "start_date"], 2000).select("event_id", "transect_idx", "volume", "position")
 
 
-EVENT_QUEUE = f"""with {k.SLUMPS}, b as (select *, row_number() over (partition by transect_idx, start_date order by volume desc, event_id) as r from slumps), t as (select * from b where r = 1 order by volume desc, event_id limit 500)
+EVENT_QUEUE = f"""with {k.SLUMPS}, b as (select *, row_number() over (partition by transect_idx, start_date order by volume desc, event_id) as r from slumps), t as (select * from b where r = 1 order by volume desc, event_id limit 2000)
 select event_id, transect_idx, volume, cast(row_number() over (order by volume desc, event_id) as integer) as position from t"""
 
 
@@ -466,11 +466,11 @@ SITE_LABELS = f"with {k.PROBES}, m as (select distinct mop from probes) select m
 
 def scan_coverage(spark, d):
     c = k.climate(spark, d)
-    scans = c.where("day(date) = 1").select("beach", F.col("date").alias("scan_date"), F.concat_ws("/", "beach", "date").alias("scan"))
+    scans = c.select("beach", F.col("date").alias("scan_date"), F.concat_ws("/", "beach", "date").alias("scan"))
     return selection.scan_coverage(scans, c, ["beach"], "scan_date", "date", 10, ["scan"])
 
 
-SCAN_COVERAGE = f"""with {k.CLIMATE}, s as (select beach, date as scan_date, beach || '/' || date as scan from climate where day(date) = 1), x as (select scan, count(c.date) as days from s left join (select distinct beach, date from climate) c on c.beach = s.beach and c.date between s.scan_date - 9 and s.scan_date group by 1)
+SCAN_COVERAGE = f"""with {k.CLIMATE}, s as (select beach, date as scan_date, beach || '/' || date as scan from climate), x as (select scan, count(c.date) as days from s left join (select distinct beach, date from climate) c on c.beach = s.beach and c.date between s.scan_date - 9 and s.scan_date group by 1)
 select scan, days, case when days = 10 then 'covered' when days > 0 then 'partial' else 'missing' end as status from x"""
 
 

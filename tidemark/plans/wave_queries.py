@@ -208,16 +208,23 @@ YEAR_MEAN = f"with {k.CLIMATE} select beach, date, round(avg(precip_mm) over (pa
 
 
 def climate_window(spark, d):
+    """The 30 days up to every day of every beach."""
     x = k.climate(spark, d)
-    scans = x.where("day(date) = 15 and month(date) = 6").select("beach", F.col("date").alias("scan_date"), F.concat_ws("-", "beach", F.year("date")).alias("scan"))
+    scans = x.select("beach", F.col("date").alias("scan_date"), F.concat_ws("/", "beach", "date").alias("scan"))
     return _round(series.daily_window(scans, x, ["beach"], "scan_date", "date", ["dewpoint_c"], 30, ["scan"]), "dewpoint_c")
 
 
+CLIMATE_WINDOW = f"""with {k.CLIMATE}, w as (select s.beach || '/' || s.date as scan, cast(i as integer) as day_no, s.date - 29 + cast(i as integer) as date, c.date is not null as there, c.dewpoint_c as v from climate s cross join range(0, 30) t(i) left join climate c on c.beach = s.beach and c.date = s.date - 29 + cast(i as integer)),
+x as (select *, count(*) filter (there) over p = 30 as complete, avg(v) over p as mean, max(case when v is not null then day_no end) over (p order by day_no) as a, min(case when v is not null then day_no end) over (p order by day_no rows between current row and unbounded following) as b from w window p as (partition by scan)),
+y as (select x.*, l.v as av, r.v as bv from x left join w l on l.scan = x.scan and l.day_no = x.a left join w r on r.scan = x.scan and r.day_no = x.b)
+select scan, day_no, date, round(case when complete or v is not null then v when av is not null and day_no - a <= 3 then case when bv is not null then av + (bv - av) * (day_no - a)::double / (b - a)::double else av end else coalesce(mean, 0) end, 6) as dewpoint_c from y"""
+
+
 QUERIES = {
     "wave_site_summary": (wave_site_summary, WAVE_SITE_SUMMARY), "wave_trend": (wave_trend, WAVE_TREND), "wave_physics": (wave_physics, WAVE_PHYSICS), "wave_storms": (wave_storms, WAVE_STORMS),
     "wave_resample_6h": (wave_resample_6h, WAVE_RESAMPLE), "wave_lookback": (wave_lookback, WAVE_LOOKBACK), "wave_lookback_filled": (wave_lookback_filled, WAVE_LOOKBACK_FILLED), "wave_rose": (wave_rose, WAVE_ROSE),
     "wave_ecdf": (wave_ecdf, WAVE_ECDF), "wave_histogram": (wave_histogram, WAVE_HISTOGRAM), "wave_correlations": (wave_correlations, WAVE_CORRELATIONS), "wave_feature_stats": (wave_feature_stats, WAVE_FEATURE_STATS),
     "climate_daily_features": (climate_daily_features, CLIMATE_FEATURES), "climate_climatology": (climate_climatology, CLIMATOLOGY), "climate_month_by_year": (climate_month_by_year, MONTH_BY_YEAR),
     "climate_extreme_months": (climate_extreme_months, EXTREME_MONTHS), "climate_completeness": (climate_completeness, COMPLETENESS), "climate_return_periods": (climate_return_periods, RETURN_PERIODS),
-    "climate_seasons": (climate_seasons, SEASONS), "climate_year_mean": (climate_year_mean, YEAR_MEAN), "climate_window": (climate_window, None),
+    "climate_seasons": (climate_seasons, SEASONS), "climate_year_mean": (climate_year_mean, YEAR_MEAN), "climate_window": (climate_window, CLIMATE_WINDOW),
 }
