@@ -66,3 +66,17 @@ def test_long_paths_are_kept_whole(spark):
     path = "/a/" + "x" * 30_000
     got = spark.createDataFrame([(path,)], "p string").select(lab.mapped_path(F.col("p"), {"/a/": "/b/"}).alias("p")).first().p
     assert got == "/b/" + "x" * 30_000
+
+
+def test_aliases_take_the_first_there(spark):
+    rows = spark.createDataFrame([(1.0, 2.0)], "Hs double, hs_ double")
+    got = lookups.with_aliases(rows, {"hs": ("waveHs", "Hs", "hs_"), "tp": ("waveTp",)}).first()
+    assert tuple(got) == (1.0, None)
+
+
+def test_events_of_a_cell_or_the_queue(spark):
+    cells = spark.createDataFrame([(1, 0), (2, 0)], "t int, e int")
+    events = spark.createDataFrame([(7, 1, 0, 5.0), (6, 1, 0, 5.0), (9, 3, 0, 50.0)], "id int, t int, e int, v double")
+    pick = lambda ev: {(r.t, r.id, r.source) for r in lookups.events_or_queued(cells, ev, ["t", "e"], "id", "v").collect()}
+    assert pick(events) == {(1, 6, "cell"), (2, 9, "queue")}
+    assert pick(events.where("id > 99")) == {(1, None, "queue"), (2, None, "queue")}

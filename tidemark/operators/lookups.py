@@ -78,3 +78,18 @@ def density(rows: DataFrame, by: list[str], value: str, n: int = 30) -> DataFram
     binned = x.groupBy(*by, F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_w")), F.lit(n - 1)).cast("int").alias("bin")).agg(F.count("*").alias("_n"), F.first("_w").alias("_w"))
     total = binned.groupBy(*by).agg(F.sum("_n").alias("_t"))
     return binned.join(total, by).select(*by, "bin", (F.col("_n") / F.col("_t") / F.col("_w")).alias("density"))
+
+
+def with_aliases(rows: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The named columns, each from the first of its aliases that the table has; null where it has none."""
+    pick = lambda name, aliases: next((F.col(f"`{a}`") for a in aliases if a in rows.columns), F.lit(None).cast("double")).alias(name)
+    return rows.select(*[pick(name, aliases) for name, aliases in names.items()])
+
+
+def events_or_queued(cells: DataFrame, events: DataFrame, key: list[str], event: str, order: str) -> DataFrame:
+    """key, event, source: the foremost event (greatest ``order``, then smallest id) of each cell, else the foremost of all."""
+    first = F.max_by(F.col(event), F.struct(order, -F.col(event)))
+    own = events.groupBy(*key).agg(first.alias("_own"))
+    queued = events.agg(first.alias("_queued"))
+    out = cells.select(*key).join(own, key, "left").join(F.broadcast(queued))  # one row
+    return out.select(*key, F.coalesce("_own", "_queued").alias(event), F.when(F.col("_own").isNull(), "queue").otherwise("cell").alias("source"))

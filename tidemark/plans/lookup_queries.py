@@ -307,11 +307,50 @@ def points_unique(spark, d):
 
 POINTS_UNIQUE = f"with {k.POINTS} select round(x + 1e-7, 3) as x, round(y + 1e-7, 3) as y, round(z + 1e-7, 3) as z, count(*) as n from points group by 1, 2, 3"
 
+
+def wave_aliases(spark, d):
+    """Columns under whichever of their names a table has; one it lacks is null."""
+    x = k.waves(spark, d).withColumnsRenamed({"hs": "waveHs", "tp": "Tp"})
+    return lookups.with_aliases(x, {"event_id": ("event_id",), "hs": ("waveHs", "Hs", "hs"), "tp": ("waveTp", "Tp", "tp"), "dp": ("waveDp", "Dp", "dp"), "ta": ("waveTa", "Ta", "ta")})
+
+
+WAVE_ALIASES = f"with {k.WAVES} select event_id, hs, tp, dp, null::double as ta from waves"
+
+
+def transect_numbers(spark, d):
+    """A transect's number from the dimension where it is there, else from its name."""
+    c = F.col("c_custkey")
+    x = k.read(spark, d, "customer").select("c_custkey", F.when(c % 5 > 0, F.format_string("MOP %d_%03d", c % 90, c % 10)).otherwise("none").alias("name"))
+    known = k.probes(spark, d).select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("mop")).alias("_mop"))
+    return x.join(known, "c_custkey", "left").select("c_custkey", F.coalesce("_mop", lab.mop_base(F.col("name"))).alias("mop"))
+
+
+TRANSECT_NUMBERS = "select c_custkey, cast(case when c_custkey % 3 = 0 then 500 + c_custkey % 300 when c_custkey % 5 > 0 then c_custkey % 90 end as integer) as mop from customer"
+
+
+def cell_events(spark, d):
+    e = k.slumps(spark, d).select("event_id", "transect_idx", (F.year("start_date") - 1995).alias("epoch_idx"), "volume")
+    return lookups.events_or_queued(k.cells(spark, d), e, ["transect_idx", "epoch_idx"], "event_id", "volume")
+
+
+CELL_EVENTS = f"""with {k.CELLS}, {k.SLUMPS}, e as (select event_id, transect_idx, cast(year(start_date) - 1995 as integer) as epoch_idx, volume from slumps),
+r as (select *, row_number() over (partition by transect_idx, epoch_idx order by volume desc, event_id) as r from e)
+select c.transect_idx, c.epoch_idx, coalesce(r.event_id, (select event_id from e order by volume desc, event_id limit 1)) as event_id, case when r.event_id is null then 'queue' else 'cell' end as source from cells c left join r on r.transect_idx = c.transect_idx and r.epoch_idx = c.epoch_idx and r.r = 1"""
+
+
+def site_places(spark, d):
+    """Each source's middle, and whether its places are projected or degrees."""
+    x = k.points(spark, d).groupBy("las_source").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.bool_or((F.col("x") * 2 > 180) | (F.col("y") * 2 > 90)).alias("far"))
+    return _round(x.select("las_source", (F.col("x") + TIE).alias("x"), (F.col("y") + TIE).alias("y"), F.when(F.col("far"), "projected").otherwise("degrees").alias("kind")), "x", "y", digits=4)
+
+
+SITE_PLACES = f"with {k.POINTS} select las_source, round(avg(x) + 1e-7, 4) as x, round(avg(y) + 1e-7, 4) as y, case when bool_or(x * 2 > 180 or y * 2 > 90) then 'projected' else 'degrees' end as kind from points group by 1"
+
 QUERIES = {
     "profile_value_at": (profile_value_at, VALUE_AT), "profile_pair_change": (profile_pair_change, PAIR_CHANGE), "profile_value_range": (profile_value_range, VALUE_RANGE), "voxels_padded": (voxels_padded, VOXELS_PADDED), "voxels_metadata": (voxels_metadata, VOXELS_METADATA),
     "names_variants": (names_variants, NAMES_VARIANTS), "alongshore_sites": (alongshore_sites, ALONGSHORE), "site_geometry": (site_geometry, SITE_GEOMETRY), "files_near_lines": (files_near_lines, FILES_NEAR), "lines_in_extent": (lines_in_extent, LINES_IN),
     "wave_derived": (wave_derived, WAVE_DERIVED), "wave_daily_display": (wave_daily_display, WAVE_DAILY), "wave_availability": (wave_availability, AVAILABILITY), "epoch_gaps": (epoch_gaps, EPOCH_GAPS), "beach_coverage": (beach_coverage, BEACH_COVERAGE),
     "beach_half_open": (beach_half_open, HALF_OPEN), "quality_report": (quality_report, QUALITY), "sample_weights": (sample_weights, SAMPLE_WEIGHTS), "cube_with_cliffs": (cube_with_cliffs, CUBE_CLIFFS), "cube_overview": (cube_overview, CUBE_OVERVIEW),
     "cube_valid_ends": (cube_valid_ends, VALID_ENDS), "climate_density": (climate_density, CLIMATE_DENSITY), "transects_of_site": (transects_of_site, TRANSECTS_OF), "surveys_listed": (surveys_listed, SURVEYS), "series_parsed": (series_parsed, SERIES_PARSED),
-    "points_unique": (points_unique, POINTS_UNIQUE),
+    "points_unique": (points_unique, POINTS_UNIQUE), "wave_aliases": (wave_aliases, WAVE_ALIASES), "transect_numbers": (transect_numbers, TRANSECT_NUMBERS), "cell_events": (cell_events, CELL_EVENTS), "site_places": (site_places, SITE_PLACES),
 }
