@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk, urlfilter
+from . import centroids, negatives, topk, urlfilter
 from .common import scratch_path, table
 
 
@@ -76,5 +76,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_html": op1_html, "op2_token_store": op2_token_store, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_substrings": op9_substrings, "op10_language": op10_language}
-ORACLES: dict[str, str] = {"op3_topk": topk.oracle(), "op5_urls": urlfilter.oracle()}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), negatives.relabelled())
+
+
+QUERIES = {
+    "op1_html": op1_html, "op2_token_store": op2_token_store, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_jaccard": op6_jaccard, "op7_pii": op7_pii,
+    "op8_decontamination": op8_decontamination, "op9_substrings": op9_substrings, "op10_language": op10_language, "op11_centroids": op11_centroids, "op12_fingerprints": op12_fingerprints,
+    "op13_negatives": op13_negatives,
+}
+ORACLES: dict[str, str] = {"op3_topk": topk.oracle(), "op5_urls": urlfilter.oracle(), "op11_centroids": centroids.oracle(), "op13_negatives": negatives.oracle()}
