@@ -62,3 +62,19 @@ def nice_length(width: Column) -> Column:
     power = F.pow(F.lit(10.0), F.floor(F.log10(target)))
     options = F.array(power, 2 * power, 5 * power, 10 * power)
     return F.array_min(F.transform(options, lambda v: F.struct(F.abs(v - target).alias("off"), v.alias("v"))))["v"]
+
+
+def cell_number(value: Column, origin, cell: float) -> Column:
+    return F.floor((value - origin) / F.lit(float(cell))).cast("long")
+
+
+def _every_second_bit(v: Column) -> Column:
+    """The low 31 bits of a number, moved to the even places."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def morton(cx: Column, cy: Column) -> Column:
+    """Morton code of a cell (numbers below 2**31): its bits in turn, x at the even places."""
+    return _every_second_bit(cx).bitwiseOR(F.shiftleft(_every_second_bit(cy), 1))

@@ -145,10 +145,17 @@ def corridor_join(points: DataFrame, lines: DataFrame, buffer: float, cell: floa
         raise ValueError("a cell must be at least as wide as the buffer")
     cells = lines.withColumn("_cell", F.explode(F.array_distinct(spots)))
     keyed = points.withColumn("_pcell", F.struct(F.floor(F.col("x") / cell).cast("long").alias("cx"), F.floor(F.col("y") / cell).cast("long").alias("cy")))
+    near = keyed.join(cells, F.col("_pcell") == F.col("_cell")).drop("_cell", "_pcell")
+    return corridor_of(near, buffer, mode)
+
+
+def corridor_of(pairs: DataFrame, buffer: float, mode: str = "corridor") -> DataFrame:
+    """Of points paired with lines those in the line's corridor, with along- and across-track distances."""
+    from ..functions import geometry as g
+
     dx, dy = g.direction("x0", "y0", "x1", "y1")
     size = g.length("x0", "y0", "x1", "y1")
-    near = keyed.join(cells, F.col("_pcell") == F.col("_cell")).drop("_cell", "_pcell")
-    near = near.withColumn("along", g.along(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), dx, dy))
+    near = pairs.withColumn("along", g.along(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), dx, dy))
     near = near.withColumn("across", g.across(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), dx, dy))
     kept = near.where((F.col("along") >= 0) & (F.col("along") <= size) & (F.col("across") <= buffer))
     if mode == "sampled":
