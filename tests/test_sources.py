@@ -4,7 +4,10 @@ import struct
 import numpy as np
 import pytest
 
+from pyspark.sql.datasource import GreaterThan, GreaterThanOrEqual, LessThan
+
 from tidemark.sources import files, sinks
+from tidemark.sources import las as sources_las
 
 
 def las(points, form=0):
@@ -33,6 +36,47 @@ def test_las(spark, tmp_path):
     assert ok == {"20180101_a.las": True, "broken.las": False}
 
 
+def test_las_in_ranges_and_by_box(spark, tmp_path):
+    rows = [(i % 100, i // 100, i % 7, i % 50, 2) for i in range(10_000)]
+    (tmp_path / "a.las").write_bytes(las(rows))
+    (tmp_path / "far.las").write_bytes(las([(900, 900, 0, 5, 2)]))
+    df = files.read_las(spark, str(tmp_path), normalise=False, split=20_000)
+    assert df.rdd.getNumPartitions() > 8
+    assert sorted((r["x"], r["y"], r["intensity"]) for r in df.where("las_source = 'a.las'").collect()) == sorted((x, y, i) for x, y, _, i, _ in rows)
+    box = files.read_las(spark, str(tmp_path), bounds=(10, 20, 12, 30), normalise=False, split=20_000)
+    assert {(r["x"], r["y"]) for r in box.collect()} == {(x, y) for x in (10, 11, 12) for y in range(20, 31)}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    pushed = spark.read.format("las").option("pushdown", "true").load(str(tmp_path)).where("x >= 10 and x < 12 and y > 98")
+    assert sorted((r["x"], r["y"]) for r in pushed.collect()) == [(10, 99), (11, 99)]
+    reader = sources_las.PushingLasReader({"path": str(tmp_path)})
+    assert len(list(reader.pushFilters([GreaterThanOrEqual(("x",), 10), LessThan(("x",), 12), GreaterThan(("y",), 98)]))) == 3
+    assert reader.box == (10, 98, 12, np.inf)
+    assert files.extent(df).first() == (0, 900, 0, 900)
+
+
+def test_las_beyond_two_gigabytes_and_records(spark, tmp_path):
+    head = bytearray(las([(1, 2, 3, 10, 2), (4, 5, 6, 20, 5)]))
+    body, at = bytes(head[227:]), 3_000_000_000
+    struct.pack_into("<HII", head, 94, 227, at, 1)
+    with open(tmp_path / "large.las", "wb") as f:  # a sparse file
+        f.write(head[:227] + struct.pack("<2x16sHH32x", b"copc", 1, 160))
+        f.seek(at)
+        f.write(body)
+    assert sorted(r["x"] for r in files.read_las(spark, str(tmp_path), split=1 << 30).collect()) == [1, 4]
+    (row,) = files.read_las_headers(spark, str(tmp_path)).collect()
+    assert row["indexed"] and row["n_points"] == 2
+    (tmp_path / "b.copc.laz").write_bytes(b"LASF")
+    assert {r["las_source"]: r["indexed"] for r in files.read_las_headers(spark, str(tmp_path)).collect()} == {"large.las": True, "b.copc.laz": True}
+
+
+def test_las_headers_read_no_points(tmp_path):
+    (tmp_path / "a.las").write_bytes(las([(1, 2, 3, 10, 2)] * 5000))
+    with sources_las.opened(str(tmp_path / "a.las")) as f:
+        h = sources_las.header(f.read(sources_las.HEADER))
+        assert list(sources_las.records(f, h)) == [] and f.tell() == 375
+    assert not sources_las._overlaps(h, (50, 50, 60, 60)) and h["count"] == 5000
+
+
 def test_versions(spark):
     paths = ["a.las", "a.laz", "a.copc.laz", "b.las", "c.txt"]
     got = files.preferred_versions(spark.createDataFrame([(p,) for p in paths], "path string"))

@@ -1,7 +1,8 @@
 """Readers of binary and text formats.
 
 Files are opened by Spark (``binaryFile``, ``text``, ``csv``, ``xml``), so any
-store that Spark reaches will do, and parsed in tasks.
+store that Spark reaches will do, and parsed in tasks; point clouds, which may
+be larger than a row, by the ``las`` data source.
 """
 
 from __future__ import annotations
@@ -14,66 +15,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINT_SCHEMA = "las_source string, x double, y double, z double, intensity float, red float, green float, blue float, classification float, return_number float, num_returns float"
-#: Points parsed at a time.
-CHUNK = 500_000
-
+from . import las
 
 def binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def las_header(content: bytes) -> dict:
-    """Header of a LAS file: version, point format and size, counts, scales, offsets, bounds."""
-    if content[:4] != b"LASF":
-        raise ValueError("not a LAS file")
-    start, _, form, size, count = struct.unpack_from("<IIBHI", content, 96)
-    scale, offset = struct.unpack_from("<3d", content, 131), struct.unpack_from("<3d", content, 155)
-    xmax, xmin, ymax, ymin, zmax, zmin = struct.unpack_from("<6d", content, 179)
-    if content[25] >= 4 and len(content) >= 255:
-        count = struct.unpack_from("<Q", content, 247)[0] or count
-    return {"version": f"{content[24]}.{content[25]}", "format": form & 0x3F, "compressed": form >= 0x80, "size": size, "start": start, "count": count, "scale": scale, "offset": offset, "bounds": (xmin, ymin, zmin, xmax, ymax, zmax)}
-
-
-def _las_points(name: str, content: bytes):
-    h = las_header(content)
-    if h["compressed"]:
-        raise ValueError(f"{name}: compressed points need an optional decoder")
-    modern = h["format"] >= 6
-    colour_at = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}.get(h["format"])
-    for lo in range(0, h["count"], CHUNK):
-        n = min(CHUNK, h["count"] - lo)
-        raw = np.frombuffer(content, np.uint8, n * h["size"], h["start"] + lo * h["size"]).reshape(n, h["size"])
-        at = lambda i, kind: np.ascontiguousarray(raw[:, i : i + np.dtype(kind).itemsize]).view(kind).ravel()
-        xyz = {c: at(4 * k, "<i4") * h["scale"][k] + h["offset"][k] for k, c in enumerate("xyz")}
-        bits = raw[:, 14]
-        rgb = {c: at(colour_at + 2 * k, "<u2").astype("f4") / 65535 if colour_at else np.zeros(n, "f4") for k, c in enumerate(("red", "green", "blue"))}
-        yield pd.DataFrame(
-            {
-                "las_source": name, **xyz, "intensity": at(12, "<u2").astype("f4"), **rgb,
-                "classification": (raw[:, 16] if modern else raw[:, 15] & 31).astype("f4"),
-                "return_number": (bits & (15 if modern else 7)).astype("f4"), "num_returns": ((bits >> 4) if modern else (bits >> 3) & 7).astype("f4"),
-            }
-        )
-
-
-def read_las(spark: SparkSession, path: str, bounds: tuple[float, float, float, float] | None = None, normalise: bool = True) -> DataFrame:
-    """Points of uncompressed LAS files; with bounds (closed) only those within.
+def read_las(spark: SparkSession, path: str, bounds: tuple[float, float, float, float] | None = None, normalise: bool = True, split: int = las.SPLIT) -> DataFrame:
+    """Points of uncompressed LAS files; with bounds (closed) only those within, which tasks leave out before they parse them.
 
     Intensities are divided by the greatest of each file's kept points, or left
     where that is 0.
     """
-
-    def parse(batches):
-        for b in batches:
-            for name, content in zip(b["name"], b["content"]):
-                yield from _las_points(name, bytes(content))
-
-    files = binary(spark, path, "*.las").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    points = files.mapInPandas(parse, POINT_SCHEMA)
-    if bounds:
-        points = points.where(F.col("x").between(bounds[0], bounds[2]) & F.col("y").between(bounds[1], bounds[3]))
+    spark.dataSource.register(las.LasSource)
+    reader = spark.read.format("las").option("split", split)
+    points = (reader.option("bounds", ",".join(repr(float(b)) for b in bounds)) if bounds else reader).load(path).drop("point")
     if normalise:
         top = points.groupBy("las_source").agg(F.max("intensity").alias("_top"))
         points = points.join(F.broadcast(top), "las_source")  # a row a file
@@ -81,22 +38,38 @@ def read_las(spark: SparkSession, path: str, bounds: tuple[float, float, float,
     return points
 
 
+_HEADERS = "las_source string, n_points long, point_format int, compressed boolean, indexed boolean, xmin double, ymin double, zmin double, xmax double, ymax double, zmax double"
+
+
 def read_las_headers(spark: SparkSession, path: str) -> DataFrame:
-    """las_source, n_points, point_format, compressed and bounds of each file; unreadable files keep nulls."""
+    """las_source, n_points, point_format, compressed, indexed and bounds of each file; unreadable files keep nulls.
+
+    Only headers are read: 375 bytes and 54 for each variable-length record.  A
+    file is ``indexed`` where its name has ``.copc.`` or a record's user is ``copc``.
+    """
 
     def parse(batches):
         for b in batches:
             rows = []
-            for name, head in zip(b["name"], b["head"]):
+            for name, place in zip(b["name"], b["path"]):
+                named = ".copc." in name.lower()
                 try:
-                    h = las_header(bytes(head))
-                    rows.append((name, h["count"], h["format"], h["compressed"], *h["bounds"]))
+                    with las.opened(place) as file:
+                        h = las.header(file.read(las.HEADER))
+                        user = any(u.lower() == "copc" for u, _, _ in las.records(file, h))
+                    rows.append((name, h["count"], h["format"], h["compressed"], named or user, *h["bounds"]))
                 except (ValueError, struct.error):
-                    rows.append((name, *[None] * 9))
-            yield pd.DataFrame(rows, columns=["las_source", "n_points", "point_format", "compressed", "xmin", "ymin", "zmin", "xmax", "ymax", "zmax"])
+                    rows.append((name, None, None, None, named, *[None] * 6))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _HEADERS.split(", ")])
+
+    listed = [(p, p.rsplit("/", 1)[-1]) for p, _ in las.listing(path, "*.la[sz]")]  # a row a file
+    files = spark.createDataFrame(listed, "path string, name string").repartition(max(1, min(len(listed), 200)))
+    return files.mapInPandas(parse, _HEADERS)
+
 
-    heads = binary(spark, path, "*.la[sz]").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.substring("content", 1, 375).alias("head"))
-    return heads.mapInPandas(parse, "las_source string, n_points long, point_format int, compressed boolean, xmin double, ymin double, zmin double, xmax double, ymax double, zmax double")
+def extent(points: DataFrame) -> DataFrame:
+    """xmin, xmax, ymin, ymax of all points read, one row."""
+    return points.agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"))
 
 
 def integrity(spark: SparkSession, path: str, magic: bytes = b"LASF", least_bytes: int = 375) -> DataFrame:
