@@ -98,3 +98,44 @@ def test_daily_window_keeps_nulls_of_a_whole_window(spark):
 def test_resample_slots(spark):
     out = series.resample(hourly(spark, [1.0] * 24).withColumn("tp", F.lit(9.0)).withColumn("dp", F.lit(10.0)), ["mop_id"])
     assert out.count() == 4
+
+
+def test_recurrence_of_repeats_nulls_and_long_series(spark):
+    rows = [("a", 1, 2.0), ("a", 1, 3.0), ("a", 2, None), (None, 5, 1.0), (None, 6, 1.0)]
+    df = spark.createDataFrame(rows, "b string, o int, x double")
+    got = sorted(((r["b"] or "-", r["o"], round(r["y"], 9)) for r in series.recurrence(df, ["b"], "o", "x", 0.5, "y").collect()))
+    assert got == [("-", 5, 1.0), ("-", 6, 1.5), ("a", 1, 2.0), ("a", 1, 4.0), ("a", 2, 2.0)]
+    xs = [None if i % 11 == 3 else (i * 37 % 101) / 7 for i in range(9000)]
+    long = spark.createDataFrame([("k", i, x) for i, x in enumerate(xs)], "b string, o int, x double")
+    for k in (0.9, 0.9999, -0.8, 0.05, 1e-150, 0.0, 1.0, 1.01):
+        y, want = 0.0, []
+        for x in xs:
+            y = (x or 0.0) + k * y
+            want.append(y)
+        assert [r["y"] for r in series.recurrence(long, ["b"], "o", "x", k, "y").orderBy("o").collect()] == pytest.approx(want, rel=1e-9, abs=1e-9)
+    plan = series.recurrence(long, ["b"], "o", "x", 0.9, "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
+
+
+def test_lookback_ends_with_the_scan(spark):
+    at = lambda h, m=0: dt.datetime(2024, 3, 1) + dt.timedelta(hours=h, minutes=m)
+    waves_ = [(1, at(0), 1.0), (1, at(5, 59), 3.0), (1, at(6), 10.0), (1, at(12), 5.0), (1, at(12, 1), 99.0), (2, at(6), 77.0), (None, at(6), 55.0), (1, at(-1), None)]
+    series_ = spark.createDataFrame(waves_, "site long, ts timestamp, hs double")
+    scans = spark.createDataFrame([("a", 1, at(12)), ("b", 1, at(12, 30)), ("c", 3, at(12)), ("d", None, at(12))], "scan string, site long, at timestamp")
+    got = series.lookback_slots(scans, series_, ["site"], "at", "ts", ["hs"], 4, 6, ["scan"])
+    by = {(r["scan"], r["slot"]): r["hs"] for r in got.collect()}
+    assert len(by) == 16
+    assert [by["a", i] for i in range(4)] == [None, 2.0, 10.0, 5.0]  # the row after the scan is left out
+    assert [by["b", i] for i in range(4)] == [1.0, pytest.approx(6.5), pytest.approx(52.0), None]
+    assert [by["c", i] for i in range(4)] == [None] * 4
+
+
+def test_wave_tensor_fills_and_falls_back(spark):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(1, at(0), 2.0, 8.0, 350.0), (1, at(1), 2.0, 8.0, 10.0), (1, at(18), 5.0, 8.0, 0.0), (2, at(0), 2.0, None, 10.0)]
+    x = spark.createDataFrame(rows, "site long, ts timestamp, hs double, tp double, dp double")
+    scans = spark.createDataFrame([("a", 1, at(18)), ("b", 2, at(18)), ("c", 3, at(18))], "scan string, site long, at timestamp")
+    got = {(r["scan"], r["slot"]): r for r in series.wave_tensor(scans, x, ["site"], "at", 5, 6, ["scan"]).collect()}
+    assert [round(got["a", i]["hs"], 6) for i in range(5)] == [2, 2, 3, 4, 5]
+    assert min(got["a", 1]["dp"], 360 - got["a", 1]["dp"]) < 1e-6 and [got["a", i]["doy"] for i in (0, 1)] == [365, 1]
+    assert all(got[s, i][c] == 0 for s in "bc" for i in range(5) for c in ("hs", "tp", "dp", "power"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lab
 from ..functions import waves as w
-from . import samples, series
+from . import joins, samples, series
 
 
 def wave_metrics(waves: DataFrame, by: list[str], orientation: float = 270.0, threshold: float = 2.0, ts: str = "ts") -> DataFrame:
@@ -79,20 +79,40 @@ def matching_pair(events: DataFrame, epochs: DataFrame, key: str, near: int = 7)
     return events.select(key).join(found, key, "left")
 
 
+def align_events(events: DataFrame, epochs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Events (transect_idx, start_date, end_date) between the epochs that bracket them, where both of the transect's cells are covered."""
+    found = joins.bracket(events, epochs, "start_date", "end_date", "epoch_date", "epoch_idx")
+    covered = cells.select("transect_idx", "epoch_idx").distinct()
+    for side in ("epoch_before", "epoch_after"):
+        found = found.join(covered.withColumnRenamed("epoch_idx", side), ["transect_idx", side], "left_semi")
+    return found
+
+
+def events_by_cell(aligned: DataFrame) -> DataFrame:
+    """transect_idx, epoch_idx, volume, event_class: aligned events by the cell they end at.
+
+    Events of one (transect, before, after) are added up first, and the class is
+    that of their sum; of several such groups of a cell the volumes add up, the
+    class is that of the group with the earliest epoch before.
+    """
+    groups = samples.aggregate_events(aligned, ["transect_idx", "epoch_before", "epoch_after"])
+    out = groups.groupBy("transect_idx", F.col("epoch_after").alias("epoch_idx"))
+    return out.agg(F.sum("volume").alias("volume"), F.min_by("event_class", "epoch_before").alias("event_class"))
+
+
 def training_samples(cells: DataFrame, events: DataFrame, most: int = 10, least: int = 3) -> DataFrame:
     """A sample for each covered cell (transect_idx, epoch_idx, value) with at least ``least`` earlier ones.
 
-    Context values (padded in front), their number, the summed volume and class
-    of the observed events (else 0, 0 and confidence 0.5), and risk and collapse
-    labels; the height of the latest context cell stands for the cliff's.
+    ``events`` are those of ``events_by_cell``.  Context values (padded in
+    front), their number, the volume and class of the observed events (else 0, 0
+    and confidence 0.5), and risk and collapse labels; the value of the latest
+    context cell is the cliff's height.
     """
-    x = samples.context(cells, ["transect_idx"], "epoch_idx", "value", most, least)
-    e = events.groupBy("transect_idx", "epoch_idx").agg(F.sum("volume").alias("v"), F.min_by("event_class", "event_id").alias("c"))
-    x = x.join(e, ["transect_idx", "epoch_idx"], "left")
-    seen, volume = F.col("v").isNotNull(), F.coalesce("v", F.lit(0.0))
+    x = samples.context(cells, ["transect_idx"], "epoch_idx", "value", most, least).join(events, ["transect_idx", "epoch_idx"], "left")
+    seen, volume = F.col("volume").isNotNull(), F.coalesce("volume", F.lit(0.0))
     height = F.element_at("context", -1).cast("double")
     return x.select(
-        "transect_idx", F.col("epoch_idx").alias("target_epoch"), "context", "n_context", volume.alias("total_volume"), F.coalesce("c", F.lit(0)).alias("event_class"),
+        "transect_idx", F.col("epoch_idx").alias("target_epoch"), "context", "n_context", volume.alias("total_volume"), F.coalesce("event_class", F.lit(0)).alias("event_class"),
         lab.risk_index(volume, height).alias("risk_index"), lab.collapse_labels(volume).alias("collapse"), seen.cast("int").alias("label_source"), F.when(seen, 1.0).otherwise(0.5).alias("confidence"),
     )
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def band_join(points: DataFrame, ranges: DataFrame, value: str, lo: str, hi: str, width: float, how: str = "inner") -> DataFrame:
@@ -51,42 +52,65 @@ def nearest_range(points: DataFrame, ranges: DataFrame, key: list[str], value: s
     return points.join(F.broadcast(packed)).withColumn("_best", best).select(*points.columns, *[F.col(f"_best.row.{c}").alias(c) for c in take])
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, take: list[str], direction: str = "backward", strict: bool = False) -> DataFrame:
+#: Width of a time bucket of ``asof_join``: days for dates, seconds for timestamps.
+DAYS, SECONDS = 30, 86_400
+
+
+def time_bucket(column: str, kind: T.DataType, width: float | None) -> Column:
+    """The number of a value's bucket; numbers without a width share one."""
+    c = F.col(column)
+    if isinstance(kind, T.DateType):
+        return F.floor(F.unix_date(c) / F.lit(width or DAYS)).cast("long")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.floor(c.cast("timestamp").cast("double") / F.lit(width or SECONDS)).cast("long")
+    if width is None:
+        return F.when(c.isNotNull(), F.lit(0)).cast("long")
+    return F.floor(c / F.lit(width)).cast("long")
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, take: list[str], direction: str = "backward", strict: bool = False, width: float | None = None
+) -> DataFrame:
     """Each left row with the last right row at or before it (``backward``) or the first at or after it (``forward``).
 
-    One shuffle: both sides are stacked, sorted by key and time, and the last (or
-    first) right row is carried along.  ``strict`` leaves equal times out.
+    Both sides are stacked, dealt by key and time bucket, and the latest right
+    row is carried along in a bucket; what a bucket starts with is carried over
+    from the border rows of the buckets before it, a row a bucket.  So a key's
+    history, or that of all rows where ``by`` is empty, is shared by many tasks.
+    ``strict`` leaves equal times out.  Of right rows at one time the greatest
+    (going forward the least) by their columns is taken; null keys and times
+    match nothing.
     """
-    if not by:
-        raise ValueError("name a key: without one all rows would meet in one task")
+    if not by and width is None and not isinstance(left.schema[left_on].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise ValueError("name a key or give the width of a bucket: without either all rows would meet in one task")
     back = direction == "backward"
-    # At equal times the right row must come first going backward unless equality is excluded, and last going forward.
-    right_side, left_side = (0, 1) if back != strict else (1, 0)
-    r = right.select(*by, F.col(right_on).alias("_t"), F.lit(right_side).alias("_side"), F.struct(F.col(right_on), *[c for c in take if c != right_on]).alias("_r"))
-    l = left.select(*by, F.col(left_on).alias("_t"), F.lit(left_side).alias("_side"), F.struct(*left.columns).alias("_l"))
+    at = lambda df, c: (F.col(c).alias("_t"), time_bucket(c, df.schema[c].dataType, width).alias("_b"))
+    # In the direction of the scan a right row comes before a left row of its time, unless equal times are left out.
+    known = right.where(" and ".join(f"`{c}` is not null" for c in [*by, right_on]))
+    r = known.select(*by, *at(right, right_on), F.lit(1 if strict else 0).alias("_side"), F.struct(F.col(right_on), *[c for c in take if c != right_on]).alias("_r"))
+    l = left.select(*by, *at(left, left_on), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_l"))
     both = l.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).unionByName(r.withColumn("_l", F.lit(None).cast(l.schema["_l"].dataType)))
-    w = Window.partitionBy(*by).orderBy("_t", "_side")
-    if back:
-        carried = F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    else:
-        carried = F.first("_r", True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.withColumn("_hit", carried).where("_l is not null")
+    way = F.asc if back else F.desc
+    w = Window.partitionBy(*by, "_b").orderBy(way("_t"), "_side", way("_r"))
+    own = F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("_hit", own).where("_l is not null")
+    edge = F.struct("_t", "_r")
+    edges = both.groupBy(*by, "_b").agg((F.max if back else F.min)(F.when(F.col("_r").isNotNull(), edge)).alias("_e"))
+    over = Window.partitionBy(*by).orderBy(way("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    carried = edges.select(*by, "_b", F.last("_e", True).over(over).getField("_r").alias("_c")).where("_c is not null")
+    found = found.join(carried, [*by, "_b"], "left").withColumn("_hit", F.coalesce("_hit", "_c"))
     return found.select("_l.*", *[F.col(f"_hit.{c}").alias(c) for c in take])
 
 
 def bracket(events: DataFrame, epochs: DataFrame, start: str, end: str, epoch_date: str, epoch: str) -> DataFrame:
     """Events with the last epoch at or before their start and the first at or after their end; those without both go.
 
-    The epochs (survey dates) are a dimension, packed into one broadcast row.
+    Two as-of joins; of epochs of one date the greatest is before, the least after.
     """
-    packed = epochs.agg(F.array_sort(F.collect_list(F.struct(F.col(epoch_date).alias("d"), F.col(epoch).alias("i")))).alias("_epochs"))
-    before = F.array_max(F.filter("_epochs", lambda e: e["d"] <= F.col(start)))["i"]
-    after = F.array_min(F.filter("_epochs", lambda e: e["d"] >= F.col(end)))["i"]
-    return (
-        events.join(F.broadcast(packed))
-        .select(*events.columns, before.alias("epoch_before"), after.alias("epoch_after"))
-        .where(F.col("epoch_before").isNotNull() & F.col("epoch_after").isNotNull() & (F.col("epoch_before") < F.col("epoch_after")))
-    )
+    e = epochs.select(F.col(epoch_date).alias("_date"), F.col(epoch).alias("epoch_before"))
+    found = asof_join(events, e, [], start, "_date", ["epoch_before"])
+    found = asof_join(found, e.withColumnRenamed("epoch_before", "epoch_after"), [], end, "_date", ["epoch_after"], direction="forward")
+    return found.where("epoch_before < epoch_after")
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, left_lo: str, left_hi: str, right_lo: str, right_hi: str, width: float, by: list[tuple[str, str]] = ()) -> DataFrame:

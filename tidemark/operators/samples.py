@@ -17,12 +17,15 @@ def aggregate_events(events: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("event_class", lab.volume_class(F.col("volume")))
 
 
-def label_cells(cells: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
-    """Cells with their events: volumes add up, the class is the earliest event's; without one volume 0, class 0, risk of none."""
-    e = events.groupBy(*key).agg(F.sum("volume").alias("volume"), F.min_by("event_class", "epoch_before").alias("event_class"), F.max("height").alias("height"))
-    x = cells.join(e, key, "left")
-    v, h = F.coalesce("volume", F.lit(0.0)), F.coalesce("height", F.lit(0.0))
-    return x.select(*cells.columns, v.alias("volume"), F.coalesce("event_class", F.lit(0)).alias("event_class"), h.alias("height"), lab.risk_index(v, h).alias("risk"), lab.collapse_labels(v).alias("collapse"))
+def label_cells(cells: DataFrame, events: DataFrame, height: str, by: str = "transect_idx", epoch: str = "epoch_idx") -> DataFrame:
+    """Cells with their events (``history.events_by_cell``); without one volume 0, class 0 and risk of none.
+
+    The cliff's height in the risk is that of the transect's latest earlier cell, 15 without one.
+    """
+    before = F.lag(height).over(Window.partitionBy(by).orderBy(epoch))
+    x = cells.withColumn("_h", F.coalesce(before.cast("double"), F.lit(15.0))).join(events, [by, epoch], "left")
+    v = F.coalesce("volume", F.lit(0.0))
+    return x.select(*cells.columns, v.alias("volume"), F.coalesce("event_class", F.lit(0)).alias("event_class"), F.col("_h").alias("height"), lab.risk_index(v, F.col("_h")).alias("risk"), lab.collapse_labels(v).alias("collapse"))
 
 
 def context(cells: DataFrame, by: list[str], order: str, value: str, most: int = 10, least: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,18 +45,50 @@ def with_falls(df: DataFrame, flag: Column, by: list[str], order: str, name: str
     return df.withColumn("_flag", flag).withColumn(name, F.when((F.lag("_flag").over(order_w) == 1) & (F.col("_flag") == 0), 1).otherwise(0)).drop("_flag")
 
 
+#: Rows of a block of ``recurrence``, and the power of ten that a block's powers may reach.
+ROWS, POWER = 64, 280
+
+
 def recurrence(df: DataFrame, by: list[str], order: str, x: str, k: float, name: str) -> DataFrame:
-    """y[t] = x[t] + k * y[t-1], missing x as 0.
+    """y[t] = x[t] + k * y[t-1], missing x as 0; rows of one ``order`` follow each other by x.
 
-    Spark has no recursive window; a series is folded as one ordered array,
-    which one key's daily rows fit (about 3,300 in nine years).
+    Every step is an affine map, and maps compose.  Rows are numbered in blocks
+    of at most ROWS; within one, y is k**i times the running sum of x * k**-i,
+    and a block's end carries over with the power k**ROWS, by the same rule over
+    blocks of blocks, until a power is too small to count.  Windows over a key
+    do it all: no series is held, and rows keep their columns, repeats and nulls.
     """
-    at = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(x), F.lit(0.0)).cast("double").alias("x")))).alias("s"))
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("out"))
-    step = lambda acc, v: F.struct((v["x"] + k * acc["y"]).alias("y"), F.concat(acc["out"], F.array(v["x"] + k * acc["y"])).alias("out"))
-    folded = at.withColumn("y", F.aggregate("s", start, step, lambda acc: acc["out"]))
-    rows = folded.select(*by, F.explode(F.arrays_zip(F.col("s"), F.col("y"))).alias("r")).select(*by, F.col("r.s.o").alias(order), F.col("r.y").alias(name))
-    return df.join(rows, [*by, order])
+    value = F.coalesce(F.col(x), F.lit(0.0)).cast("double")
+    at = Window.partitionBy(*by).orderBy(order, x)
+    out = df.withColumn("_x", value).withColumn("_i", F.row_number().over(at) - 1)
+    if k == 0:
+        return out.withColumn(name, F.col("_x")).drop("_x", "_i")
+    if k == 1:
+        return out.withColumn(name, F.sum("_x").over(at.rowsBetween(Window.unboundedPreceding, 0))).drop("_x", "_i")
+    # at each level rows form units of ``span``, whose y so far takes in what lies before them in their block
+    span, log, sign = 1, math.log10(abs(k)), -1.0 if k < 0 else 1.0
+    ends = F.col("_x")
+    out = out.withColumn("_y", F.col("_x"))
+    whole = Window.partitionBy(*by).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    while span < 1 << 40 and abs(log) * span < POWER:
+        n = max(2, min(ROWS, int(POWER / max(1e-9, abs(log) * span))))
+        unit, factor = F.floor(F.col("_i") / span), sign ** (span % 2) * 10.0 ** (log * span)
+        out = out.withColumn("_p", unit % n).withColumn("_k", F.floor(unit / n)).withColumn("_e", ends)
+        here = Window.partitionBy(*by, "_k").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.col("_e") / _raised(factor, F.col("_p"))).over(here), F.lit(0.0))  # by the ends of earlier units
+        carried = _raised(factor, F.col("_p") - 1) * before
+        out = out.withColumn("_y", F.col("_y") + F.when(F.col("_p") > 0, _raised(k, F.col("_i") % span + 1) * carried).otherwise(0.0))
+        span *= n
+        ends = F.when(F.col("_i") % span == span - 1, F.col("_y"))
+    if abs(log) * span >= POWER:  # what lies before the last unit no longer counts
+        last = F.coalesce(F.last(ends, True).over(whole), F.lit(0.0))
+        out = out.withColumn("_y", F.col("_y") + _raised(k, F.col("_i") % span + 1) * last)
+    return out.withColumn(name, F.col("_y")).drop("_x", "_i", "_p", "_k", "_e", "_y")
+
+
+def _raised(k: float, e: Column) -> Column:
+    size = F.pow(F.lit(abs(k)), e)
+    return size if k > 0 else size * F.when(e % 2 == 0, 1.0).otherwise(-1.0)
 
 
 def days_since(df: DataFrame, event: Column, by: list[str], order: str, name: str) -> DataFrame:
@@ -103,22 +137,62 @@ def resample(waves: DataFrame, by: list[str], hours: int = 6, ts: str = "ts") ->
     return out.select(*by, F.col("_w.start").alias("slot"), "hs", "tp", "dp").where("hs is not null or tp is not null or dp is not null")
 
 
-def lookback_slots(scans: DataFrame, series: DataFrame, by: list[str], scan_ts: str, ts: str, value: str, n: int, hours: int, key: list[str]) -> DataFrame:
-    """key, slot 0..n-1, value: each scan's series in n slots of ``hours`` that end with the scan.
+def lookback_slots(scans: DataFrame, series: DataFrame, by: list[str], scan_ts: str, ts: str, values: list[str], n: int, hours: int, key: list[str]) -> DataFrame:
+    """key, slot 0..n-1, values: the means of each scan's series in n slots of ``hours``, the last of which starts at the scan.
 
-    Slots start at the scan's own origin.  The join is an equality on (by, day):
-    each scan is named on the days that its window touches.
+    Slots start at the scan's own origin and nothing after the scan counts, so
+    the last one holds rows of the scan's own time only.  A slot's mean is a
+    difference of running sums and counts at its two boundaries: boundaries and
+    rows are stacked, dealt by key and a bucket as wide as a slot, and summed
+    along in one pass, so work grows with rows and slots, not with their
+    product.  A slot meets two buckets at most: the first one's total bridges them.
     """
-    secs = lambda x: F.unix_timestamp(F.col(x).cast("timestamp"))
-    span = n * hours * 3600
-    width = 86400
-    s = scans.select(*key, *by, (secs(scan_ts) - (n - 1) * hours * 3600).alias("_from"))
-    slots = s.select(*key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    days = s.withColumn("_day", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor((F.col("_from") + span - 1) / width))))
-    points = series.select(*by, secs(ts).alias("_s"), F.col(value)).withColumn("_day", F.floor(F.col("_s") / width))
-    hit = days.join(points, [*by, "_day"]).where((F.col("_s") >= F.col("_from")) & (F.col("_s") < F.col("_from") + span))
-    means = hit.groupBy(*key, F.floor((F.col("_s") - F.col("_from")) / (hours * 3600)).cast("int").alias("slot")).agg(F.avg(value).alias(value))
-    return slots.join(means, [*key, "slot"], "left")
+    step = hours * 3600 * 1_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    place = F.when(F.col("_j") < n, F.col("_to") - (F.lit(n - 1) - F.col("_j")) * F.lit(step)).otherwise(F.col("_to") + 1)
+    marks = scans.select(*by, F.struct(*key).alias("_key"), micros(scan_ts).alias("_to")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    marks = marks.select(*by, place.alias("_t"), F.lit(0).alias("_side"), "_key", "_j", *[F.lit(None).cast("double").alias(v) for v in values])
+    rows = series.select(*by, micros(ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(marks.schema["_key"].dataType).alias("_key"), F.lit(None).cast("int").alias("_j"), *[F.col(v).cast("double").alias(v) for v in values])
+    both = marks.unionByName(rows).withColumn("_b", F.floor(F.col("_t") / F.lit(step)))
+    whole = Window.partitionBy(*by, "_b")
+    so_far = whole.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    sums = [F.struct(zero(F.sum(v).over(so_far)).alias("s"), F.count(v).over(so_far).alias("c"), zero(F.sum(v).over(whole)).alias("ts"), F.count(v).over(whole).alias("tc")).alias(f"_{v}") for v in values]
+    at = both.select("_key", "_j", "_b", *sums).where("_key is not null")
+    nxt = Window.partitionBy("_key").orderBy("_j")
+    at = at.withColumn("_nb", F.lead("_b").over(nxt))
+    for v in values:
+        at = at.withColumn(f"_n{v}", F.lead(f"_{v}").over(nxt))
+    same = F.col("_nb") == F.col("_b")
+
+    def mean(v: str) -> Column:
+        here, there = F.col(f"_{v}"), F.col(f"_n{v}")
+        gain = lambda part, total: there[part] - here[part] + F.when(same, F.lit(0)).otherwise(here[total])
+        return F.when(gain("c", "tc") > 0, gain("s", "ts") / gain("c", "tc")).alias(v)
+
+    return at.where(F.col("_j") < n).select("_key.*", F.col("_j").alias("slot"), *map(mean, values))
+
+
+def wave_tensor(scans: DataFrame, waves: DataFrame, by: list[str], scan_ts: str, n: int, hours: int, key: list[str], ts: str = "ts") -> DataFrame:
+    """key, slot, hs, tp, dp, power, doy: the waves before each scan in n slots, without gaps.
+
+    Means of a slot, of the direction by sine and cosine; gaps are filled by
+    straight lines, both ends outwards.  Where a measure has no value in the
+    whole window, all of the scan's are 0.  ``doy`` is the slot's day of the year.
+    """
+    angle = F.radians("dp")
+    x = waves.select(*by, ts, "hs", "tp", w.power(F.col("hs"), F.col("tp")).alias("power"), F.sin(angle).alias("dp_sin"), F.cos(angle).alias("dp_cos"))
+    values = ["hs", "tp", "power", "dp_sin", "dp_cos"]
+    slots = lookback_slots(scans, x, by, scan_ts, ts, values, n, hours, key)
+    for v in values:
+        slots = fill_linear(slots, key, "slot", v)
+    gap = F.greatest(*[F.col(v).isNull().cast("int") for v in values])
+    slots = slots.withColumn("_gap", F.max(gap).over(Window.partitionBy(*key)) == 1)
+    start = scans.select(*key, F.col(scan_ts).cast("timestamp").alias("_to"))
+    day = F.dayofyear(F.timestamp_micros(F.unix_micros("_to") - (F.lit(n - 1) - F.col("slot")) * F.lit(hours * 3_600_000_000)))
+    known = lambda c: F.when(F.col("_gap"), 0.0).otherwise(c)
+    dp = F.pmod(F.degrees(F.atan2("dp_sin", "dp_cos")), F.lit(360.0))
+    return slots.join(start, key).select(*key, "slot", known(F.col("hs")).alias("hs"), known(F.col("tp")).alias("tp"), known(dp).alias("dp"), known(F.col("power")).alias("power"), day.alias("doy"))
 
 
 def fill_linear(df: DataFrame, by: list[str], order: str, value: str, limit: int | None = None, extend: bool = True) -> DataFrame:

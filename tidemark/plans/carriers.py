@@ -70,7 +70,12 @@ POINTS = "points as (select l_suppkey as las_source, l_extendedprice / 1000 as x
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """transect_idx (0..49), epoch_idx (year - 1995), value, n: covered survey cells."""
+    """transect_idx (0..49), epoch_idx (year - 1995), value, n: covered survey cells.
+
+    Orders are no surveys, and every transect would be covered in every year.  So
+    a rule of coverage stands in for missed surveys: it is part of what a cell
+    is, and the SQL has it too.
+    """
     o = read(spark, sf_dir, "orders").where("o_custkey % 7 <> year(o_orderdate) % 5")
     return o.groupBy((F.col("o_custkey") % 50).cast("int").alias("transect_idx"), (F.year("o_orderdate") - 1995).alias("epoch_idx")).agg(
         F.max(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count("*").alias("n")
@@ -124,3 +129,18 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EPOCHS = "epochs as (select epoch_date, cast(row_number() over (order by epoch_date) - 1 as integer) as epoch_idx from (select distinct cast(date_trunc('quarter', o_orderdate) as date) as epoch_date from orders))"
+
+
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """epoch_idx (year - 1995) and epoch_date, its first day: the epochs of ``cells``."""
+    year = F.year("o_orderdate")
+    return read(spark, sf_dir, "orders").select((year - 1995).alias("epoch_idx"), F.make_date(year, F.lit(1), F.lit(1)).alias("epoch_date")).distinct()
+
+
+YEARS = "years as (select distinct cast(year(o_orderdate) - 1995 as integer) as epoch_idx, make_date(year(o_orderdate), 1, 1) as epoch_date from orders)"
+
+#: Slumps by the cell they end at (needs CELLS, SLUMPS and YEARS).
+ALIGNED = """aligned as (select s.*, b.epoch_idx as eb, a.epoch_idx as ea from (select *, (select max(epoch_date) from years where epoch_date <= start_date) as d1, (select min(epoch_date) from years where epoch_date >= end_date) as d2 from slumps) s
+  join years b on b.epoch_date = s.d1 join years a on a.epoch_date = s.d2 join cells x on x.transect_idx = s.transect_idx and x.epoch_idx = b.epoch_idx join cells y on y.transect_idx = s.transect_idx and y.epoch_idx = a.epoch_idx where b.epoch_idx < a.epoch_idx),
+grouped as (select transect_idx, eb, ea, sum(volume) as v from aligned group by all),
+by_cell as (select transect_idx, ea as epoch_idx, sum(v) as v, arg_min(case when v < 10 then 0 when v < 50 then 1 when v < 200 then 2 else 3 end, eb) as c from grouped group by 1, 2)"""

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import labels as lab
 from ..operators import history, series
 from . import carriers as k
-from .wave_queries import CLIMATE_FEATURES as FEATURES
+from .wave_queries import POWER, CLIMATE_FEATURES as FEATURES
 from .wave_queries import _round
 
-POWER = "1025.0::double * 9.81 * 9.81 / (64 * pi()) * hs * hs * tp / 1000"
 
 
 def wave_metrics(spark, d):
@@ -65,19 +64,28 @@ select s.event_id, m.pair from slumps s left join m on s.event_id = m.event_id""
 
 
 def training_samples(spark, d):
-    cells = k.cells(spark, d).select("transect_idx", "epoch_idx", (F.col("cents") % 4000 / 100.0).alias("value"))
-    events = k.slumps(spark, d).select("event_id", "transect_idx", (F.year("end_date") - 1995).alias("epoch_idx"), "volume").withColumn("event_class", lab.volume_class(F.col("volume")))
-    x = history.training_samples(cells, events)
+    """Slumps bracketed by covered surveys, added up by cell, and the samples of all cells with a context."""
+    covered = k.cells(spark, d)
+    events = history.events_by_cell(history.align_events(k.slumps(spark, d), k.years(spark, d), covered))
+    x = history.training_samples(covered.select("transect_idx", "epoch_idx", (F.col("cents") % 4000 / 100.0).alias("value")), events)
     shown = F.array_join(F.transform("context", lambda v: F.coalesce(F.round(v * 100).cast("long").cast("string"), F.lit("-"))), ",")
     return _round(x.withColumn("context", shown).withColumn("collapse", F.array_join("collapse", "")), "total_volume", "risk_index", digits=4)
 
 
-TRAINING = f"""with {k.CELLS}, {k.SLUMPS}, x as (select transect_idx, epoch_idx, list(cast(cents % 4000 as bigint)) over (partition by transect_idx order by epoch_idx rows between 10 preceding and 1 preceding) as c from cells),
-e as (select transect_idx, cast(year(end_date) - 1995 as integer) as epoch_idx, sum(volume) as v, arg_min(case when volume < 10 then 0 when volume < 50 then 1 when volume < 200 then 2 else 3 end, event_id) as c from slumps group by 1, 2)
+TRAINING = f"""with {k.CELLS}, {k.SLUMPS}, {k.YEARS}, {k.ALIGNED}, x as (select transect_idx, epoch_idx, list(cast(cents % 4000 as bigint)) over (partition by transect_idx order by epoch_idx rows between 10 preceding and 1 preceding) as c from cells)
 select x.transect_idx, x.epoch_idx as target_epoch, repeat('-,', 10 - len(x.c)) || array_to_string(x.c, ',') as context, cast(len(x.c) as integer) as n_context, round(coalesce(v, 0), 4) as total_volume, coalesce(e.c, 0) as event_class,
  round(1 / (1 + exp(-0.5 * (ln(1 + coalesce(v, 0)) * least(greatest(1 + 0.05 * (x.c[-1] / 100.0::double - 15), 0.5), 2.0) - 4))), 4) as risk_index, repeat(case when coalesce(v, 0) >= 10 then '1' else '0' end, 4) as collapse,
  case when v is null then 0 else 1 end as label_source, case when v is null then 0.5 else 1.0 end::double as confidence
-from x left join e on x.transect_idx = e.transect_idx and x.epoch_idx = e.epoch_idx where len(x.c) >= 3"""
+from x left join by_cell e on x.transect_idx = e.transect_idx and x.epoch_idx = e.epoch_idx where len(x.c) >= 3"""
+
+
+def cell_volumes(spark, d):
+    """Slumps by the cell they end at: summed volume and its class."""
+    aligned = history.align_events(k.slumps(spark, d), k.years(spark, d), k.cells(spark, d))
+    return _round(history.events_by_cell(aligned), "volume", digits=4)
+
+
+CELL_VOLUMES = f"with {k.CELLS}, {k.SLUMPS}, {k.YEARS}, {k.ALIGNED} select transect_idx, epoch_idx, round(v, 4) as volume, c as event_class from by_cell"
 
 
 def climate_high_risk_days(spark, d):
@@ -201,5 +209,5 @@ QUERIES = {
     "wave_metrics": (wave_metrics, WAVE_METRICS), "wave_epoch_features": (wave_epoch_features, WAVE_EPOCH), "cliff_metrics": (cliff_metrics, CLIFF), "event_pair": (event_pair, EVENT_PAIR), "climate_high_risk_days": (climate_high_risk_days, HIGH_RISK),
     "profile_common_range": (profile_common_range, COMMON_RANGE), "profile_common_grid": (profile_common_grid, COMMON_GRID), "climate_summary": (climate_summary, CLIMATE_SUMMARY), "event_cursor": (event_cursor, EVENT_CURSOR), "wettest_day": (wettest_day, WETTEST),
     "wave_beach_summary": (wave_beach_summary, BEACH_SUMMARY), "beach_slices": (beach_slices, BEACH_SLICES), "cube_dimensions": (cube_dimensions, CUBE_DIMENSIONS), "cube_latest_epoch": (cube_latest_epoch, CUBE_LATEST),
-    "cube_feature_over_time": (cube_feature_over_time, CUBE_SERIES), "climate_every_kth": (climate_every_kth, EVERY_KTH), "training_samples": (training_samples, TRAINING),
+    "cube_feature_over_time": (cube_feature_over_time, CUBE_SERIES), "climate_every_kth": (climate_every_kth, EVERY_KTH), "training_samples": (training_samples, TRAINING), "cell_volumes": (cell_volumes, CELL_VOLUMES),
 }

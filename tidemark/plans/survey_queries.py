@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import labels as lab
-from ..operators import cube, joins, profile, samples, selection, stats
+from ..operators import cube, history, joins, profile, samples, selection, stats
 from . import carriers as k
 from .wave_queries import _round
 
@@ -236,7 +236,7 @@ select transect, i, round(distance_norm, 4) as distance_norm, round(elevation_no
 
 
 def profile_regrid(spark, d):
-    p = k.profiles(spark, d).where("transect % 5 = 1 or transect % 5 <> 1")
+    p = k.profiles(spark, d)
     return _round(profile.regrid(p, ["transect"], 40, ["elevation"]), "distance", "elevation", digits=5)
 
 
@@ -306,25 +306,26 @@ select pair, round(avg(v), 6) as mean, round(max(v), 6) as max, round(min(v), 6)
 
 
 def cube_window_choice(spark, d):
-    c = k.cells(spark, d).select("transect_idx", "epoch_idx", (F.col("cents") % 40).cast("double").alias("toe"), (F.col("cents") % 61).cast("double").alias("top")).where("epoch_idx <> 3")
-    ref = cube.reference_cell(c.where("transect_idx % 3 = 0"), ["transect_idx"], "toe", "top")
+    c = k.cells(spark, d).select("transect_idx", "epoch_idx", (F.col("cents") % 40).cast("double").alias("toe"), (F.col("cents") % 61).cast("double").alias("top"))
+    ref = cube.reference_cell(c, ["transect_idx"], "toe", "top")
     return cube.window_choice(c, ref, ["transect_idx"], "toe", "top", (10.0, 60.0)).select("transect_idx", "epoch_idx", "window", "lo", "hi")
 
 
-CUBE_WINDOW = f"""with {k.CELLS}, c as (select transect_idx, epoch_idx, (cents % 40)::double as toe, (cents % 61)::double as top from cells where epoch_idx <> 3),
-r as (select transect_idx, arg_min(toe, epoch_idx) as rt, arg_min(top, epoch_idx) as rp from c where transect_idx % 3 = 0 and top - toe >= 5 group by 1)
+CUBE_WINDOW = f"""with {k.CELLS}, c as (select transect_idx, epoch_idx, (cents % 40)::double as toe, (cents % 61)::double as top from cells),
+r as (select transect_idx, arg_min(toe, epoch_idx) as rt, arg_min(top, epoch_idx) as rp from c where top - toe >= 5 group by 1)
 select c.transect_idx, epoch_idx, case when rt is not null then 'reference' when top - toe >= 5 then 'own' else 'fallback' end as window, case when rt is not null then rt when top - toe >= 5 then toe else 10 end as lo, case when rt is not null then rp when top - toe >= 5 then top else 60 end as hi from c left join r on c.transect_idx = r.transect_idx"""
 
 
 def cube_labels(spark, d):
+    """Every covered cell with the slumps that end at it."""
     c = k.cells(spark, d)
-    e = k.slumps(spark, d).select("transect_idx", (F.year("start_date") - 1995).alias("epoch_idx"), "volume", "height", (F.col("event_id")).alias("epoch_before"), lab.volume_class(F.col("volume")).alias("event_class"))
-    x = samples.label_cells(c.select("transect_idx", "epoch_idx"), e, ["transect_idx", "epoch_idx"])
+    e = history.events_by_cell(history.align_events(k.slumps(spark, d), k.years(spark, d), c))
+    x = samples.label_cells(c.select("transect_idx", "epoch_idx", (F.col("cents") % 4000 / 100.0).alias("cliff")), e, "cliff").drop("cliff")
     return _round(x.withColumn("collapse", F.array_join(F.col("collapse").cast("array<string>"), "")), "volume", "risk")
 
 
-CUBE_LABELS = f"""with {k.CELLS}, {k.SLUMPS}, e as (select transect_idx, cast(year(start_date) - 1995 as integer) as epoch_idx, sum(volume) as volume, arg_min(case when volume < 10 then 0 when volume < 50 then 1 when volume < 200 then 2 else 3 end, event_id) as event_class, max(height) as height from slumps group by 1, 2),
-x as (select c.transect_idx, c.epoch_idx, coalesce(volume, 0) as volume, coalesce(event_class, 0) as event_class, coalesce(height, 0) as height from cells c left join e on c.transect_idx = e.transect_idx and c.epoch_idx = e.epoch_idx)
+CUBE_LABELS = f"""with {k.CELLS}, {k.SLUMPS}, {k.YEARS}, {k.ALIGNED},
+x as (select c.transect_idx, c.epoch_idx, coalesce(e.v, 0) as volume, coalesce(e.c, 0) as event_class, coalesce(lag(c.cents % 4000 / 100.0::double) over (partition by c.transect_idx order by c.epoch_idx), 15) as height from cells c left join by_cell e on c.transect_idx = e.transect_idx and c.epoch_idx = e.epoch_idx)
 select transect_idx, epoch_idx, round(volume, 6) as volume, event_class, height, round(1 / (1 + exp(-0.5 * (ln(1 + volume) * least(greatest(1 + 0.05 * (height - 15), 0.5), 2) - 4))), 6) as risk, case when volume >= 10 then '1111' else '0000' end as collapse from x"""
 
 

@@ -10,6 +10,7 @@ from ..operators import series, stats
 from . import carriers as k
 
 R = 6
+POWER = "1025.0::double * 9.81 * 9.81 / (64 * pi()) * hs * hs * tp / 1000"
 
 
 def _round(df, *columns, digits=R):
@@ -18,8 +19,7 @@ def _round(df, *columns, digits=R):
 
 def wave_site_summary(spark, d):
     out = stats.wave_summary(k.waves(spark, d), ["mop_id"])
-    high = k.waves(spark, d).groupBy("mop_id").agg(F.percentile("hs", 0.9).alias("p"))
-    return _round(out.drop("trend_per_day").join(high.select("mop_id"), "mop_id"), "hs_mean", "hs_std", "hs_p90", "hs_p99", "hs_median", "dp_mean")
+    return _round(out.drop("trend_per_day"), "hs_mean", "hs_std", "hs_p90", "hs_p99", "hs_median", "dp_mean")
 
 
 WAVE_SITE_SUMMARY = f"""with {k.WAVES} select mop_id, count(hs) as n, round(avg(hs), 6) as hs_mean, max(hs) as hs_max, round(stddev_pop(hs), 6) as hs_std, round(quantile_cont(hs, 0.9), 6) as hs_p90,
@@ -65,15 +65,23 @@ WAVE_RESAMPLE = f"""with {k.WAVES} select mop_id, time_bucket(interval '6 hours'
  round((degrees(atan2(avg(sin(radians(dp))), avg(cos(radians(dp))))) + 360) % 360, 4) as dp from waves group by 1, 2"""
 
 
+def _scans(spark, d):
+    return k.waves(spark, d).select(F.col("event_id").alias("scan"), "mop_id", F.col("ts").alias("scan_ts"))
+
+
 def wave_lookback(spark, d):
-    x = k.waves(spark, d)
-    scans = x.select(F.col("event_id").alias("scan"), "mop_id", F.col("ts").alias("scan_ts"))
-    return _round(series.lookback_slots(scans, x, ["mop_id"], "scan_ts", "ts", "hs", 20, 6, ["scan"]), "hs")
+    """Every event is a scan: the means of 20 slots of six hours up to it."""
+    return _round(series.lookback_slots(_scans(spark, d), k.waves(spark, d), ["mop_id"], "scan_ts", "ts", ["hs"], 20, 6, ["scan"]), "hs")
+
 
+def _lookback(values: dict[str, str]) -> str:
+    means = ", ".join(f"avg({v}) as {n}" for n, v in values.items())
+    return f"""s as (select event_id as scan, mop_id, ts as scan_ts, epoch_us(ts) - 19 * 21600000000 as f from waves),
+g as (select scan, scan_ts, slot::integer as slot from s, range(0, 20) t(slot)),
+m as (select scan, cast((epoch_us(w.ts) - f) // 21600000000 as integer) as slot, {means} from s join waves w on s.mop_id = w.mop_id and epoch_us(w.ts) >= f and w.ts <= s.scan_ts group by 1, 2)"""
 
-WAVE_LOOKBACK = f"""with {k.WAVES}, s as (select event_id as scan, mop_id, floor(epoch(ts))::bigint - 19 * 21600 as f from waves),
-g as (select scan, slot::integer as slot from s, range(0, 20) t(slot)),
-m as (select scan, cast(floor((floor(epoch(w.ts))::bigint - f) / 21600) as integer) as slot, avg(hs) as hs from s join waves w on s.mop_id = w.mop_id and floor(epoch(w.ts))::bigint >= f and floor(epoch(w.ts))::bigint < f + 20 * 21600 group by 1, 2)
+
+WAVE_LOOKBACK = f"""with {k.WAVES}, {_lookback({"hs": "hs"})}
 select g.scan, g.slot, round(hs, 6) as hs from g left join m on g.scan = m.scan and g.slot = m.slot"""
 
 
@@ -82,10 +90,39 @@ def wave_lookback_filled(spark, d):
     return _round(series.fill_linear(x, ["scan"], "slot", "hs"), "hs")
 
 
-WAVE_LOOKBACK_FILLED = f"""with x as ({WAVE_LOOKBACK}),
-y as (select *, max(case when hs is not null then slot end) over (partition by scan order by slot) as a, min(case when hs is not null then slot end) over (partition by scan order by slot rows between current row and unbounded following) as b from x)
-select y.scan, y.slot, round(case when y.hs is not null then y.hs when p.hs is not null and q.hs is not null then p.hs + (q.hs - p.hs) * (y.slot - y.a)::double / (y.b - y.a)::double else coalesce(p.hs, q.hs) end, 6) as hs
-from y left join x p on p.scan = y.scan and p.slot = y.a left join x q on q.scan = y.scan and q.slot = y.b"""
+def _filled(v: str) -> str:
+    """Value of a column of x with its gaps filled: from the rows p and q of the nearest known slots a and b."""
+    return f"case when y.{v} is not null then y.{v} when p_{v}.{v} is not null and q_{v}.{v} is not null then p_{v}.{v} + (q_{v}.{v} - p_{v}.{v}) * (y.slot - y.a_{v})::double / (y.b_{v} - y.a_{v})::double else coalesce(p_{v}.{v}, q_{v}.{v}) end"
+
+
+def _ends(*values: str) -> tuple[str, str]:
+    ends = ", ".join(f"max(case when {v} is not null then slot end) over (partition by scan order by slot) as a_{v}, min(case when {v} is not null then slot end) over (partition by scan order by slot rows between current row and unbounded following) as b_{v}" for v in values)
+    joined = " ".join(f"left join x p_{v} on p_{v}.scan = y.scan and p_{v}.slot = y.a_{v} left join x q_{v} on q_{v}.scan = y.scan and q_{v}.slot = y.b_{v}" for v in values)
+    return ends, joined
+
+
+_HS_ENDS, _HS_JOINED = _ends("hs")
+WAVE_LOOKBACK_FILLED = f"""with x as ({WAVE_LOOKBACK}), y as (select *, {_HS_ENDS} from x)
+select y.scan, y.slot, round({_filled("hs")}, 6) as hs from y {_HS_JOINED}"""
+
+
+def wave_tensor(spark, d):
+    """Heights, periods, directions and power before every event, without gaps."""
+    x = series.wave_tensor(_scans(spark, d), k.waves(spark, d), ["mop_id"], "scan_ts", 20, 6, ["scan"])
+    # a direction of 0 may come as 360 where its sine is rounded below 0
+    near = F.round("dp", 4)
+    x = x.withColumn("dp", F.when(near >= 360, 0.0).otherwise(near))
+    return _round(x.withColumns({c: F.col(c) + 1e-7 for c in ("hs", "tp", "power")}), "hs", "tp", "power", digits=4)  # off rounding ties
+
+
+_TENSOR = ("hs", "tp", "power", "sn", "cs")
+_T_ENDS, _T_JOINED = _ends(*_TENSOR)
+WAVE_TENSOR = f"""with {k.WAVES}, {_lookback({"hs": "hs", "tp": "tp", "power": POWER, "sn": "sin(radians(dp))", "cs": "cos(radians(dp))"})},
+x as (select g.scan, g.slot, g.scan_ts, hs, tp, power, sn, cs from g left join m on g.scan = m.scan and g.slot = m.slot), y as (select *, {_T_ENDS} from x),
+z as (select y.scan, y.slot, y.scan_ts, {", ".join(f"{_filled(v)} as {v}" for v in _TENSOR)} from y {_T_JOINED}),
+o as (select *, bool_or(hs is null or tp is null or power is null or sn is null) over (partition by scan) as gap, round((degrees(atan2(sn, cs)) + 360) % 360, 4) as dp from z)
+select scan, slot, round(case when gap then 0 else hs end + 1e-7, 4) as hs, round(case when gap then 0 else tp end + 1e-7, 4) as tp, case when gap or dp >= 360 then 0 else dp end as dp, round(case when gap then 0 else power end + 1e-7, 4) as power,
+ cast(dayofyear(scan_ts - to_hours(6 * (19 - slot))) as integer) as doy from o"""
 
 
 def wave_rose(spark, d):
@@ -222,7 +259,7 @@ select scan, day_no, date, round(case when complete or v is not null then v when
 
 QUERIES = {
     "wave_site_summary": (wave_site_summary, WAVE_SITE_SUMMARY), "wave_trend": (wave_trend, WAVE_TREND), "wave_physics": (wave_physics, WAVE_PHYSICS), "wave_storms": (wave_storms, WAVE_STORMS),
-    "wave_resample_6h": (wave_resample_6h, WAVE_RESAMPLE), "wave_lookback": (wave_lookback, WAVE_LOOKBACK), "wave_lookback_filled": (wave_lookback_filled, WAVE_LOOKBACK_FILLED), "wave_rose": (wave_rose, WAVE_ROSE),
+    "wave_resample_6h": (wave_resample_6h, WAVE_RESAMPLE), "wave_lookback": (wave_lookback, WAVE_LOOKBACK), "wave_lookback_filled": (wave_lookback_filled, WAVE_LOOKBACK_FILLED), "wave_tensor": (wave_tensor, WAVE_TENSOR), "wave_rose": (wave_rose, WAVE_ROSE),
     "wave_ecdf": (wave_ecdf, WAVE_ECDF), "wave_histogram": (wave_histogram, WAVE_HISTOGRAM), "wave_correlations": (wave_correlations, WAVE_CORRELATIONS), "wave_feature_stats": (wave_feature_stats, WAVE_FEATURE_STATS),
     "climate_daily_features": (climate_daily_features, CLIMATE_FEATURES), "climate_climatology": (climate_climatology, CLIMATOLOGY), "climate_month_by_year": (climate_month_by_year, MONTH_BY_YEAR),
     "climate_extreme_months": (climate_extreme_months, EXTREME_MONTHS), "climate_completeness": (climate_completeness, COMPLETENESS), "climate_return_periods": (climate_return_periods, RETURN_PERIODS),
