@@ -79,6 +79,33 @@ def matching_pair(events: DataFrame, epochs: DataFrame, key: str, near: int = 7)
     return events.select(key).join(found, key, "left")
 
 
+def events_of_pairs(events: DataFrame, pairs: DataFrame, tolerance: float = 0.15, key: str = "event_id") -> DataFrame:
+    """Every event of each transect's pair of epochs, numbered by falling volume.
+
+    ``events`` have lo and hi along the shore, start_date, end_date and volume;
+    ``pairs`` have transect_idx, place, first and second.  An event belongs to a
+    pair whose transect lies in its span, widened by the tolerance, and whose
+    dates hold its own.
+    """
+    e = events.withColumn("_lo", F.col("lo") - tolerance).withColumn("_hi", F.col("hi") + tolerance)
+    p = pairs.withColumn("_at", F.col("place"))
+    met = joins.rectangle_overlap(e, p, [("_lo", "_hi", "place", "_at", 1.0), ("start_date", "end_date", "first", "second", 92.0)])
+    held = met.where((F.col("start_date") >= F.col("first")) & (F.col("end_date") <= F.col("second")))
+    order = Window.partitionBy("transect_idx", "first", "second").orderBy(F.desc("volume"), key)
+    return held.withColumn("position", F.row_number().over(order)).drop("_lo", "_hi", "_at")
+
+
+def pair_queue(events: DataFrame, transects: DataFrame, epochs: DataFrame, limit: int = 2000, tolerance: float = 0.15) -> DataFrame:
+    """The largest event of each transect and pair of neighbouring epochs, largest first, at most ``limit``.
+
+    An event (event_id, place, start_date, end_date, volume) goes to the nearest
+    transect (idx, place_of) within the tolerance and the first pair that matches it.
+    """
+    near = joins.nearest_within(events, transects, ["event_id"], "place", "place_of", ["idx"], tolerance).where("idx is not null")
+    placed = near.join(matching_pair(near, epochs, "event_id").where("pair is not null"), "event_id")
+    return samples.queue(placed, ["idx", "pair"], limit)
+
+
 def align_events(events: DataFrame, epochs: DataFrame, cells: DataFrame) -> DataFrame:
     """Events (transect_idx, start_date, end_date) between the epochs that bracket them, where both of the transect's cells are covered."""
     found = joins.bracket(events, epochs, "start_date", "end_date", "epoch_date", "epoch_idx")

@@ -129,6 +129,26 @@ def interval_overlap(left: DataFrame, right: DataFrame, left_lo: str, left_hi: s
     return a.join(b, on).drop("_a", "_b")
 
 
+def rectangle_overlap(left: DataFrame, right: DataFrame, dims: list[tuple[str, str, str, str, float]], by: list[tuple[str, str]] = ()) -> DataFrame:
+    """Pairs whose closed intervals overlap in every dimension (left_lo, left_hi, right_lo, right_hi, cell width).
+
+    Both sides are named in each cell of the grid that they touch, and a pair is
+    kept in the first cell that both touch in every dimension, so it comes once.
+    Columns may be numbers or dates (a date's width is in days).
+    """
+    a, b, on = left, right, F.lit(True)
+    for n, (llo, lhi, rlo, rhi, width) in enumerate(dims):
+        number = lambda df, c: F.unix_date(F.col(c)) if isinstance(df.schema[c].dataType, T.DateType) else F.col(c)
+        cell = lambda df, c, w=width: F.floor(number(df, c) / F.lit(w)).cast("long")  # noqa: E731, B023
+        a = a.where(F.col(llo) <= F.col(lhi)).withColumn(f"_a{n}", F.explode(F.sequence(cell(left, llo), cell(left, lhi))))
+        b = b.where(F.col(rlo) <= F.col(rhi)).withColumn(f"_b{n}", F.explode(F.sequence(cell(right, rlo), cell(right, rhi))))
+        first = F.greatest(cell(left, llo), cell(right, rlo))
+        on = on & (F.col(f"_a{n}") == F.col(f"_b{n}")) & (F.col(f"_a{n}") == first) & (F.col(llo) <= F.col(rhi)) & (F.col(rlo) <= F.col(lhi))
+    for x, y in by:
+        on = on & (F.col(x) == F.col(y))
+    return a.join(b, on).drop(*[f"_{s}{n}" for s in "ab" for n in range(len(dims))])
+
+
 def nearest_within(left: DataFrame, right: DataFrame, key: list[str], value: str, target: str, take: list[str], tolerance: float) -> DataFrame:
     """Each left row with the right row whose target is nearest (the lowest ``take`` of equals), if within the tolerance."""
     near = right.select(F.col(target).alias("_target"), (F.col(target) - tolerance).alias("_lo"), (F.col(target) + tolerance).alias("_hi"), *take)

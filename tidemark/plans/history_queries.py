@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as lab
-from ..operators import history, series
+from ..operators import cube, history, series
 from . import carriers as k
-from .wave_queries import POWER, CLIMATE_FEATURES as FEATURES
-from .wave_queries import _round
+from .wave_queries import CLIMATE_FEATURES as FEATURES
+from .wave_queries import POWER, _round
 
 
 
@@ -63,6 +63,39 @@ m as (select event_id, min(epoch_idx) as pair from slumps join p on b is not nul
 select s.event_id, m.pair from slumps s left join m on s.event_id = m.event_id"""
 
 
+def _spans(spark, d):
+    e = k.slumps(spark, d)
+    return e.withColumn("lo", F.col("transect_idx") - (F.col("event_id") % 17) / 10.0).withColumn("hi", F.col("transect_idx") + (F.col("event_id") % 13) / 10.0).drop("transect_idx")
+
+
+def events_of_pairs(spark, d):
+    """Slumps of every transect and pair of successive covered surveys, by volume."""
+    pairs = cube.successive_pairs(k.cells(spark, d), ["transect_idx"])
+    dates = k.years(spark, d)
+    dated = lambda e, to: dates.select(F.col("epoch_idx").alias(e), F.col("epoch_date").alias(to))
+    pairs = pairs.join(dated("epoch_before", "first"), "epoch_before").join(dated("epoch_after", "second"), "epoch_after").withColumn("place", F.col("transect_idx").cast("double"))
+    return history.events_of_pairs(_spans(spark, d), pairs).select("transect_idx", "epoch_before", "epoch_after", "event_id", "volume", "position")
+
+
+EVENTS_OF_PAIRS = f"""with {k.CELLS}, {k.SLUMPS}, {k.YEARS}, p as (select transect_idx, epoch_idx as epoch_before, lead(epoch_idx) over (partition by transect_idx order by epoch_idx) as epoch_after from cells),
+e as (select event_id, transect_idx - (event_id % 17) / 10.0::double as lo, transect_idx + (event_id % 13) / 10.0::double as hi, start_date, end_date, volume from slumps)
+select p.transect_idx, p.epoch_before, p.epoch_after, e.event_id, e.volume, cast(row_number() over (partition by p.transect_idx, p.epoch_before order by e.volume desc, e.event_id) as integer) as position
+from p join years a on a.epoch_idx = p.epoch_before join years b on b.epoch_idx = p.epoch_after join e on e.lo - 0.15::double <= p.transect_idx and e.hi + 0.15::double >= p.transect_idx and e.start_date >= a.epoch_date and e.end_date <= b.epoch_date"""
+
+
+def event_queue_pairs(spark, d):
+    """The 2000 largest slumps, one a transect and pair of neighbouring surveys."""
+    e = k.slumps(spark, d).withColumn("place", F.col("transect_idx") + (F.col("event_id") % 5) / 10.0)
+    transects = spark.range(50).select(F.col("id").cast("int").alias("idx"), F.col("id").cast("double").alias("place_of"))
+    return history.pair_queue(e, transects, k.epochs(spark, d)).select(F.col("idx").alias("transect_idx"), "pair", "event_id", "volume", "position")
+
+
+EVENT_QUEUE_PAIRS = f"""with x as ({EVENT_PAIR}), s as (with {k.SLUMPS} select * from slumps),
+e as (select s.transect_idx, x.pair, s.event_id, s.volume, row_number() over (partition by s.transect_idx, x.pair order by s.volume desc, s.event_id) as r from s join x on s.event_id = x.event_id where x.pair is not null and s.event_id % 5 <= 1),
+t as (select * from e where r = 1 order by volume desc, event_id limit 2000)
+select transect_idx, pair, event_id, volume, cast(row_number() over (order by volume desc, event_id) as integer) as position from t"""
+
+
 def training_samples(spark, d):
     """Slumps bracketed by covered surveys, added up by cell, and the samples of all cells with a context."""
     covered = k.cells(spark, d)
@@ -209,5 +242,5 @@ QUERIES = {
     "wave_metrics": (wave_metrics, WAVE_METRICS), "wave_epoch_features": (wave_epoch_features, WAVE_EPOCH), "cliff_metrics": (cliff_metrics, CLIFF), "event_pair": (event_pair, EVENT_PAIR), "climate_high_risk_days": (climate_high_risk_days, HIGH_RISK),
     "profile_common_range": (profile_common_range, COMMON_RANGE), "profile_common_grid": (profile_common_grid, COMMON_GRID), "climate_summary": (climate_summary, CLIMATE_SUMMARY), "event_cursor": (event_cursor, EVENT_CURSOR), "wettest_day": (wettest_day, WETTEST),
     "wave_beach_summary": (wave_beach_summary, BEACH_SUMMARY), "beach_slices": (beach_slices, BEACH_SLICES), "cube_dimensions": (cube_dimensions, CUBE_DIMENSIONS), "cube_latest_epoch": (cube_latest_epoch, CUBE_LATEST),
-    "cube_feature_over_time": (cube_feature_over_time, CUBE_SERIES), "climate_every_kth": (climate_every_kth, EVERY_KTH), "training_samples": (training_samples, TRAINING), "cell_volumes": (cell_volumes, CELL_VOLUMES),
+    "cube_feature_over_time": (cube_feature_over_time, CUBE_SERIES), "climate_every_kth": (climate_every_kth, EVERY_KTH), "training_samples": (training_samples, TRAINING), "cell_volumes": (cell_volumes, CELL_VOLUMES), "events_of_pairs": (events_of_pairs, EVENTS_OF_PAIRS), "event_queue_pairs": (event_queue_pairs, EVENT_QUEUE_PAIRS),
 }
