@@ -80,6 +80,42 @@ def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).join(F.broadcast(span)).groupBy(F.coalesce(b, F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def hexbin(rows: DataFrame, x: str, y: str, nx: int = 50) -> DataFrame:
+    """lattice, i, j, n, cx, cy: counts in hexagons, ``nx`` across the range of x.
+
+    Two lattices of rectangles, the second half a step off, hold the hexagons'
+    centres; a row goes to the nearer of its nearest centres on each.
+    """
+    ny = int(nx / 3**0.5)
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    span = both.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))  # one row
+    pad = lambda a, b: (F.col(b) - F.col(a)) * 1e-9
+    low = {"x": F.col("_x0") - pad("_x0", "_x1"), "y": F.col("_y0") - pad("_y0", "_y1")}
+    step = {"x": (F.col("_x1") + pad("_x0", "_x1") - low["x"]) / nx, "y": (F.col("_y1") + pad("_y0", "_y1") - low["y"]) / ny}
+    u, v = ((F.col(c) - low[k]) / F.nullif(step[k], F.lit(0.0)) for c, k in ((x, "x"), (y, "y")))
+    at = both.join(F.broadcast(span)).select(F.coalesce(u, F.lit(0.0)).alias("u"), F.coalesce(v, F.lit(0.0)).alias("v"), low["x"].alias("lx"), low["y"].alias("ly"), step["x"].alias("sx"), step["y"].alias("sy"))
+    near = (F.col("u") - F.rint("u")) ** 2 + 3 * (F.col("v") - F.rint("v")) ** 2
+    half = (F.col("u") - F.floor("u") - 0.5) ** 2 + 3 * (F.col("v") - F.floor("v") - 0.5) ** 2
+    first = near < half
+    place = lambda c: F.when(first, F.rint(c)).otherwise(F.floor(c)).cast("int")
+    cells = at.select(F.when(first, 0).otherwise(1).alias("lattice"), place("u").alias("i"), place("v").alias("j"), "lx", "ly", "sx", "sy")
+    out = cells.groupBy("lattice", "i", "j").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("lx", "ly", "sx", "sy")])
+    off = F.col("lattice") * 0.5
+    return out.select("lattice", "i", "j", "n", (F.col("lx") + (F.col("i") + off) * F.col("sx")).alias("cx"), (F.col("ly") + (F.col("j") + off) * F.col("sy")).alias("cy"))
+
+
+def box(rows: DataFrame, by: list[str], value: str, whisker: float = 1.5) -> DataFrame:
+    """by, n, q1, median, q3 and the farthest values within ``whisker`` times their distance beyond them."""
+    q = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = q.select(*by, "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    reach = whisker * (F.col("q3") - F.col("q1"))
+    # the greatest value that isn't beyond the upper limit: one aggregation of the values joined with their group's quartiles
+    ends = rows.join(q, by).groupBy(*by).agg(
+        F.min(F.when(F.col(value) >= F.col("q1") - reach, F.col(value))).alias("low"), F.max(F.when(F.col(value) <= F.col("q3") + reach, F.col(value))).alias("high")
+    )
+    return q.join(ends, by)
+
+
 def return_periods(rows: DataFrame, by: list[str], date: str, value: str) -> DataFrame:
     """Each year's greatest value with its rank and empirical return period."""
     top = rows.groupBy(*by, F.year(date).alias("year")).agg(F.max(value).alias("annual_max"))
