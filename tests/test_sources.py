@@ -1,12 +1,14 @@
 import io
+import math
 import struct
 
 import numpy as np
 import pytest
+from test_fits import redfearn
 
 from pyspark.sql.datasource import GreaterThan, GreaterThanOrEqual, LessThan
 
-from tidemark.sources import files, sinks
+from tidemark.sources import files, npz, sinks
 from tidemark.sources import las as sources_las
 
 
@@ -125,3 +127,58 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     lines = sinks.report_lines(spark.createDataFrame([("dates", "info", "ok"), ("ids", "error", "2 twice")], "check string, severity string, message string"))
     assert [r[0] for r in lines.collect()] == ["[ERROR] ids: 2 twice", "[INFO] dates: ok"]
+
+
+def test_npz_of_over_a_million_rows_by_tasks(spark, tmp_path):
+    n, path = 1_200_000, str(tmp_path / "out")
+    df = spark.range(n, numPartitions=5).selectExpr("id", "id % 7 as k", "case when id % 5 <> 0 then id / 2.0D end as v", "concat('n', id % 3) as s", "array(id * 1.0D, 2.0D) as pair")
+    sinks.write_npz(df, path, rows=100_000)
+    listed = npz.manifest(path)
+    assert sum(r for _, r in listed) == n and len(listed) >= 12 and max(r for _, r in listed) <= 100_000
+    back = files.read_npz_table(spark, path, "id long, k long, v double, s string, pair array<double>")
+    got = back.selectExpr("count(*)", "count(distinct id)", "sum(id)", "sum(k)", "sum(if(isnan(v), 0, v))", "count_if(s = 'n1')", "sum(pair[0] - id)").first()
+    want = df.selectExpr("count(*)", "count(distinct id)", "sum(id)", "sum(k)", "sum(v)", "count_if(s = 'n1')", "0.0D").first()
+    assert tuple(got) == pytest.approx(tuple(want))
+
+
+def test_npz_object_arrays_are_opened_but_never_run(spark, tmp_path):
+    class Evil:
+        def __reduce__(self):
+            return (open, (str(tmp_path / "ran"), "w"))
+
+    np.savez(tmp_path / "a.npz", name=np.array(["MOP 1", None, "MOP 1", "é"], object), n=np.array([1, 2.5, None, 4], object), x=np.arange(8.0).reshape(4, 2), t=np.array(["a", "b", "c", "d"]))
+    rows = files.read_npz_table(spark, str(tmp_path), "name string, n double, x array<double>, t string, none int").orderBy("index").collect()
+    assert [(r["name"], r["n"], r["x"], r["t"], r["none"]) for r in rows] == [("MOP 1", 1, [0, 1], "a", None), (None, 2.5, [2, 3], "b", None), ("MOP 1", None, [4, 5], "c", None), ("é", 4, [6, 7], "d", None)]
+    np.savez(tmp_path / "a.npz", name=np.array([Evil()], object))
+    with pytest.raises(Exception, match="is not opened"):
+        files.read_npz_table(spark, str(tmp_path), "name string").collect()
+    assert not (tmp_path / "ran").exists()
+    assert files.npz_arrays((tmp_path / "a.npz").read_bytes(), ["missing"]) == {}
+
+
+def test_projected_lines(spark, tmp_path):
+    def shape(stem, a, b, prj=None):
+        body = struct.pack("<i4dii", 3, *a, *b, 1, 2) + struct.pack("<i", 0) + struct.pack("<4d", *a, *b)
+        (tmp_path / f"{stem}.shp").write_bytes(bytes(100) + struct.pack(">ii", 1, len(body) // 2) + body)
+        if prj:
+            (tmp_path / f"{stem}.prj").write_text(prj)
+
+    ll = ((-117.25, 32.95), (-117.26, 32.96))
+    shape("lonlat", *ll, 'GEOGCS["GCS_North_American_1983",DATUM["D_North_American_1983"]]')
+    names = [r["name"] for r in files.read_shapefile(spark, str(tmp_path)).collect()]
+    metres = files.read_shapefile(spark, str(tmp_path), zone=11).first()
+    assert names == ["0"] and (metres["x0"], metres["y0"]) == pytest.approx(redfearn(*ll[0], 11), abs=2e-3) and metres["crs"] == "utm11n"
+    at = lambda r: (r["x0"], r["y0"], r["x1"], r["y1"])
+    shape("same", at(metres)[:2], at(metres)[2:], 'PROJCS["NAD_1983_UTM_Zone_11N",GEOGCS["x"]]')
+    shape("none", at(metres)[:2], at(metres)[2:])
+    other = files.reproject(files.read_shapefile(spark, str(tmp_path / "lonlat*")), 12).first()
+    shape("zone12", at(other)[:2], at(other)[2:], 'PROJCS["NAD_1983_UTM_Zone_12N",GEOGCS["x"]]')
+    for r in files.read_shapefile(spark, str(tmp_path), zone=11).collect():
+        assert at(r) == pytest.approx(at(metres), abs=1e-3) and r["length"] == pytest.approx(metres["length"], abs=1e-3)
+    (tmp_path / "t.kml").write_text(
+        "<kml><Document><Placemark><name>MOP 1</name><LineString><coordinates>-117.25,32.95,3 -117.255,32.955 -117.26,32.96,5</coordinates></LineString></Placemark>"
+        "<Placemark><LineString><coordinates>-117.2,32.9 -117.3,32.9</coordinates></LineString></Placemark><Placemark><name>one</name><LineString><coordinates>1,2</coordinates></LineString></Placemark></Document></kml>"
+    )
+    a, b = files.read_kml(spark, str(tmp_path / "t.kml"), zone=11).orderBy("name").collect()
+    assert at(a) == pytest.approx(at(metres), abs=1e-3) and (a["z0"], a["z1"], b["name"], b["z1"]) == (3, 5, "Unnamed", 0)
+    assert a["nx"] == pytest.approx((a["x1"] - a["x0"]) / a["length"]) and math.hypot(a["nx"], a["ny"]) == pytest.approx(1)

@@ -8,13 +8,17 @@ be larger than a row, by the ``las`` data source.
 from __future__ import annotations
 
 import io
+import pickle
+import re
 import struct
+import zipfile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import projection
 from . import las
 
 def binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -104,17 +108,50 @@ def _dbf(content: bytes) -> list[dict]:
 NAME_FIELDS = ("name", "Name", "NAME", "id", "ID", "FID", "tr_id")
 
 
-def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """name, x0, y0, x1, y1, nx, ny, length of each line: first and last vertex; other shapes are left out.
+def coordinate_system(prj: str | None) -> str:
+    """``lonlat``, ``utm11n`` and the like, or ``unknown``, of the text beside a shapefile."""
+    text = (prj or "").strip()
+    zone = re.search(r"UTM[ _]zone[ _](\d+)([NS])", text, re.IGNORECASE)
+    if zone and not text.upper().startswith("GEOGCS"):
+        return f"utm{int(zone[1])}{zone[2].lower()}"
+    return "lonlat" if text.upper().startswith(("GEOGCS", "GEOGCRS")) else "unknown"
+
+
+def reproject(lines: DataFrame, zone: int, south: bool = False, ellipsoid: tuple[float, float] = projection.GRS80) -> DataFrame:
+    """Lines (crs, x0, y0, x1, y1) in metres of one UTM zone, with nx, ny and length anew.
+
+    Degrees and metres of other zones are converted; an unknown system is taken
+    as the zone's own, as a file without one is.
+    """
+    target, out = f"utm{zone}{'s' if south else 'n'}", lines
+    crs = F.col("crs")
+    other = F.regexp_extract(crs, r"utm(\d+)", 1).try_cast("int")
+    for a, b in (("x0", "y0"), ("x1", "y1")):
+        above = F.col(b) - F.when(crs.endswith("s"), projection.SOUTH).otherwise(0.0)
+        degrees = projection.from_utm(F.col(a), above, other, ellipsoid=ellipsoid)
+        # in columns of their own, so that the series stands once in the plan
+        out = out.withColumns({f"_{c}": F.when(crs == "lonlat", F.col(c)).otherwise(v) for c, v in zip((a, b), degrees)})
+        x, y = projection.to_utm(F.col(f"_{a}"), F.col(f"_{b}"), zone, south, ellipsoid)
+        keep = crs.isin(target, "unknown")
+        out = out.withColumns({a: F.when(keep, F.col(a)).otherwise(x), b: F.when(keep, F.col(b)).otherwise(y)})
+    size = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    out = out.withColumns({"length": size, "nx": -(F.col("y1") - F.col("y0")) / (size + 1e-8), "ny": (F.col("x1") - F.col("x0")) / (size + 1e-8)})
+    return out.withColumn("crs", F.lit(target)).select(lines.columns)
+
+
+def read_shapefile(spark: SparkSession, path: str, zone: int | None = None, south: bool = False) -> DataFrame:
+    """name, x0, y0, x1, y1, nx, ny, length, crs of each line: first and last vertex; other shapes are left out.
 
     The name is the first of the usual name fields that isn't empty, else the
-    record's number.
+    record's number.  With a zone the lines are converted to its metres, from
+    the coordinate system that the ``.prj`` file names.
     """
 
     def parse(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = {p.rsplit(".", 1)[-1].lower(): bytes(c) for p, c in zip(pdf["path"], pdf["content"])}
         shp, rows = parts.get("shp"), []
         names = _dbf(parts["dbf"]) if "dbf" in parts else []
+        crs = coordinate_system(parts.get("prj", b"").decode("utf-8", "replace"))
         at, i = 100, 0
         while shp and at + 12 <= len(shp):
             words, kind = struct.unpack_from(">i", shp, at + 4)[0], struct.unpack_from("<i", shp, at + 8)[0]
@@ -125,51 +162,112 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
                 name = next((record[f] for f in NAME_FIELDS if record.get(f)), str(i))
                 (x0, y0), (x1, y1) = xy[0], xy[-1]
                 size = float(np.hypot(x1 - x0, y1 - y0))
-                rows.append((name, x0, y0, x1, y1, -(y1 - y0) / (size + 1e-8), (x1 - x0) / (size + 1e-8), size))
+                rows.append((name, x0, y0, x1, y1, -(y1 - y0) / (size + 1e-8), (x1 - x0) / (size + 1e-8), size, crs))
             at, i = at + 8 + 2 * words, i + 1
-        return pd.DataFrame(rows, columns=["name", "x0", "y0", "x1", "y1", "nx", "ny", "length"])
+        return pd.DataFrame(rows, columns=["name", "x0", "y0", "x1", "y1", "nx", "ny", "length", "crs"])
 
-    f = binary(spark, path, "*.{shp,dbf}").withColumn("stem", F.regexp_replace("path", r"\.(?:shp|dbf)$", ""))
-    return f.groupBy("stem").applyInPandas(parse, "name string, x0 double, y0 double, x1 double, y1 double, nx double, ny double, length double")
+    f = binary(spark, path, "*.{shp,dbf,prj}").withColumn("stem", F.regexp_replace("path", r"\.(?:shp|dbf|prj)$", ""))
+    lines = f.groupBy("stem").applyInPandas(parse, "name string, x0 double, y0 double, x1 double, y1 double, nx double, ny double, length double, crs string")
+    return lines if zone is None else reproject(lines, zone, south)
 
 
-def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """name, lon0, lat0, lon1, lat1 and local metres of each Placemark's line.
+def read_kml(spark: SparkSession, path: str, zone: int | None = None, south: bool = False) -> DataFrame:
+    """name, lon0, lat0, z0, lon1, lat1, z1, x0, y0, x1, y1, nx, ny, length of each Placemark's line of two places or more.
 
-    Metres are an equirectangular projection about the file's mean start.
+    Metres are those of a UTM zone, or without one an equirectangular projection
+    about the file's mean start.  A height that isn't given is 0, a name "Unnamed".
     """
     schema = "name string, LineString struct<coordinates: string>"
     k = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path).where("LineString.coordinates is not null")
     spots = F.filter(F.split(F.trim("LineString.coordinates"), r"\s+"), lambda s: s != "")
-    part = lambda s, i: F.split(s, ",")[i].try_cast("double")
-    ends = k.select("name", F.element_at(spots, 1).alias("a"), F.element_at(spots, -1).alias("b"))
-    ends = ends.select("name", part(F.col("a"), 0).alias("lon0"), part(F.col("a"), 1).alias("lat0"), part(F.col("b"), 0).alias("lon1"), part(F.col("b"), 1).alias("lat1"))
-    mid = ends.agg(F.avg("lon0").alias("_lon"), F.avg("lat0").alias("_lat"))
-    metre = 111_320.0
-    x = lambda c: (F.col(c) - F.col("_lon")) * metre * F.cos(F.radians("_lat"))
-    y = lambda c: (F.col(c) - F.col("_lat")) * metre
-    return ends.join(F.broadcast(mid)).select(*ends.columns, x("lon0").alias("x0"), y("lat0").alias("y0"), x("lon1").alias("x1"), y("lat1").alias("y1"))
+    part = lambda s, i: F.get(F.split(s, ","), F.lit(i)).try_cast("double")
+    ends = k.select(F.coalesce("name", F.lit("Unnamed")).alias("name"), spots.alias("_s")).where(F.size("_s") >= 2)
+    ends = ends.select("name", F.element_at("_s", 1).alias("a"), F.element_at("_s", -1).alias("b"))
+    place = lambda c, n: [part(F.col(c), 0).alias(f"lon{n}"), part(F.col(c), 1).alias(f"lat{n}"), F.coalesce(part(F.col(c), 2), F.lit(0.0)).alias(f"z{n}")]
+    ends = ends.select("name", *place("a", 0), *place("b", 1))
+    if zone is None:
+        mid = ends.agg(F.avg("lon0").alias("_lon"), F.avg("lat0").alias("_lat"))
+        metre = 111_320.0
+        x = lambda c: (F.col(c) - F.col("_lon")) * metre * F.cos(F.radians("_lat"))
+        y = lambda c: (F.col(c) - F.col("_lat")) * metre
+        lines = ends.join(F.broadcast(mid)).select(*ends.columns, x("lon0").alias("x0"), y("lat0").alias("y0"), x("lon1").alias("x1"), y("lat1").alias("y1"))  # one row
+    else:
+        metres = [c.alias(f"{a}{n}") for n in "01" for a, c in zip("xy", projection.to_utm(F.col(f"lon{n}"), F.col(f"lat{n}"), zone, south))]
+        lines = ends.select(*ends.columns, *metres)
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    size = F.hypot(dx, dy)
+    return lines.select(*lines.columns, (dx / (size + 1e-8)).alias("nx"), (dy / (size + 1e-8)).alias("ny"), size.alias("length"))
+
+
+class _PlainObjects(pickle.Unpickler):
+    """Opens object arrays of texts, numbers and nulls; whatever names any other class or function is refused."""
+
+    #: What numpy writes for an array, by its old and new module names.
+    ALLOWED = {(m, n) for m in ("numpy.core.multiarray", "numpy._core.multiarray") for n in ("_reconstruct", "scalar")} | {("numpy", "ndarray"), ("numpy", "dtype")}
+
+    def find_class(self, module, name):
+        if (module, name) not in self.ALLOWED:
+            raise pickle.UnpicklingError(f"an object array that names {module}.{name} is not opened")
+        return super().find_class(module, name)
+
+
+def _open_array(stored) -> np.ndarray:
+    """An array of an NPZ member, of plain values only."""
+    version = np.lib.format.read_magic(stored)
+    shape, fortran, kind = np.lib.format.read_array_header_1_0(stored) if version == (1, 0) else np.lib.format.read_array_header_2_0(stored)
+    if kind.hasobject:
+        return np.asarray(_PlainObjects(stored).load(), object).reshape(shape)
+    flat = np.frombuffer(stored.read(), kind, int(np.prod(shape, dtype=np.int64)))
+    return flat.reshape(shape, order="F" if fortran else "C")
+
+
+def npz_arrays(content: bytes, wanted: list[str]) -> dict[str, np.ndarray]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        return {a: _open_array(io.BytesIO(z.read(f"{a}.npy"))) for a in wanted if f"{a}.npy" in names}
 
 
 def read_npz(spark: SparkSession, path: str, array: str) -> DataFrame:
-    """path, index, values: rows of one array of NPZ files along its first axis (objects are never unpickled)."""
+    """path, index, values: rows of one array of numbers of NPZ files along its first axis."""
 
     def parse(batches):
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
-                with np.load(io.BytesIO(bytes(content)), allow_pickle=False) as z:
-                    if array not in z:
-                        continue
-                    a = np.atleast_1d(z[array])
-                flat = a.reshape(len(a), -1).astype(float)
-                for lo in range(0, len(flat), 10_000):
-                    part = flat[lo : lo + 10_000]
-                    yield pd.DataFrame({"path": name, "index": np.arange(lo, lo + len(part)), "values": list(part)})
+                for a in npz_arrays(bytes(content), [array]).values():
+                    a = np.atleast_1d(a)
+                    flat = a.reshape(len(a), -1).astype(float)
+                    for lo in range(0, len(flat), 10_000):
+                        part = flat[lo : lo + 10_000]
+                        yield pd.DataFrame({"path": name, "index": np.arange(lo, lo + len(part)), "values": list(part)})
 
     rows = binary(spark, path, "*.npz").select("path", "content").mapInPandas(parse, "path string, index long, values array<double>")
     return rows.withColumn("values", F.transform("values", lambda v: F.when(~F.isnan(v), v)))
 
 
+def read_npz_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of NPZ files whose arrays of one length are columns; path, index and the columns of ``schema`` (name type, ...).
+
+    Object arrays of texts, numbers and nulls are read without running what they
+    name; an array of several axes is an array column of its row's values.
+    """
+    fields = [c.strip().split(maxsplit=1) for c in schema.split(",")]
+
+    def parse(batches):
+        for b in batches:
+            for name, content in zip(b["path"], b["content"]):
+                found = {k: np.atleast_1d(a) for k, a in npz_arrays(bytes(content), [f for f, _ in fields]).items()}
+                n = max(map(len, found.values()), default=0)
+                for lo in range(0, n, 10_000):
+                    hi = min(n, lo + 10_000)
+                    columns = {"path": name, "index": np.arange(lo, hi)}
+                    for f, _ in fields:
+                        a = found.get(f)
+                        columns[f] = [None] * (hi - lo) if a is None else [v.ravel().tolist() if isinstance(v, np.ndarray) else v.item() if isinstance(v, np.generic) else v for v in a[lo:hi]]
+                    yield pd.DataFrame({c: pd.Series(v, dtype=object) if isinstance(v, list) else v for c, v in columns.items()})
+
+    return binary(spark, path, "*.npz").select("path", "content").mapInPandas(parse, f"path string, index long, {schema}")
+
+
 def read_climate_bulk(spark: SparkSession, path: str, skip: int = 10) -> DataFrame:
     """Bulk climate CSVs with ``skip`` lines before the header: name, date and measures, missing values null."""
     lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("l"))

@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that an NPZ export may hold: it passes through the driver.
+from . import npz
+
+#: Rows that a single NPZ file may hold: it passes through the driver.
 NPZ_ROWS = 1_000_000
 
 
@@ -25,8 +27,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_npz(df: DataFrame, path: str, rows: int = 500_000) -> None:
+    """A table of any size as NPZ archives of at most ``rows`` rows, a column an array, written by the tasks themselves.
+
+    ``path/manifest.json`` names the archives that count, with their rows; it is
+    written when all tasks have ended, so the files of a lost or repeated task
+    are never read as data.
+    """
+    df.sparkSession.dataSource.register(npz.NpzSink)
+    df.write.format("npz").mode("append").option("rows", rows).save(path)
+
+
 def to_npz(df: DataFrame) -> bytes:
-    """A small table as an NPZ file, a column an array; refuses more than NPZ_ROWS rows."""
+    """A small table as one NPZ file, a column an array; refuses more than NPZ_ROWS rows, for which ``write_npz`` is."""
     table = df.limit(NPZ_ROWS + 1).toPandas()
     if len(table) > NPZ_ROWS:
         raise ValueError(f"an NPZ export holds at most {NPZ_ROWS} rows")
