@@ -6,7 +6,9 @@ contiguous region with the highest sum.  The text is that region's blocks
 without those that lie in page furniture.
 
 Weights are log-odds, fitted on the labelled pages below: of each word's nearest
-telling ancestor (article, paragraph, link, menu, footer, ...), and of each tag.
+telling ancestor (paragraph, link, menu, footer, ...), and of each tag, apart for
+what lies within an article and outside the articles of a page.  A run of
+furniture outside an article has a bounded cost, so it doesn't part a text.
 
 Results for unusual input: null or empty html gives an empty text; html without
 tags is one block; unclosed tags, comments and cut-off character references are
@@ -33,12 +35,28 @@ from pyspark.sql import functions as F
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "textarea", "select", "canvas", "audio", "video"}
 #: Elements that are page furniture by their name.
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "figcaption"}
-#: Words in class, id or role that tell furniture.
-FURNITURE_NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|header|masthead|"
-    r"comment\w*|disqus\w*|reply|replies|cookie\w*|consent|gdpr|notice\w*|popup\w*|modal\w*|newsletter|subscri\w*|share|sharing|social\w*|related|recommend\w*|"
-    r"widget\w*|toolbar|login|signup|pager|pagination|copyright|complementary|navigation|contentinfo|form|alert|search(?=$|\s|[_-](?:form|box|bar|field|input|widget)))(?:$|[\s_-])"
+#: Words of a class, id or role that tell furniture, and words that say nothing beside one.
+TELLING_NAMES = re.compile(
+    r"(?:ad|ads|adv|advert\w*|banners?|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebars?|side|footers?|header|masthead|comments?|disqus\w*|reply|replies|cookies?|consent|gdpr|notices?|popups?|modals?|"
+    r"newsletters?|subscri\w*|share|sharing|socials?|related|recommend\w*|widgets?|toolbars?|login|signup|pager|pagination|copyright|complementary|contentinfo|form|alerts?|search)"
 )
+PLAIN_NAMES = re.compile(
+    r"(?:area|articles?|banner|bar|block|blocks|bottom|box|btn|buttons?|card|cards|col|container|content|count|cta|feed|field|fixed|global|group|holder|icons?|inner|input|item|items|layer|left|links?|list|lists|"
+    r"main|mobile|more|name|outer|overlay|page|panel|placeholder|policy|post|posts|primary|rail|right|row|secondary|section|site|slot|small|stack|stories|story|sub|tags?|text|thread|title|toggle|top|unit|us|wrap|wrapper|\d+)"
+)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^\W\dA-Za-z_]+")
+
+
+def tells_furniture(names: str) -> str | None:
+    """The telling word of a class, id or role list: of a name of which every part tells or says nothing."""
+    for name in names.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        told = [p for p in parts if TELLING_NAMES.fullmatch(p)]
+        if told and all(TELLING_NAMES.fullmatch(p) or PLAIN_NAMES.fullmatch(p) for p in parts):
+            return told[0]
+    return None
+
+
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot",
@@ -72,6 +90,14 @@ LABELLED = [
     '<body><div class="top"><a href="/">Start</a> | <a href="/m">Map</a></div><main-text><div><div>Water finds the cracks in the rock and freezes there.</div><div>In <b>spring</b> the rock falls.<br><br>'
     '<span>It takes the path with it, as it did the year before.</span></div></div></main-text><div id="footer"><span>Legal lines and <a href="/c">contact</a></span></div></body>',
     "<main-text>A few words without any markup at all.</main-text>",
+    "<body><main><main-text><h1>What to bring</h1><ul><li>A coat</li><li>Two maps of the coast</li><li>Bread</li></ul><table><tr><th>Tide</th><th>Hour</th></tr><tr><td>High</td><td>Six</td></tr></table></main-text></main>"
+    '<p>Written by the harbour office.</p><ul><li><a href="/1">Before</a></li><li><a href="/2">After</a></li></ul></body>',
+    '<body><div id="page"><ul class="links"><li><a href="/">Home</a></li><li><a href="/old">Old pages</a></li></ul><main-text><p>The pier was built of oak, and it stood for a hundred years.</p><ol><li>The first storm took the rail</li>'
+    "<li>The second took the planks</li></ol><p>What is left can be seen at low water.</p></main-text><p><a href='/a'>More on piers</a> <a href='/b'>More on storms</a></p></div></body>",
+    '<body><article><main-text><h2>A walk</h2><dl><dt>Start</dt><dd>at the old lighthouse</dd><dt>End</dt><dd>where the road meets the sea</dd></dl><pre>north, then east</pre></main-text></article><div>Page one of nine</div></body>',
+    '<body><table><tr><td><a href="/1">Index</a></td><td><a href="/2">Letters</a></td></tr></table><main-text><div>Letters from the coast, the third: we have had no rain since May, and the wells are low.</div><div>They say it will come with the moon.</div></main-text><hr><small>Set in type by hand.</small></body>',
+    "<body><main-text><h1>Notes</h1><p>Stones sort by size along the beach.</p><h2>Why</h2><p>Large ones roll back with every wave, small ones stay.</p></main-text><address>Write to us at the museum.</address></body>",
+    '<body><center><a href="/up">Up</a> <a href="/next">Next</a></center><main-text><p>Of the seven caves four can be entered.</p><p>The <a href="/cave">deepest</a> of them fills at every tide, so go with a guide.</p></main-text><center><a href="/up">Up</a> <a href="/next">Next</a></center></body>',
 ]
 
 
@@ -142,6 +168,7 @@ class _Reader:
         #: (name, inside an article, furniture outside it, furniture inside it, silent, context, place of the nearest scope)
         self.open: list[tuple[str, bool, bool, bool, bool, str, int]] = []
         self.places: dict[str, list[int]] = {}
+        self.articles = 0
 
     def state(self) -> tuple[bool, bool, bool, bool, str, int]:
         return self.open[-1][1:] if self.open else (False, False, False, False, "plain", -1)
@@ -156,23 +183,28 @@ class _Reader:
         _, outer, inner, _, context, _ = self.state()
         return "furniture" if outer or inner else context
 
+    def whole(self, page: str) -> list[tuple]:
+        """All tokens; where a page has an article, each says whether it lies within one."""
+        tokens = list(self.tokens(page))
+        return [(k, ("in " if within else "out ") + v if k == "tag" and self.articles else v, ("in " if within else "out ") + m if k == "word" and m != "furniture" and self.articles else m, muted) for k, v, m, muted, within in tokens]
+
     def tokens(self, page: str):
-        """("word", text run, context, muted) and ("tag", name, is an end, muted)."""
+        """("word", text run, context, muted) and ("tag", name, is an end, muted); contexts and tags within an article start with ``in ``."""
         for text, name, end, rest in _pieces(page):
             if name is None:
                 if not self.state()[3]:
-                    yield "word", text, self.context(), self.muted()
+                    yield "word", text, self.context(), self.muted(), self.state()[0]
             elif end:
-                muted = self.muted()
+                muted, within = self.muted(), self.state()[0]
                 if self.places.get(name):
                     self._cut(self.places[name][-1])
-                yield "tag", name, True, muted
+                yield "tag", name, True, muted, within
             else:
                 if name in _WHOLE:
-                    yield "tag", name, False, self.muted()
+                    yield "tag", name, False, self.muted(), self.state()[0]
                     continue
                 self._start(name, rest)
-                yield "tag", name, False, self.muted()
+                yield "tag", name, False, self.muted(), self.state()[0]
 
     def _cut(self, size: int) -> None:
         while len(self.open) > size:
@@ -192,24 +224,29 @@ class _Reader:
         furniture = name in FURNITURE and not (inside and name in ("figcaption", "header"))
         if not furniture and "=" in rest and name not in ("html", "body", "article", "main", "a"):
             for v in _NAMED.findall(rest):
-                found = FURNITURE_NAMES.search(v[0] or v[1] or v[2])
-                furniture |= found is not None and not (inside and found[0].strip(" _-").lower() == "header")
+                found = tells_furniture(v[0] or v[1] or v[2])
+                furniture |= found is not None and not (inside and found == "header")
         if name in self.TELLING and not (name == "a" and context in ("p", "heading", "blockquote", "article", "main")):
             context = "heading" if name[0] == "h" and name[1:].isdigit() else name
-        inside = inside or name in ("article", "main")
+        inside = inside or name in ("article", "main") and not (outer or inner)
+        self.articles += inside
         place = len(self.open)
         self.places.setdefault(name, []).append(place)
         self.open.append((name, inside, outer or furniture and not inside, inner or furniture and inside, silent or name in SILENT, context, place if name in _SCOPE else scope))
 
 
+#: What a run of furniture outside an article costs at most: text on both sides of it stays together if each side has more.
+FURNITURE_COST = 12.0
+
+
 @lru_cache(maxsize=1)
 def weights() -> tuple[dict[str, float], dict[str, float], float]:
     """(by word context, by tag, of other tags): smoothed log-odds over LABELLED."""
     words, tags = [Counter(), Counter()], [Counter(), Counter()]
     for page in LABELLED:
         inside = 0
-        for kind, value, more, _ in _Reader().tokens(page):
-            if kind == "tag" and value == "main-text":
+        for kind, value, more, _ in _Reader().whole(page):
+            if kind == "tag" and value.endswith("main-text"):
                 inside = 0 if more else 1
             elif kind == "word":
                 words[inside][more] += len(value.split())
@@ -222,6 +259,17 @@ def weights() -> tuple[dict[str, float], dict[str, float], float]:
     return by_context, inner, -0.5
 
 
+def _value(kind: str, value: str, more, by_context: dict, by_tag: dict, other: float) -> float:
+    if kind == "tag":
+        return by_tag.get(value, -0.1 if value.startswith("in ") else other)
+    default = by_context.get("plain", 0.1)
+    if more.startswith("in "):
+        default = max(default, 1.0)
+    elif more.startswith("out "):
+        default = -1.0
+    return by_context.get(more, default) * len(value.split())
+
+
 def _clean(runs: list[str]) -> str:
     return " ".join(entities.unescape("".join(runs)).split())
 
@@ -230,30 +278,42 @@ def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    by_context, by_tag, other = weights()
-    default = by_context.get("plain", 0.1)
-    tokens = list(_Reader().tokens(page))
+    learned = weights()
+    tokens = _Reader().whole(page)
     best, best_from, best_to = 0.0, 0, 0
-    run, start = 0.0, 0
+    run, start, spent = 0.0, 0, 0.0
     for i, (kind, value, more, muted) in enumerate(tokens):
         if muted:
             continue
-        run += by_context.get(more, default) * len(value.split()) if kind == "word" else by_tag.get(value, other)
+        gain = _value(kind, value, more, *learned)
+        if kind == "word" and more == "furniture":
+            gain = max(gain, -FURNITURE_COST - spent)  # of what the run of furniture may cost yet
+            spent += gain
+        elif kind == "word" and value.strip():
+            spent = 0.0
+        run += gain
         if run <= 0:
             run, start = 0.0, i + 1
         elif run > best:
             best, best_from, best_to = run, start, i + 1
+    at = best_from  # a heading right before the region belongs to it
+    while best_to and at and (tokens[at - 1][0] == "tag" or tokens[at - 1][2].endswith("heading") or tokens[at - 1][3] or not tokens[at - 1][1].strip()):
+        at -= 1
+        if tokens[at][0] == "word" and tokens[at][1].strip() and not tokens[at][3]:
+            best_from = at
     blocks: list[str] = []
     held: list[str] = []
     for kind, value, more, _ in tokens[best_from:best_to]:
         if kind == "word":
             if more != "furniture":
                 held.append(value)
-        elif value == "br":
-            held.append(" ")
-        elif value in BLOCKS:
-            blocks.append(_clean(held))
-            held = []
+        else:
+            name = value.removeprefix("in ").removeprefix("out ")
+            if name == "br":
+                held.append(" ")
+            elif name in BLOCKS:
+                blocks.append(_clean(held))
+                held = []
     blocks.append(_clean(held))
     return "\n".join(b for b in blocks if b)
 
