@@ -81,7 +81,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def drop(written: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing will read again."""
+    _forget(written.sparkSession, written.scratch_path)
 
 
 def split_by_bytes(values: list, limit: int):

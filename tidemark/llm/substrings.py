@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import drop, materialize, text_or_empty
 from .shingles import mix
 
 LENGTH, CONTEXT, SHALLOW, MAX_GROUP = 400, 100, 8, 100_000
@@ -438,8 +438,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT
     texts = _identified(docs)
     rows = texts.select("did", "th", "text").mapInPandas(lambda b: _anchor_rows(b, length, context), _ANCHOR)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(rows, "places")  # else finding the ranges' borders would search all texts once more
     sifted = rows.repartitionByRange(n, "context", "around", "around2", "did", "pos").sortWithinPartitions("context", "around", "around2").mapInPandas(_sift, "kind string, " + _ANCHOR)
     sifted = materialize(sifted, "anchors")
+    drop(rows)
     _release(spark)
     to_sort = sifted.where("kind = 'sort'").groupBy("did", "th").agg(F.collect_list(F.struct("context", "pos")).alias("places"))  # of one document
     around = texts.select("did", "th", "text").join(to_sort, ["did", "th"]).mapInPandas(lambda b: _surroundings(b, length, reach), "context long, did long, th long, pos int, before int, bytes binary")
