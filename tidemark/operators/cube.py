@@ -63,6 +63,21 @@ def change(points: DataFrame, by: list[str], first: int, second: int, z: str = "
     )
 
 
+def epoch_slice(cells: DataFrame, epochs: DataFrame, i: int) -> DataFrame:
+    """The cells of one epoch by its place in date order; negative ones count from the end."""
+    listed = [r["epoch_idx"] for r in epochs.select("epoch_idx", "epoch_date").orderBy("epoch_date", "epoch_idx").collect()]  # a row a survey
+    if not -len(listed) <= i < len(listed):
+        raise IndexError(f"epoch {i} of {len(listed)}")
+    return cells.where(F.col("epoch_idx") == listed[i])
+
+
+def feature_over_time(points: DataFrame, by: list[str], epoch: str, feature: str) -> DataFrame:
+    """by, epoch, feature: one feature of every point, by epoch."""
+    if feature not in points.columns:
+        raise KeyError(f"no feature {feature}; there are {', '.join(c for c in points.columns if c not in (*by, epoch))}")
+    return points.select(*by, epoch, feature)
+
+
 def successive_pairs(cells: DataFrame, by: list[str]) -> DataFrame:
     """Each cell with the next covered epoch of its transect: pair (epoch_before, epoch_after)."""
     w = Window.partitionBy(*by).orderBy("epoch_idx")

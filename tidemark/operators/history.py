@@ -21,7 +21,7 @@ def wave_metrics(waves: DataFrame, by: list[str], orientation: float = 270.0, th
     hours = F.floor(seconds(ts) / 3600)
     both = hs.isNotNull() & tp.isNotNull()
     whole = waves.groupBy(*by).agg(
-        F.avg(hs).alias("hs_m"), F.avg(tp).alias("tp_s"), w.circular_mean(dp).alias("dp_deg"), F.avg(w.power(hs, tp)).alias("power_kw"), F.avg(w.shore_normal(hs, dp, F.lit(orientation))).alias("shore_normal_hs_m"),
+        F.avg(hs).alias("hs_m"), F.avg(tp).alias("tp_s"), w.circular_mean(dp).alias("dp_deg"), F.avg(w.power(hs, tp)).alias("power_kw"), F.avg(w.power(hs, tp)).alias("mean_power_kw"), F.avg(w.shore_normal(hs, dp, F.lit(orientation))).alias("shore_normal_hs_m"),
         F.avg(F.when(both, w.runup(hs, tp))).alias("runup_2pct_m"), (F.sum(w.energy(hs)) * 3600 / 1e6).alias("cumulative_energy_mj"), F.sum(w.power(hs, tp)).alias("cumulative_power_kwh"),
         F.max(hs).alias("max_hs_m"), F.percentile(hs, 0.9).alias("hs_p90"), F.percentile(hs, 0.99).alias("hs_p99"), F.count_if(hs >= threshold).alias("storm_hours"),
         F.max(hs).alias("rolling_max_7d_m"), F.coalesce(F.regr_slope(hs, hours) * 24, F.lit(0.0)).alias("hs_trend_slope"), F.max(ts).alias("_last"), F.count("*").alias("_n"),
@@ -37,15 +37,19 @@ def wave_metrics(waves: DataFrame, by: list[str], orientation: float = 270.0, th
 
 
 def epoch_features(waves: DataFrame, by: list[str]) -> DataFrame:
-    """Features of the waves between two surveys; missing heights count in the shares' denominator."""
+    """Features of the waves between two surveys; missing heights count in the shares' denominator.
+
+    Net radiation stress is the sum of ``sxy`` and ``sxx`` where the waves have them, else null.
+    """
     hs, tp, dp = F.col("hs"), F.col("tp"), F.col("dp")
+    net = lambda c: (F.coalesce(F.sum(c), F.lit(0.0)) if c in waves.columns else F.lit(None).cast("double")).alias(f"{c}_net")
     p = w.power(hs, tp)
     over = lambda limit: F.count_if(hs > limit)
     return waves.groupBy(*by).agg(
         F.avg(hs).alias("hs_mean"), F.median(hs).alias("hs_median"), F.stddev_pop(hs).alias("hs_std"), F.max(hs).alias("hs_max"), F.percentile(hs, 0.9).alias("hs_90q"), F.percentile(hs, 0.95).alias("hs_95q"),
         F.avg(tp).alias("tp_mean"), F.max(tp).alias("tp_max"), F.avg(p).alias("power_mean"), F.max(p).alias("power_max"), F.coalesce(F.sum(p), F.lit(0.0)).alias("power_cumulative"),
         over(3.0).alias("storm_hours_3m"), over(4.0).alias("storm_hours_4m"), (over(2.0) / F.count("*")).alias("high_energy_fraction"), w.circular_mean(dp).alias("dp_mean"),
-        F.degrees(F.stddev_pop(F.radians(dp))).alias("dp_spread"), F.count(hs).alias("n_valid_hours"), (F.count(hs) / F.count("*")).alias("data_coverage"),
+        F.degrees(F.stddev_pop(F.radians(dp))).alias("dp_spread"), net("sxy"), net("sxx"), F.count(hs).alias("n_valid_hours"), (F.count(hs) / F.count("*")).alias("data_coverage"),
     )
 
 

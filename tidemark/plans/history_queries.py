@@ -11,10 +11,12 @@ from . import carriers as k
 from .wave_queries import CLIMATE_FEATURES as FEATURES
 from .wave_queries import POWER, _round
 
+_DEEP = "(9.81 * tp * tp / (2 * pi()))"
+RUNUP = f"(case when 0.1::double / sqrt(hs / {_DEEP}) < 0.3 then 0.043 * sqrt(hs * {_DEEP}) else 1.1 * (0.35 * 0.1::double * sqrt(hs * {_DEEP}) + 0.5 * sqrt(hs * {_DEEP} * (0.563 * 0.01::double + 0.004))) end)"
 
 
 def wave_metrics(spark, d):
-    x = history.wave_metrics(k.waves(spark, d), ["mop_id"], threshold=20.0).drop("runup_2pct_m")
+    x = history.wave_metrics(k.waves(spark, d), ["mop_id"], threshold=20.0)
     return _round(x, *[c for c in x.columns if c not in ("mop_id", "storm_hours", "storm_count")], digits=4)
 
 
@@ -22,7 +24,7 @@ WAVE_METRICS = f"""with {k.WAVES}, o as (select *, row_number() over (partition
 f as (select *, case when lag(ts) over q is null or (n - lag(n) over q <> 1 and epoch(ts) - epoch(lag(ts) over q) > 43200) then 1 else 0 end as opened from h window q as (partition by mop_id order by ts)),
 s as (select *, sum(opened) over (partition by mop_id order by ts) as storm from f), e as (select mop_id, storm, (epoch(max(ts)) - epoch(min(ts))) / 3600 as hours, max(ts) as b from s group by 1, 2),
 t as (select mop_id, count(*) as n, max(hours) as longest, avg(hours) as mean, max(b) as b from e group by 1),
-a as (select mop_id, round(avg(hs), 4) as hs_m, round(avg(tp), 4) as tp_s, round((degrees(atan2(avg(sin(radians(dp))), avg(cos(radians(dp))))) + 360) % 360, 4) as dp_deg, round(avg({POWER}), 4) as power_kw,
+a as (select mop_id, round(avg(hs), 4) as hs_m, round(avg(tp), 4) as tp_s, round((degrees(atan2(avg(sin(radians(dp))), avg(cos(radians(dp))))) + 360) % 360, 4) as dp_deg, round(avg({POWER}), 4) as power_kw, round(avg({POWER}), 4) as mean_power_kw, round(avg(case when hs is null or tp is null then null when hs > 0 and tp > 0 then {RUNUP} else 0 end), 4) as runup_2pct_m,
  round(avg(hs * abs(cos(radians(dp - 270)))), 4) as shore_normal_hs_m, round(sum(1025.0::double * 9.81 / 16 * hs * hs) * 3600 / 1e6, 4) as cumulative_energy_mj, round(sum({POWER}), 4) as cumulative_power_kwh,
  round(max(hs), 4) as max_hs_m, round(quantile_cont(hs, 0.9), 4) as hs_p90, round(quantile_cont(hs, 0.99), 4) as hs_p99, count(*) filter (hs >= 20) as storm_hours, round(max(hs), 4) as rolling_max_7d_m,
  round(coalesce(regr_slope(hs, floor(epoch(ts) / 3600)) * 24, 0), 4) as hs_trend_slope, max(ts) as z, count(*) as rows from waves group by 1)
@@ -31,14 +33,15 @@ select a.* exclude (z, rows), coalesce(t.n, 0) as storm_count, round(coalesce(lo
 
 
 def wave_epoch_features(spark, d):
-    x = history.epoch_features(k.waves(spark, d).withColumn("week", F.floor((F.dayofyear("ts") - 1) / 7).cast("int")), ["mop_id", "week"])
+    stress = {"sxy": (F.col("event_id") % 37) / 10 - 1.8, "sxx": (F.col("event_id") % 23) / 10 - 1.1}
+    x = history.epoch_features(k.waves(spark, d).withColumns(stress).withColumn("week", F.floor((F.dayofyear("ts") - 1) / 7).cast("int")), ["mop_id", "week"])
     return _round(x, *[c for c in x.columns if c not in ("mop_id", "week", "storm_hours_3m", "storm_hours_4m", "n_valid_hours")], digits=4)
 
 
 WAVE_EPOCH = f"""with {k.WAVES} select mop_id, cast(floor((dayofyear(ts) - 1) / 7) as integer) as week, round(avg(hs), 4) as hs_mean, round(median(hs), 4) as hs_median, round(stddev_pop(hs), 4) as hs_std, round(max(hs), 4) as hs_max,
  round(quantile_cont(hs, 0.9), 4) as hs_90q, round(quantile_cont(hs, 0.95), 4) as hs_95q, round(avg(tp), 4) as tp_mean, round(max(tp), 4) as tp_max, round(avg({POWER}), 4) as power_mean, round(max({POWER}), 4) as power_max,
  round(sum({POWER}), 4) as power_cumulative, count(*) filter (hs > 3) as storm_hours_3m, count(*) filter (hs > 4) as storm_hours_4m, round((count(*) filter (hs > 2)) / count(*), 4) as high_energy_fraction,
- round((degrees(atan2(avg(sin(radians(dp))), avg(cos(radians(dp))))) + 360) % 360, 4) as dp_mean, round(degrees(stddev_pop(radians(dp))), 4) as dp_spread, count(hs) as n_valid_hours, round(count(hs) / count(*), 4) as data_coverage from waves group by 1, 2"""
+ round((degrees(atan2(avg(sin(radians(dp))), avg(cos(radians(dp))))) + 360) % 360, 4) as dp_mean, round(degrees(stddev_pop(radians(dp))), 4) as dp_spread, round(sum((event_id % 37) / 10.0::double - 1.8), 4) as sxy_net, round(sum((event_id % 23) / 10.0::double - 1.1), 4) as sxx_net, count(hs) as n_valid_hours, round(count(hs) / count(*), 4) as data_coverage from waves group by 1, 2"""
 
 
 def cliff_metrics(spark, d):

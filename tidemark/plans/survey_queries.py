@@ -422,15 +422,6 @@ SPLIT = f"""with {k.SLUMPS}, s as (select event_id, start_date, row_number() ove
 select event_id, start_date, case when r <= floor(n * 0.7::double) then 'train' when r <= floor(n * 0.7::double) + floor(n * 0.15::double) then 'validation' else 'test' end as split from s"""
 
 
-def expected_columns(spark, d):
-    want = spark.createDataFrame([(x,) for x in ("hs", "tp", "dp", "sxy")], "name string")
-    have = spark.createDataFrame([(x,) for x in k.waves(spark, d).columns], "name string")
-    return want.exceptAll(have)
-
-
-EXPECTED = "select 'sxy' as name"
-
-
 def pick_representatives(spark, d):
     x = k.slumps(spark, d).select("event_id", "transect_idx", "volume")
     return selection.representatives(x, ["transect_idx"], "volume", "event_id", 5)
@@ -497,7 +488,7 @@ QUERIES = {
     "cube_coverage": (cube_coverage, CUBE_COVERAGE), "cube_dense": (cube_dense, CUBE_DENSE), "cube_low_coverage": (cube_low_coverage, CUBE_LOW), "cube_pairs": (cube_pairs, CUBE_PAIRS), "cube_context": (cube_context, CUBE_CONTEXT),
     "cube_change": (cube_change, CUBE_CHANGE), "cube_window_choice": (cube_window_choice, CUBE_WINDOW), "cube_labels": (cube_labels, CUBE_LABELS), "names_parsed": (names_parsed, NAMES_PARSED), "names_dated": (names_dated, NAMES_DATED),
     "label_progress": (label_progress, LABEL_PROGRESS), "class_weights": (class_weights, CLASS_WEIGHTS), "accuracy_by_class": (accuracy_by_class, ACCURACY), "range_rules": (range_rules, RANGE_RULES), "monotonic_rule": (monotonic_rule, MONOTONIC),
-    "duplicate_rule": (duplicate_rule, DUPLICATE), "last_row_wins": (last_row_wins, LAST_ROW), "uncovered_events": (uncovered_events, UNCOVERED), "split_by_date": (split_by_date, SPLIT), "expected_columns": (expected_columns, EXPECTED),
+    "duplicate_rule": (duplicate_rule, DUPLICATE), "last_row_wins": (last_row_wins, LAST_ROW), "uncovered_events": (uncovered_events, UNCOVERED), "split_by_date": (split_by_date, SPLIT),
     "pick_representatives": (pick_representatives, PICK_REPRESENTATIVES), "pick_middle": (pick_middle, PICK_MIDDLE), "grid_lookup": (grid_lookup, GRID_LOOKUP), "site_labels": (site_labels, SITE_LABELS), "scan_coverage": (scan_coverage, SCAN_COVERAGE),
     "wave_islands": (wave_islands, WAVE_ISLANDS), "weighted_draws": (weighted_draws, None),
 }

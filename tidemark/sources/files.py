@@ -12,6 +12,7 @@ import pickle
 import re
 import struct
 import zipfile
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -268,12 +269,47 @@ def read_npz_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return binary(spark, path, "*.npz").select("path", "content").mapInPandas(parse, f"path string, index long, {schema}")
 
 
-def read_climate_bulk(spark: SparkSession, path: str, skip: int = 10) -> DataFrame:
-    """Bulk climate CSVs with ``skip`` lines before the header: name, date and measures, missing values null."""
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("l"))
-    rows = lines.select(F.explode(F.slice("l", skip + 2, F.greatest(F.size("l") - skip - 1, F.lit(0)))).alias("line")).where("trim(line) <> ''")
-    schema = "name string, lon double, lat double, elevation_m double, date string, precip_mm double, temp_min_c double, temp_mean_c double, temp_max_c double, dewpoint_c double"
-    return rows.select(F.from_csv("line", schema).alias("r")).select("r.*").withColumn("date", F.to_date("date"))
+#: The measures' names in bulk exports (before the unit) and in the older files.
+CLIMATE_NAMES = {"ppt": "precip_mm", "tmin": "temp_min_c", "tmean": "temp_mean_c", "tmax": "temp_max_c", "tdmean": "dewpoint_c", "vpdmin": "vpdmin_hpa", "vpdmax": "vpdmax_hpa"}
+_BULK = ("name", "lon", "lat", "elevation_m", "date", "precip_mm", "temp_min_c", "temp_mean_c", "temp_max_c", "dewpoint_c")
+
+
+def _bulk_columns(header: str) -> list[str]:
+    """Our names of a bulk file's columns, by its header line."""
+    known = {"name": "name", "longitude": "lon", "latitude": "lat", "elevation": "elevation_m", "date": "date", **CLIMATE_NAMES}
+    return [known.get(re.sub(r"\s*\(.*", "", c.strip().lower()), f"_{i}") for i, c in enumerate(header.split(","))]
+
+
+def read_climate_bulk(spark: SparkSession, path: str) -> DataFrame:
+    """Bulk climate CSVs below some lines of description: name, lon, lat, elevation_m, date and measures, missing values null.
+
+    Columns are found by the header that each file has, which names Name and
+    Date; files of one header are read together, split as CSV is.  A file without
+    one has the usual order.  What isn't a row with a date is left out.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    names_it = lambda c: F.lower("value").rlike(rf"(^|,)\s*{c}\s*(,|$)")
+    heads = lines.where(names_it("name") & names_it("date")).groupBy("file").agg(F.min("value").alias("head"))
+    layouts = lines.select("file").distinct().join(heads, "file", "left").groupBy("head").agg(F.collect_list("file").alias("files")).collect()  # a row a file
+    out = None
+    for r in layouts:
+        names = _bulk_columns(r["head"]) if r["head"] else list(_BULK)
+        raw = spark.read.option("mode", "PERMISSIVE").schema(", ".join(f"`{n}` string" for n in names)).csv([unquote(f) if f.startswith("file:") else f for f in r["files"]])
+        kind = lambda c: "string" if c == "name" else "double"
+        wanted = [*_BULK, "vpdmin_hpa", "vpdmax_hpa"]
+        value = {c: F.col(c).try_cast(kind(c)) if c in names else F.lit(None).cast(kind(c)) for c in wanted if c != "date"} | {"date": F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).cast("date")}
+        part = raw.select(*[value[c].alias(c) for c in wanted]).where("date is not null")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def read_climate_legacy(spark: SparkSession, path: str) -> DataFrame:
+    """The older climate files, ``{beach}_raw.csv`` with a header: beach, date and measures under their present names."""
+    raw = spark.read.option("header", True).option("pathGlobFilter", "*_raw.csv").csv(path)
+    beach = F.regexp_extract(F.col("_metadata.file_name"), "^(.*)_raw\\.csv$", 1)
+    named = {c: CLIMATE_NAMES.get(c.strip().lower(), c.strip()) for c in raw.columns}
+    measures = [F.col(f"`{c}`").try_cast("double").alias(n) for c, n in named.items() if n != "date"]
+    return raw.select(beach.alias("beach"), F.to_date(F.col(f"`{next(c for c, n in named.items() if n == 'date')}`")).alias("date"), *measures)
 
 
 def read_events(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
