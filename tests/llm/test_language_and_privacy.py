@@ -120,3 +120,30 @@ def test_leaks(spark, documents, sample):
     assert {x["doc_id"] for x in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), bench).count() == 0
     assert decontam.decontaminate(docs, bench.limit(0)).count() == len(texts)
+
+
+def test_leaks_in_repetitive_texts(spark):
+    import random
+    import time
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["la", "la", "la", "lo"]) for _ in range(rng.randint(5, 40))) for _ in range(25)] + ["la " * 30, "la lo " * 12]
+    items = ["la " * 8, "la lo la lo la lo", "lo la la la lo la", "la la la la la"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            h, w = t.split(), x.split()
+            best = max((sum(0 <= s + k < len(h) and h[s + k] == w[k] for k in range(len(w))), -s) for s in range(1 - len(w), len(h)))
+            if best[0] >= 0.8 * len(w):
+                want[d, i] = (-best[1], best[0])
+    for limit in (decontam.MAX_WORDS, 1):
+        got = {(r["doc_id"], r["item_id"]): (r["start"], r["n_match"]) for r in decontam.leaks(docs, bench, max_words=limit).collect()}
+        assert got == want
+    one, took = spark.createDataFrame([(1, "la " * 200)], "item_id long, text string"), []
+    for n in (2000, 16_000):
+        start = time.time()
+        assert decontam.leaks(spark.createDataFrame([(1, "la " * n)], "doc_id long, text string"), one).first()["n_match"] == 200
+        took.append(time.time() - start)
+    assert took[1] < 8 * max(took[0], 2)

@@ -11,7 +11,8 @@ Words are runs of letters and digits, lower-cased; they are compared by their
 words substituted keeps all words of one mask somewhere (four in a row, or two
 and two around a substitution; three and one in items of five words).  All masks
 hold two neighbouring words, and a document's places are first tested against
-the benchmark's word pairs, which keeps the seeds that are joined few.  While the
+the benchmark's word pairs, which keeps the seeds that are joined few.  Of runs of
+equal seeds, as repetitive texts have, every diagonal is met once.  While the
 benchmark holds at most ``max_words`` words, pairs, seeds and items are broadcast;
 beyond it the seeds are joined by a shuffle and the hits meet their documents
 again (same results, tested).
@@ -67,13 +68,30 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return items.where(F.size("item") >= MIN_WORDS)
 
 
+def _starts(h: Column, at: Column, places: tuple[int, ...]) -> Column:
+    """Whether a mask's seed differs from that of the place before: a run of equal seeds starts here."""
+    return F.coalesce(_seed(h, at, places) != _seed(h, at - 1, places), F.lit(True))
+
+
+def _seeds_at(h: Column, at: Column, masks) -> Column:
+    """Every mask's seed at a place, and whether it starts a run."""
+    return F.array(*[F.struct(at.alias("at"), F.lit(k).alias("mask"), _seed(h, at, m).alias("seed"), _starts(h, at, m).alias("first")) for k, m in enumerate(masks)])
+
+
 def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """seed, item_id, item, q: every mask at every place of every item."""
+    """seed, kind, item_id, q: every mask at every place of every item.
+
+    Kind 0 holds all of them, kind 1 those that start a run of equal seeds.  A
+    document's place that starts a run asks for kind 0, any other for kind 1: of
+    a run against a run that meets every diagonal once, not every pair of places.
+    """
     placed = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 2)).alias("q"))
-    item, q = F.col("item"), F.col("q")
-    seeds = [F.struct(_seed(item, q, m).alias("seed")) for m in MASKS]
-    seeds += [F.struct(F.when(F.size("item") == MIN_WORDS, _seed(item, q, m)).alias("seed")) for m in SHORT_MASKS]
-    return placed.select("item_id", "item", "q", F.inline(F.array(*seeds))).where(F.col("seed").isNotNull())
+    item, q, short = F.col("item"), F.col("q"), F.size("item") == MIN_WORDS
+    # Plain structs, not a filtered array: Spark would keep all rows that an explode makes before a lambda, each with its item.
+    seeds = [F.struct(_seed(item, q, m).alias("seed"), _starts(item, q, m).alias("first")) for m in MASKS]
+    seeds += [F.struct(F.when(short, _seed(item, q, m)).alias("seed"), _starts(item, q, m).alias("first")) for m in SHORT_MASKS]
+    each = placed.select("item_id", "q", F.inline(F.array(*seeds))).where(F.col("seed").isNotNull())
+    return each.withColumn("kind", F.explode(F.when(F.col("first"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select("seed", "kind", "item_id", "q")
 
 
 def _laid(h: Column, item: Column, start: Column) -> Column:
@@ -95,13 +113,16 @@ def _agree(h: Column, item: Column, p: Column, q: Column, places: tuple[int, ...
 def _found(docs: DataFrame, keys: list[str], benchmark: DataFrame, similarity: float, max_words: int) -> DataFrame:
     """keys, item_id, start, n_match, n_words of every place where an item lies close enough."""
     items = benchmark_items(benchmark)
-    seeds = benchmark_seeds(items).drop("item")
+    seeds = benchmark_seeds(items)
     texts = docs.select(*keys, word_hashes(F.col("text")).alias("h")).where(F.size("h") >= 2)
-    shape = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)).alias("words"), F.coalesce(F.min(F.size("item")), F.lit(0)).alias("least")).first()
+    sizes = [F.coalesce(f(F.size("item")), F.lit(0)).alias(n) for f, n in ((F.sum, "words"), (F.min, "least"))]
+    shape = items.agg(*sizes).first()
     masks = MASKS + SHORT_MASKS if shape["least"] == MIN_WORDS else MASKS
 
-    def seeds_at(h: Column, at: Column) -> Column:
-        return F.array(*[F.struct(at.alias("p"), F.lit(k).alias("mask"), _seed(h, at, m).alias("seed")) for k, m in enumerate(masks)])
+    def asked(places: Column) -> Column:
+        return F.filter(F.flatten(F.transform(places, lambda i: _seeds_at(F.col("h"), i, masks))), lambda s: s["seed"].isNotNull())
+
+    kind = F.when(F.col("s.first"), 0).otherwise(1).alias("kind")
 
     # Word pairs, seeds and items are all in proportion to the benchmark's words, so their number bounds what is broadcast.
     if shape["words"] <= max_words:
@@ -111,16 +132,16 @@ def _found(docs: DataFrame, keys: list[str], benchmark: DataFrame, similarity: f
         # Bound as a lambda's argument, the hashes are made once a row.
         near = F.expr(f"transform(array(h), x -> filter(sequence(0, size(x) - 2), i -> xxhash64(x[i], x[i + 1]) in ({listed})))[0]")
         held = texts.withColumn("near", near).where(F.size("near") > 0)
-        found = F.flatten(F.transform("near", lambda i: seeds_at(F.col("h"), i)))
-        hits = held.select(*keys, "h", F.explode(found).alias("s")).select(*keys, "h", "s.p", "s.mask", "s.seed").join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id")
+        placed = held.select(*keys, "h", F.explode(asked(F.col("near"))).alias("s"))
+        placed = placed.select(*keys, "h", F.col("s.at").alias("p"), "s.mask", "s.seed", kind)
+        hits = placed.join(F.broadcast(seeds), ["seed", "kind"]).join(F.broadcast(items), "item_id")
         # Of a run of hits of one mask along one diagonal the first is measured.
         before = [F.when(F.col("mask") == k, _agree(F.col("h"), F.col("item"), F.col("p") - 1, F.col("q") - 1, m)) for k, m in enumerate(masks)]
         laid = hits.where(~F.coalesce(*before, F.lit(False))).select(*keys, "item_id", "h", "item", (F.col("p") - F.col("q")).alias("start"))
     else:
         places = F.sequence(F.lit(0), F.size("h") - 2)
-        found = F.flatten(F.transform(places, lambda i: seeds_at(F.col("h"), i)))
-        wide = texts.select(*keys, F.xxhash64("h").alias("row"), F.explode(found).alias("s")).select(*keys, "row", "s.p", "s.seed")
-        hits = wide.join(seeds, "seed").select(*keys, "row", "item_id", (F.col("p") - F.col("q")).alias("start")).distinct()
+        wide = texts.select(*keys, F.xxhash64("h").alias("row"), F.explode(asked(places)).alias("s")).select(*keys, "row", F.col("s.at").alias("p"), "s.seed", kind)
+        hits = wide.join(seeds, ["seed", "kind"]).select(*keys, "row", "item_id", (F.col("p") - F.col("q")).alias("start")).distinct()
         same = reduce(lambda a, b: a & b, [F.col(f"x.{k}").eqNullSafe(F.col(f"d.{k}")) for k in [*keys, "row"]])
         laid = (
             hits.alias("x")
