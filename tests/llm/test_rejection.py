@@ -25,3 +25,16 @@ def test_foreign_texts_are_rejected_and_clean_ones_kept(spark):
     names, scores = model.predict([r["text"] for r in held])
     right = np.array([n == r["lang"] for n, r in zip(names, held)])
     assert np.mean(np.array(scores)[right] >= model.reject_below) >= 0.99
+
+
+def test_languages_left_out_of_training(spark):
+    """How many documents of a language that was never learned are rejected; the model can't tell German from the others well."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and lang is not null").withColumn("held", langid.is_held_out()).collect()
+    rejected = {}
+    for out in sorted({r["lang"] for r in rows}):
+        known = [r for r in rows if r["lang"] != out]
+        model = langid.fit([r["text"] for r in known if not r["held"]], [r["lang"] for r in known if not r["held"]])
+        below = lambda texts, m=model: np.array(m.predict(texts)[1]) < m.reject_below
+        rejected[out] = below([r["text"] for r in rows if r["lang"] == out]).mean()
+        assert below([r["text"] for r in known if r["held"]]).mean() <= 0.03
+    assert min(rejected.values()) >= 0.25 and np.mean(list(rejected.values())) >= 0.65

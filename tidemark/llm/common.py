@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -59,7 +59,7 @@ def _forget(spark: SparkSession, path: str) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver exits."""
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    atexit.register(forget, spark, path)
     return path
 
 
@@ -88,7 +88,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def drop(written: DataFrame) -> None:
     """Remove a table of ``materialize`` that nothing will read again."""
-    _forget(written.sparkSession, written.scratch_path)
+    forget(written.sparkSession, written.scratch_path)
 
 
 def split_by_bytes(values: list, limit: int):
