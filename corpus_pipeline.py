@@ -12,6 +12,14 @@ again, so a lost executor costs a stage's tasks and never an earlier stage.
 4. personal_data: replaces personal data by its kind in brackets.
 5. tokens: BPE ids of the text left: doc_id, n_tokens, ids_sha256,
    decoded_sha256.
+
+Results for unusual input: a document without a letter (null and empty texts
+too) is rejected by the first stage; rows that repeat an id are judged by their
+own texts, each for itself, and of equal rows one stays; the smallest id of a
+group stays, and rows without an id are held against rows of equal shingles
+only; a text of any length is judged whole; an empty table, or one without labelled documents to learn
+languages from, gives an empty result; extra columns go through all stages but
+the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import bpe_digests
-from tidemark.llm.common import bounded_batches, scratch_path, table
+from tidemark.llm.common import bounded_batches, forget, scratch_path, table
 from tidemark.llm.decontam import decontaminate
 from tidemark.llm.jaccard import keep_first
 from tidemark.llm.langid import keep_identified
@@ -66,9 +74,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data directory."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # a stage's rows are read by the next one only
+            forget(spark, before)
+        before = path
     return docs
