@@ -8,6 +8,7 @@ from tidemark.functions import climate, waves
 from tidemark.operators import series
 
 DAY = dt.date(2023, 1, 1)
+# The vectors of the tests up to storms are fixed values, with the results they must have.
 
 
 def daily(spark, precip, **more):

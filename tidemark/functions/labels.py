@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The weights, the thresholds and the patterns of names below are those that labels and files have.
 RISK_WEIGHTS = (0.0, 0.1, 0.4, 0.6, 1.0)
 
 
