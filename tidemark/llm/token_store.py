@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from functools import lru_cache, reduce
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -248,8 +248,14 @@ def _ids(payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, dtype="<u2" if payload[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
-def _times(matrix: list[int], bits: int) -> int:
-    return reduce(lambda a, i: a ^ matrix[i], (i for i in range(32) if bits >> i & 1), 0)
+def _times(matrix, bits: int) -> int:
+    out = at = 0
+    while bits:
+        if bits & 1:
+            out ^= matrix[at]
+        bits >>= 1
+        at += 1
+    return out
 
 
 def _crc_table() -> list[list[int]]:
@@ -266,15 +272,20 @@ def _crc_table() -> list[list[int]]:
 _SHIFTS = _crc_table()
 
 
+@lru_cache(maxsize=8192)
+def _zeros(length: int) -> tuple[int, ...]:
+    """What so many zero bytes after it do to each bit of a crc; chunks have few different lengths."""
+    matrix, k = [1 << i for i in range(32)], 0
+    while length >> k:
+        if length >> k & 1:
+            matrix = [_times(_SHIFTS[k], column) for column in matrix]
+        k += 1
+    return tuple(matrix)
+
+
 def crc_join(first: int, second: int, length: int) -> int:
     """crc32 of a + b from crc32(a), crc32(b) and the number of bytes of b."""
-    k = 0
-    while length:
-        if length & 1:
-            first = _times(_SHIFTS[k], first)
-        length >>= 1
-        k += 1
-    return first ^ second
+    return _times(_zeros(length), first) ^ second
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
