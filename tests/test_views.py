@@ -85,6 +85,20 @@ def test_voxel_corridor_is_a_radius_search(spark):
     assert got == {(1, int(i)) for i in np.flatnonzero(near)} and len(got) > 20
 
 
+def test_voxel_corridor_border_is_judged_from_the_origin(spark):
+    o = spark.createDataFrame([(1, 50.0, 5.0, 0.8, 0.6)], "tr_id int, ox double, oy double, nx double, ny double")
+    rows = [(50 + s * 2.5 + 4.0 * m, 5.0 + 3 * m) for s in (-1, 1) for m in range(-5, 6)]  # 1.5 from the line, beside a sample, but for rounding
+    points = spark.createDataFrame(rows, "x double, y double")
+
+    def inside(x, y):
+        d, p = (x - 50) * 0.8 + (y - 5) * 0.6, abs((x - 50) * 0.6 - (y - 5) * 0.8)
+        return -30 <= d <= 30 and p <= 1.5 and (d - round(d)) ** 2 + p**2 <= 2.25
+
+    want = sorted(r for r in rows if inside(*r))
+    assert sorted((r["x"], r["y"]) for r in views.voxel_corridor(points, o, 30.0, 3.0, 1.0).collect()) == want
+    assert 0 < len(want) < len(rows)
+
+
 def test_climate_files_by_header_and_older_ones(spark, tmp_path):
     junk = ["about"] * 10
     (tmp_path / "a.csv").write_text("\n".join([*junk, "Name,Longitude,Latitude,Elevation (m),Date,ppt (mm),tmin (degrees C),tmean (degrees C),tmax (degrees C),tdmean (degrees C)", "blacks,-117,32,10,2023-01-01,1.5,2,3,4,1"]))

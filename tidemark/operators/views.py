@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from . import joins
 
 
@@ -77,16 +78,22 @@ def losses(rows: DataFrame, weights: list[float] | None = None, weight_risk: flo
 
 
 def voxel_corridor(points: DataFrame, origins: DataFrame, length: float, width: float, bin_size: float, least: int = 1) -> DataFrame:
-    """Points within half the width of a line through each origin (tr_id, ox, oy, nx, ny), ``length`` both ways, with ``distance`` from it.
+    """Points within half the width of a line through each origin (tr_id, ox, oy and unit normal nx, ny), ``length`` both ways, with ``distance`` from it.
 
     As a radius search at samples a bin apart sees them; lines with fewer than
-    ``least`` points have none.
+    ``least`` points have none.  The line's corridor, a little longer and wider,
+    only finds candidates; they are judged from the origin, so that points on the
+    border are in.
     """
     half, gap = width / 2, length / int(length / bin_size)
-    lines = origins.select("tr_id", *[(F.col(f"o{c}") + side * length * F.col(f"n{c}")).alias(f"{c}{end}") for end, side in ((0, -1), (1, 1)) for c in "xy"])
-    near = joins.corridor_join(points, lines, half, max(width, gap)).withColumn("distance", F.col("along") - length)
-    off = F.col("distance") - F.rint(F.col("distance") / gap) * gap
-    seen = near.where(F.hypot(off, F.col("across")) <= half)
+    reach, wide = length + gap / 1000, half + gap / 1000
+    ends = [(F.col(f"o{c}") + side * reach * F.col(f"n{c}")).alias(f"{c}{end}") for end, side in ((0, -1), (1, 1)) for c in "xy"]
+    lines = origins.select("tr_id", *ends, *[F.col(c).alias(f"_{c}") for c in ("ox", "oy", "nx", "ny")])
+    near = joins.corridor_join(points, lines, wide, 2 * max(wide, gap))
+    at = [F.col(c) for c in ("x", "y", "_ox", "_oy", "_nx", "_ny")]
+    near = near.withColumns({"distance": g.along(*at), "across": g.across(*at)})
+    off, across = F.col("distance") - F.rint(F.col("distance") / gap) * gap, F.col("across")
+    seen = near.where(F.col("distance").between(-length, length) & (across <= half) & (off * off + across * across <= half * half)).drop("_ox", "_oy", "_nx", "_ny")
     enough = seen.groupBy("tr_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     return seen.join(enough.select("tr_id"), "tr_id", "left_semi").drop("x0", "y0", "x1", "y1", "along")
 
