@@ -98,3 +98,11 @@ def test_sampled_corridor_is_the_union_of_balls(spark):
     spots = np.linspace(0, 100, n)
     want = {r["id"] for r in points.collect() if 0 <= r["x"] <= 100 and abs(r["y"]) <= 5 and (np.hypot(spots - r["x"], r["y"]) <= 5).any()}
     assert got == want and want
+
+
+def test_sampled_corridor_ends_where_the_last_ball_ends(spark):
+    lines = spark.createDataFrame([(1, 0.0, 5.0, 100.0, 8.0), (2, 30.0, 2.0, 30.0, 2.0)], "tr_id int, x0 double, y0 double, x1 double, y1 double")
+    xs = [99.9999, 99.99999, 100.0, 100.00001, 100.00005, 100.01]  # 6 below the end of line 1: only x = 100 lies in the ball
+    points = spark.createDataFrame([(x, 2.0) for x in xs] + [(33.0, 2.0)], "x double, y double")
+    got = joins.corridor_join(points, lines, 6.0, 8.0, mode="sampled")
+    assert sorted((r["tr_id"], r["x"]) for r in got.collect()) == [(1, 33.0), (1, 100.0), (2, 33.0)]

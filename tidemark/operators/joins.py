@@ -187,27 +187,36 @@ def corridor_join(points: DataFrame, lines: DataFrame, buffer: float, cell: floa
     )
     if cell < buffer:
         raise ValueError("a cell must be at least as wide as the buffer")
-    cells = lines.withColumn("_cell", F.explode(F.array_distinct(spots)))
+    cells = _measured(lines).withColumn("_cell", F.explode(F.array_distinct(spots)))
     keyed = points.withColumn("_pcell", F.struct(F.floor(F.col("x") / cell).cast("long").alias("cx"), F.floor(F.col("y") / cell).cast("long").alias("cy")))
     near = keyed.join(cells, F.col("_pcell") == F.col("_cell")).drop("_cell", "_pcell")
     return corridor_of(near, buffer, mode)
 
 
+def _measured(lines: DataFrame) -> DataFrame:
+    """Lines with their length and direction, worked out once a line where this comes before the join."""
+    from ..functions import geometry as g
+
+    dx, dy = g.direction("x0", "y0", "x1", "y1")
+    return lines.withColumns({"_size": g.length("x0", "y0", "x1", "y1"), "_dx": dx, "_dy": dy})
+
+
 def corridor_of(pairs: DataFrame, buffer: float, mode: str = "corridor") -> DataFrame:
     """Of points paired with lines those in the line's corridor, with along- and across-track distances."""
     from ..functions import geometry as g
 
-    dx, dy = g.direction("x0", "y0", "x1", "y1")
-    size = g.length("x0", "y0", "x1", "y1")
-    near = pairs.withColumn("along", g.along(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), dx, dy))
+    near = pairs if "_size" in pairs.columns else _measured(pairs)
+    dx, dy, size = map(F.col, ("_dx", "_dy", "_size"))
+    near = near.withColumn("along", g.along(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), dx, dy))
     near = near.withColumn("across", g.across(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), dx, dy))
     kept = near.where((F.col("along") >= 0) & (F.col("along") <= size) & (F.col("across") <= buffer))
     if mode == "sampled":
-        samples = F.greatest(F.floor(size / (buffer / 2)).cast("int"), F.lit(10))
-        gap = size / (samples - 1)
-        off = F.col("along") - F.bround(F.col("along") / gap, 0) * gap
-        kept = kept.where(F.hypot(off, F.col("across")) <= buffer)
-    return kept
+        # by the nearest sample's own place: along and across are short of true distances by the direction's epsilon
+        last = F.greatest(F.floor(size / (buffer / 2)), F.lit(10)) - 1
+        at = F.least(F.greatest(F.rint(F.coalesce(F.try_divide(F.col("along"), size / last), F.lit(0.0))), F.lit(0.0)), last)
+        ox, oy = (F.col(c) - (F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * at / last) for c in "xy")
+        kept = kept.where(F.pow(ox, F.lit(2.0)) + F.pow(oy, F.lit(2.0)) <= buffer * buffer)
+    return kept.drop("_size", "_dx", "_dy")
 
 
 def keep_last(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:

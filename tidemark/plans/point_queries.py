@@ -43,7 +43,7 @@ select tr_id, count(*) as n, round(avg(along), 6) as along, round(max(across), 6
 
 def points_corridor_sampled(spark, d):
     """Points within 6 m of one of the samples of a line (at least ten, half a buffer apart) and within its corridor."""
-    near = joins.corridor_join(k.points(spark, d), _lines(spark), 6.0, 8.0, mode="sampled")
+    near = joins.corridor_join(k.points(spark, d), F.broadcast(_lines(spark)), 6.0, 8.0, mode="sampled")  # ten lines
     return _round(near.groupBy("tr_id").agg(F.count("*").alias("n"), F.avg("along").alias("along"), F.max("across").alias("across")), "along", "across")
 
 
