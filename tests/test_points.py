@@ -106,3 +106,10 @@ def test_sampled_corridor_ends_where_the_last_ball_ends(spark):
     points = spark.createDataFrame([(x, 2.0) for x in xs] + [(33.0, 2.0)], "x double, y double")
     got = joins.corridor_join(points, lines, 6.0, 8.0, mode="sampled")
     assert sorted((r["tr_id"], r["x"]) for r in got.collect()) == [(1, 33.0), (1, 100.0), (2, 33.0)]
+
+
+def test_segments_round_places_as_doubles_lie(spark):
+    lines = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 0.0)], "tr_id int, x0 double, y0 double, x1 double, y1 double")
+    # 2.0035 * 1000 is a little under 2003.5, so both share a place
+    points = spark.createDataFrame([(2.0035, 0.0, 0.0, 1), (2.003, 0.0, 0.0, 2)], "x double, y double, z double, id int")
+    assert [r["id"] for r in segments.points_by_segments(points, lines, 1.0, ["id"]).collect()] == [1]

@@ -41,17 +41,17 @@ def points_by_segments(points: DataFrame, lines: DataFrame, buffer: float, order
     """tr_id and the points within the segment boxes of each line, ``buffer`` and one unit wide.
 
     Where a line has several boxes, of points at one place to ``digits`` decimals
-    the first is kept, by segment and then ``order``; a single box keeps them all.
+    the first is kept, by segment, ``order`` and place; a single box keeps them all.
     Intensities are divided by the greatest of a line's kept points, or left
     where that is 0.
     """
     boxes = segment_boxes(lines, buffer + 1, segment)
     hit = in_boxes(points, boxes, segment + 2 * (buffer + 1))
-    place = [F.round(c, digits).alias(f"_{c}") for c in "xyz"]
+    place = [F.round(F.col(c) * 10.0**digits).alias(f"_{c}") for c in "xyz"]  # of the product as it is, so a tie of decimals goes where the double lies
     # what tells points of a single box apart: all they have, in their own order
     own = F.when(~F.col("long"), F.struct(*order))
     row = F.struct(*points.columns)
-    kept = hit.groupBy("tr_id", *place, own.alias("_own")).agg(F.min_by(row, F.struct("segment", *order)).alias("_p"), F.when(F.first("long"), 1).otherwise(F.count("*")).alias("_n"))
+    kept = hit.groupBy("tr_id", *place, own.alias("_own")).agg(F.min_by(row, F.struct("segment", *order, "x", "y", "z")).alias("_p"), F.when(F.first("long"), 1).otherwise(F.count("*")).alias("_n"))
     rows = kept.select("tr_id", "_p.*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
     if "intensity" not in points.columns:
         return rows
