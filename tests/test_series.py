@@ -140,3 +140,19 @@ def test_wave_tensor_fills_and_falls_back(spark):
     assert [round(got["a", i]["hs"], 6) for i in range(5)] == [2, 2, 3, 4, 5]
     assert min(got["a", 1]["dp"], 360 - got["a", 1]["dp"]) < 1e-6 and [got["a", i]["doy"] for i in (0, 1)] == [365, 1]
     assert all(got[s, i][c] == 0 for s in "bc" for i in range(5) for c in ("hs", "tp", "dp", "power"))
+
+
+def test_lookback_shuffles_scans_once(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, i % 3, t0 + dt.timedelta(minutes=37 * i), None if i % 7 == 0 else float("nan") if i == 50 else i * 1.5) for i in range(600)]
+    x = spark.createDataFrame(rows, "scan long, site long, ts timestamp, hs double")
+    got = series.lookback_slots(x.withColumnRenamed("ts", "at"), x, ["site"], "at", "ts", ["hs"], 20, 6, ["scan"])
+    for r in got.collect():
+        _, site, to, _ = rows[r["scan"]]
+        lo = to - dt.timedelta(hours=6 * (19 - r["slot"]))
+        v = [h for _, s, t, h in rows if s == site and lo <= t < lo + dt.timedelta(hours=6) and t <= to and h is not None]
+        assert (r["hs"] is None and not v) or r["hs"] == pytest.approx(sum(v) / len(v), nan_ok=True)
+    assert got.count() == 20 * len(rows)
+    x = x.withColumns({"tp": F.lit(8.0), "dp": F.lit(10.0)})
+    plan = series.wave_tensor(x.withColumnRenamed("ts", "at"), x, ["site"], "at", 20, 6, ["scan"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

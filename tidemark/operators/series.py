@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import climate as c
 from ..functions import waves as w
@@ -137,40 +142,90 @@ def resample(waves: DataFrame, by: list[str], hours: int = 6, ts: str = "ts") ->
     return out.select(*by, F.col("_w.start").alias("slot"), "hs", "tp", "dp").where("hs is not null or tp is not null or dp is not null")
 
 
-def lookback_slots(scans: DataFrame, series: DataFrame, by: list[str], scan_ts: str, ts: str, values: list[str], n: int, hours: int, key: list[str]) -> DataFrame:
-    """key, slot 0..n-1, values: the means of each scan's series in n slots of ``hours``, the last of which starts at the scan.
+#: Scans of a group of ``_lookback`` whose slots are worked out at once.
+SCANS = 4096
 
-    Slots start at the scan's own origin and nothing after the scan counts, so
-    the last one holds rows of the scan's own time only.  A slot's mean is a
-    difference of running sums and counts at its two boundaries: boundaries and
-    rows are stacked, dealt by key and a bucket as wide as a slot, and summed
-    along in one pass, so work grows with rows and slots, not with their
-    product.  A slot meets two buckets at most: the first one's total bridges them.
+
+def _lookback(scans: DataFrame, series: DataFrame, by: list[str], scan_ts: str, ts: str, values: list[str], n: int, hours: int, key: list[str], fill: bool = False) -> DataFrame:
+    """As ``lookback_slots``, with the scan's time in microseconds as ``_to``; ``fill`` fills gaps as ``fill_linear`` does.
+
+    A scan is dealt once, by key and a time bucket a fifth of the look-back wide,
+    a row to the five or six buckets whose scans may see it.  So a scan meets all
+    its rows in one task, slots are formed there, and nothing else is shuffled.
     """
     step = hours * 3600 * 1_000_000
+    span = step * max(1, n // 5)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    place = F.when(F.col("_j") < n, F.col("_to") - (F.lit(n - 1) - F.col("_j")) * F.lit(step)).otherwise(F.col("_to") + 1)
-    marks = scans.select(*by, F.struct(*key).alias("_key"), micros(scan_ts).alias("_to")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    marks = marks.select(*by, place.alias("_t"), F.lit(0).alias("_side"), "_key", "_j", *[F.lit(None).cast("double").alias(v) for v in values])
-    rows = series.select(*by, micros(ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(marks.schema["_key"].dataType).alias("_key"), F.lit(None).cast("int").alias("_j"), *[F.col(v).cast("double").alias(v) for v in values])
-    both = marks.unionByName(rows).withColumn("_b", F.floor(F.col("_t") / F.lit(step)))
-    whole = Window.partitionBy(*by, "_b")
-    so_far = whole.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    sums = [F.struct(zero(F.sum(v).over(so_far)).alias("s"), F.count(v).over(so_far).alias("c"), zero(F.sum(v).over(whole)).alias("ts"), F.count(v).over(whole).alias("tc")).alias(f"_{v}") for v in values]
-    at = both.select("_key", "_j", "_b", *sums).where("_key is not null")
-    nxt = Window.partitionBy("_key").orderBy("_j")
-    at = at.withColumn("_nb", F.lead("_b").over(nxt))
-    for v in values:
-        at = at.withColumn(f"_n{v}", F.lead(f"_{v}").over(nxt))
-    same = F.col("_nb") == F.col("_b")
+    bucket = lambda c: F.floor(c / F.lit(span))
+    t, keys = F.col("_t"), [f"_k{i}" for i in range(len(key))]
+    asked = scans.select(*by, F.lit(True).alias("_scan"), micros(scan_ts).alias("_t"), *[F.col(c).alias(k) for c, k in zip(key, keys)], *[F.lit(None).cast("double").alias(v) for v in values])
+    there = series.where(" and ".join(f"`{c}` is not null" for c in [*by, ts]))
+    rows = there.select(*by, F.lit(False).alias("_scan"), micros(ts).alias("_t"), *[F.lit(None).cast(asked.schema[k].dataType).alias(k) for k in keys], *[F.col(v).cast("double").alias(v) for v in values])
+    seen = F.explode(F.sequence(bucket(t), bucket(t + F.lit((n - 1) * step))))
+    dealt = asked.withColumn("_w", bucket(t)).unionByName(rows.withColumn("_w", seen))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        is_scan = group["_scan"]
+        held, marked = group.filter(pc.invert(is_scan)).sort_by("_t"), group.filter(is_scan).sort_by("_t")
+        at, tops = held["_t"].to_numpy(), pc.fill_null(marked["_t"], 0).to_numpy()
+        sums = [_running(held[v]) for v in values]
+        for first in range(0, len(tops), SCANS):
+            to = tops[first : first + SCANS]
+            marks = to[:, None] + (np.arange(n + 1) - (n - 1)) * step
+            marks[:, n] = to + 1
+            border = np.searchsorted(at, marks)
+            means = [_between(run, border[:, :-1], border[:, 1:]) for run in sums]
+            means = [_filled(*m) for m in means] if fill else means
+            part = marked.slice(first, SCANS).take(np.repeat(np.arange(len(to)), n))
+            columns = [part[c].combine_chunks() for c in (*keys, "_t")] + [pa.array(np.tile(np.arange(n, dtype=np.int32), len(to)))]
+            columns += [pa.array(m.ravel(), mask=~known.ravel(), from_pandas=False) for m, known in means]
+            yield pa.RecordBatch.from_arrays(columns, names=[*key, "_to", "slot", *values])
+
+    out = T.StructType([*[T.StructField(c, scans.schema[c].dataType) for c in key], T.StructField("_to", T.LongType()), T.StructField("slot", T.IntegerType()), *[T.StructField(v, T.DoubleType()) for v in values]])
+    return dealt.groupBy(*by, "_w").applyInArrow(slots, out)
+
+
+def _running(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running sums from 0 of a column's finite values (in extended precision), of its known values' number, and of NaN, inf and -inf."""
+    x, known = pc.fill_null(column, 0.0).to_numpy(), pc.is_valid(column).to_numpy()
+    run = lambda a, kind: np.concatenate([np.zeros((1, *a.shape[1:]), kind), np.cumsum(a, axis=0, dtype=kind)])
+    odd = np.stack([np.isnan(x), x == np.inf, x == -np.inf], axis=1)
+    return run(np.where(np.isfinite(x), x, 0.0), np.longdouble), run(known, np.int64), run(odd, np.int64) if odd.any() else None
+
+
+def _between(run: tuple, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means between places of running sums, and where there is one."""
+    total, count, odd = run
+    number = count[hi] - count[lo]
+    mean = (total[hi] - total[lo]).astype(np.float64) / np.maximum(number, 1)
+    if odd is not None:
+        no, up, down = np.moveaxis(odd[hi] - odd[lo] > 0, -1, 0)
+        mean = np.where(up, np.inf, np.where(down, -np.inf, mean))
+        mean = np.where(no | (up & down), np.nan, mean)
+    return mean, number > 0
+
+
+def _filled(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with their gaps filled by straight lines, end values carried outwards; a row without values has none."""
+    n = x.shape[1]
+    i = np.arange(n)
+    a = np.maximum.accumulate(np.where(known, i, -1), axis=1)
+    b = np.minimum.accumulate(np.where(known, i, n)[:, ::-1], axis=1)[:, ::-1]
+    left, right = np.take_along_axis(x, np.maximum(a, 0), 1), np.take_along_axis(x, np.minimum(b, n - 1), 1)
+    line = left + (right - left) * (i - a) / np.maximum(b - a, 1)
+    return np.where(known, x, np.where(a < 0, right, np.where(b == n, left, line))), (a >= 0) | (b < n)
 
-    def mean(v: str) -> Column:
-        here, there = F.col(f"_{v}"), F.col(f"_n{v}")
-        gain = lambda part, total: there[part] - here[part] + F.when(same, F.lit(0)).otherwise(here[total])
-        return F.when(gain("c", "tc") > 0, gain("s", "ts") / gain("c", "tc")).alias(v)
 
-    return at.where(F.col("_j") < n).select("_key.*", F.col("_j").alias("slot"), *map(mean, values))
+def lookback_slots(scans: DataFrame, series: DataFrame, by: list[str], scan_ts: str, ts: str, values: list[str], n: int, hours: int, key: list[str]) -> DataFrame:
+    """key, slot 0..n-1, values: the means of each scan's series in n slots of ``hours``, the last of which starts at the scan.
+
+    Slots start at the scan's own origin and nothing after the scan counts, so
+    the last one holds rows of the scan's own time only.  A slot's mean is a
+    difference of running sums and counts at its two boundaries, so work grows
+    with rows and slots, not with their product.  Null keys and times match nothing.
+    """
+    return _lookback(scans, series, by, scan_ts, ts, values, n, hours, key).drop("_to")
 
 
 def wave_tensor(scans: DataFrame, waves: DataFrame, by: list[str], scan_ts: str, n: int, hours: int, key: list[str], ts: str = "ts") -> DataFrame:
@@ -183,16 +238,12 @@ def wave_tensor(scans: DataFrame, waves: DataFrame, by: list[str], scan_ts: str,
     angle = F.radians("dp")
     x = waves.select(*by, ts, "hs", "tp", w.power(F.col("hs"), F.col("tp")).alias("power"), F.sin(angle).alias("dp_sin"), F.cos(angle).alias("dp_cos"))
     values = ["hs", "tp", "power", "dp_sin", "dp_cos"]
-    slots = lookback_slots(scans, x, by, scan_ts, ts, values, n, hours, key)
-    for v in values:
-        slots = fill_linear(slots, key, "slot", v)
-    gap = F.greatest(*[F.col(v).isNull().cast("int") for v in values])
-    slots = slots.withColumn("_gap", F.max(gap).over(Window.partitionBy(*key)) == 1)
-    start = scans.select(*key, F.col(scan_ts).cast("timestamp").alias("_to"))
-    day = F.dayofyear(F.timestamp_micros(F.unix_micros("_to") - (F.lit(n - 1) - F.col("slot")) * F.lit(hours * 3_600_000_000)))
-    known = lambda c: F.when(F.col("_gap"), 0.0).otherwise(c)
+    slots = _lookback(scans, x, by, scan_ts, ts, values, n, hours, key, fill=True)
+    gap = F.greatest(*[F.col(v).isNull() for v in values])  # once filled, a measure is null in all slots or in none
+    day = F.dayofyear(F.timestamp_micros(F.col("_to") - (F.lit(n - 1) - F.col("slot")) * F.lit(hours * 3_600_000_000)))
+    known = lambda c: F.when(gap, 0.0).otherwise(c)
     dp = F.pmod(F.degrees(F.atan2("dp_sin", "dp_cos")), F.lit(360.0))
-    return slots.join(start, key).select(*key, "slot", known(F.col("hs")).alias("hs"), known(F.col("tp")).alias("tp"), known(dp).alias("dp"), known(F.col("power")).alias("power"), day.alias("doy"))
+    return slots.select(*key, "slot", known(F.col("hs")).alias("hs"), known(F.col("tp")).alias("tp"), known(dp).alias("dp"), known(F.col("power")).alias("power"), day.alias("doy"))
 
 
 def fill_linear(df: DataFrame, by: list[str], order: str, value: str, limit: int | None = None, extend: bool = True) -> DataFrame:
