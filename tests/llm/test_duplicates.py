@@ -137,6 +137,32 @@ def test_repeated_bytes_in_documents(documents, sample):
     assert substrings.remove_repeated(documents([])).count() == 0
 
 
+def test_kept_texts_and_removed_spans(documents):
+    texts = [*shared_passages(30), "é" + "0123456789" * 5, "©" + "0123456789" * 5]  # both letters end in one byte
+    rows = {r["doc_id"]: r for r in substrings.deduplicated(documents(texts), 40, 12).select("*", substrings.kept_text().alias("text")).collect()}
+    cut = 0
+    for i, (t, (n, gone, n_spans, _)) in enumerate(zip(texts, plain_removed(texts, 40))):
+        raw, spans = (t or "").encode(), [(x["s"], x["e"]) for x in rows[i]["spans"]]
+        assert (len(raw), sum(e - s for s, e in spans), len(spans)) == (n, gone, n_spans)
+        ends = [0, *(x for span in spans for x in span), n]
+        kept = b"".join(raw[s:e] for s, e in zip(ends[::2], ends[1::2]))
+        assert bytes(rows[i]["kept"]) == kept
+        assert rows[i]["text"] == kept.decode("utf-8", "replace")
+        cut += "\ufffd" in rows[i]["text"]
+    assert cut
+
+
+def test_query_gives_the_texts_that_remain(spark, tmp_path):
+    from tidemark.llm.queries import QUERIES
+
+    passage = " ".join(f"word{i} of the passage" for i in range(30))
+    texts = [f"First beginning. {passage} First end.", f"Second beginning. {passage} Second end.", "A clean text.", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op9_substrings"](spark, str(tmp_path)).collect()}
+    assert [got[i]["n_removed"] > 0 for i in range(4)] == [True, True, False, False]
+    assert [got[i]["text"] for i in range(4)] == ["FirstFirst end.", "SecondSecond end.", "A clean text.", ""]
+
+
 def test_deep_shallow_order():
     r = random.Random(7)
     for _ in range(60):
