@@ -107,3 +107,24 @@ def test_units_of_odd_texts_are_the_library(tokenizer):
     texts += ["x.\nAning it's Don't.\nIt'll a.\n\nb a. \nb", " .\na", "a.\nb c,\nd", "<|endoftext|> a"]
     for raw, e in zip(token_store.encode_texts(texts, tokenizer_path()), tokenizer.encode_batch(texts, add_special_tokens=False)):
         assert raw == array("I", e.ids).tobytes()
+
+
+def test_checksums_of_runs_join(monkeypatch):
+    r = random.Random(11)
+    runs = [[r.randbytes(r.choice([0, 1, 4, 1024, 5000, 70_000])) for _ in range(r.randint(1, 6))] for _ in range(60)]
+    parts = [p for run in runs for p in run]
+    starts = np.cumsum([0, *map(len, runs)])[:-1]
+    got = token_store.join_crcs(np.array([zlib.crc32(p) for p in parts]), np.array([len(p) for p in parts]), starts)
+    assert got.tolist() == [zlib.crc32(b"".join(run)) for run in runs]
+
+
+def test_full_memory_keeps_what_is_needed_now(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE_UNITS", 40)
+    token_store._library.cache_clear()
+    texts = [" ".join(["a", *(f"often{chr(97 + i)}" for i in range(10)), *(f"once{chr(97 + k)}{chr(97 + i)}" for i in range(12))]) for k in range(8)]
+    seen, word = [], token_store.array
+    monkeypatch.setattr(token_store, "array", lambda kind, ids: seen.append(tuple(ids)) or word(kind, ids))
+    for t in texts:
+        assert np.frombuffer(token_store.encode_texts([t], tokenizer_path())[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    token_store._library.cache_clear()
+    assert seen.count(tuple(tokenizer.encode(" oftena", add_special_tokens=False).ids)) == 1

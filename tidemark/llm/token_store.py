@@ -25,6 +25,7 @@ import zlib
 from array import array
 from functools import lru_cache
 from hashlib import sha256
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -62,12 +63,14 @@ def _fill(tokenizer, known: dict, needed: set[str], lead: str, limit: int) -> No
 
     A word is one pre-token, so the library's model takes it as it is, in the
     byte alphabet, without its normalised strings and offsets; units of another
-    form go through the whole tokenizer.
+    form go through the whole tokenizer.  When ``known`` is full, only those of its
+    units that are needed now stay.
     """
     new = needed.difference(known)
     if len(known) + len(new) > limit:
+        again = {u: known[u] for u in needed.difference(new)}
         known.clear()
-        new = needed
+        known.update(again)
     tokenize, space = tokenizer.model.tokenize, lead and _BYTE_CHARS[ord(lead)]
 
     def word(w: str, before: str) -> bytes:
@@ -79,6 +82,10 @@ def _fill(tokenizer, known: dict, needed: set[str], lead: str, limit: int) -> No
 
     marks, bare, other = UnitCache(plain, limit), UnitCache(lambda w: word(w, ""), limit), []
     for unit in new:
+        if unit.isalpha() and unit.isascii():  # most are a plain word
+            if unit not in known:
+                known[unit] = word(unit, space)
+            continue
         parts = _PARTS(unit)
         if parts is None:
             other.append(unit)
@@ -269,23 +276,36 @@ def _crc_table() -> list[list[int]]:
     return rows
 
 
-_SHIFTS = _crc_table()
+def _byte_tables() -> np.ndarray:
+    """At k, byte, value: what 2**k zero bytes after it do to a crc that holds this byte alone."""
+    rows, values = np.array(_crc_table(), np.uint32), np.arange(256)
+    out = np.zeros((len(rows), 4, 256), np.uint32)
+    for bit in range(32):
+        out[:, bit // 8, values >> bit % 8 & 1 == 1] ^= rows[:, bit, None]
+    return out
+
+
+_SHIFTS = _byte_tables()
 
 
-@lru_cache(maxsize=8192)
-def _zeros(length: int) -> tuple[int, ...]:
-    """What so many zero bytes after it do to each bit of a crc; chunks have few different lengths."""
-    matrix, k = [1 << i for i in range(32)], 0
-    while length >> k:
-        if length >> k & 1:
-            matrix = [_times(_SHIFTS[k], column) for column in matrix]
-        k += 1
-    return tuple(matrix)
+def join_crcs(crcs: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """crc32 of each run of parts (from one of ``starts`` to the next) from those of its parts and their numbers of bytes.
+
+    A part's crc counts as if so many zero bytes came after it as the run still has.
+    """
+    run = np.cumsum(lengths)
+    after = np.repeat(run[np.append(starts[1:], len(run)) - 1], np.diff(np.append(starts, len(run)))) - run
+    crcs = crcs.astype(np.uint32)
+    for k in range(int(after.max(initial=0)).bit_length()):
+        at = np.flatnonzero(after >> k & 1)
+        x, table = crcs[at], _SHIFTS[k]
+        crcs[at] = table[0, x & 255] ^ table[1, x >> 8 & 255] ^ table[2, x >> 16 & 255] ^ table[3, x >> 24]
+    return np.bitwise_xor.reduceat(crcs, starts)
 
 
 def crc_join(first: int, second: int, length: int) -> int:
     """crc32 of a + b from crc32(a), crc32(b) and the number of bytes of b."""
-    return _times(_zeros(length), first) ^ second
+    return int(join_crcs(np.array([first, second]), np.array([0, length]), np.array([0]))[0])
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
@@ -314,18 +334,23 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 
     def whole(batches):
         for b in batches:
-            rows = []
-            for doc_id, start, n_tokens, root, parts in zip(b["doc_id"], b["start"], b["n_tokens"], b["root"], b["parts"]):
-                parts = sorted((p["seq"], p["address"], p["n_ids"], p["crc"]) for p in parts)
-                crc = 0
-                for _, address, n_ids, c in parts:
-                    if c is None:
+            if not len(b):
+                continue
+            starts, crcs, lengths = [], [], []
+            for doc_id, n_tokens, root, parts in zip(b["doc_id"], b["n_tokens"], b["root"], b["parts"]):
+                parts = sorted(((p["seq"], p["address"], p["n_ids"], p["crc"]) for p in parts), key=itemgetter(0))
+                starts.append(len(crcs))
+                for _, address, n_ids, crc in parts:
+                    if crc is None:
                         raise ValueError(f"chunk {address.hex()} is missing")
-                    crc = crc_join(crc, int(c), 4 * int(n_ids))
-                if merkle_root([bytes(p[1]) for p in parts]) != root or sum(p[2] for p in parts) != n_tokens:
+                    crcs.append(crc)
+                    lengths.append(4 * n_ids)
+                if merkle_root([p[1] for p in parts]) != root or sum(p[2] for p in parts) != n_tokens:
                     raise ValueError(f"document {doc_id} doesn't match its recipe")
-                rows.append((doc_id, start, n_tokens, crc, root.hex()))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "root"]).astype({"doc_id": "Int64"})
+            out = b[["doc_id", "start", "n_tokens"]].astype({"doc_id": "Int64"})
+            out["ids_crc32"] = join_crcs(np.array(crcs), np.array(lengths, np.int64), np.array(starts)).astype(np.int64)
+            out["root"] = [r.hex() for r in b["root"]]
+            yield out
 
     return (
         found.groupBy("doc_id", "start", "n_tokens", "root")
