@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import geometry, labels
 from tidemark.operators import cube, joins, profile, samples, stats
 from tidemark.plans import carriers
+from tidemark.plans.registry import QUERIES
 
 
 def test_beach_boundaries(spark):
@@ -27,6 +28,30 @@ def test_band_join_against_all_pairs(spark):
     assert got == sorted((i, k) for i, v in enumerate(pts) for k, a, b in rng if a <= v <= b)
 
 
+def test_overlapping_pairs_against_all_pairs(spark):
+    """Ties, single places, equal keys, long intervals, nulls; the width of a cell changes nothing."""
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 150)), int(rng.integers(0, 3)), lo, lo + int(rng.choice([0, 1, 7, 8, 9, 40]))) for lo in map(int, rng.integers(-30, 60, 160))]
+    odd = [(None, 0, 0, 9), (900, None, 0, 9), (901, 0, None, 9), (902, 0, 0, None)]
+    want = sorted((p[0], q[0], p[1]) for p in rows for q in rows if p[1] == q[1] and p[0] < q[0] and p[2] <= q[3] and q[2] <= p[3])
+    t = spark.createDataFrame(rows + odd, "i int, g int, lo int, hi int")
+    for width in (1, 8, 90):
+        assert sorted(map(tuple, joins.overlapping_pairs(t, "i", "lo", "hi", width, ["g"]).collect())) == want, width
+    named = [t.select(F.col("i").alias(n), F.col("g").alias(f"g{n}"), F.col("lo").alias(f"lo{n}"), F.col("hi").alias(f"hi{n}")).dropna() for n in "ab"]
+    assert sorted(map(tuple, joins.interval_overlap(*named, "loa", "hia", "lob", "hib", 8, [("ga", "gb")]).where("a < b").select("a", "b", "ga").collect())) == want
+
+
+def test_overlapping_slumps_of_a_dense_transect_take_little_disk(spark, tmp_path):
+    """All pairs are listed, and their files take under a byte a pair."""
+    at = F.timestamp_seconds(F.lit(800_000_000) + F.floor(F.rand(3) * 100) * 86400)
+    spark.range(1, 6001).select(F.col("id").alias("o_orderkey"), F.lit(50).cast("long").alias("o_custkey"), at.alias("o_orderdate"), F.lit(9.5).alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1, 6001).select(F.col("id").alias("l_orderkey"), at.alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    QUERIES["event_overlap"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    n = QUERIES["event_overlap_counts"](spark, str(tmp_path)).agg({"n": "sum"}).first()[0] // 2
+    assert spark.read.parquet(f"{tmp_path}/out").count() == n > 10_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < n
+
+
 def test_asof_ties(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 5)], "k string, t int")
     right = spark.createDataFrame([("a", 5, 50), ("a", 3, 30), ("a", 7, 70)], "k string, u int, v int")
