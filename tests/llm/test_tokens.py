@@ -10,6 +10,7 @@ import numpy as np
 from tidemark.llm import bpe, token_store
 from tidemark.llm.common import scratch_path
 from tidemark.llm.queries import tokenizer_path
+from tidemark.llm.units import distinct_pieces, split_units
 
 SPACES = " \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2009\u3000\u200b\u180e abcé'sll1²½٣٤中文🎉$!.́\ufeff\x00"
 
@@ -128,3 +129,27 @@ def test_full_memory_keeps_what_is_needed_now(tokenizer, monkeypatch):
         assert np.frombuffer(token_store.encode_texts([t], tokenizer_path())[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
     token_store._library.cache_clear()
     assert seen.count(tuple(tokenizer.encode(" oftena", add_special_tokens=False).ids)) == 1
+
+
+def test_a_call_looks_up_each_word_once(tokenizer, monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, unit):
+            Counted.asked += 1
+            return super().__getitem__(unit)
+
+    texts = ["The tide, rose and the tide. fell " * 300 + "ende", "Ebb\n and  flow", "", "tide, tide,\ntide ñu, x1"]
+    monkeypatch.setattr(token_store, "_library", lambda path: (tokenizer, Counted(), Counted(), ["<|endoftext|>"]))
+    for raw, e in zip(token_store.encode_texts(texts, tokenizer_path()), tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(raw, "<u4").tolist() == e.ids
+    assert 0 < Counted.asked < 100  # of 2100 units
+
+
+def test_pieces_are_those_of_split_units():
+    r = random.Random(4)
+    texts = ["".join(r.choice(["a", "bc", " ", " ", "  ", "\n", ".", "\t", "é"]) for _ in range(r.randrange(12))) for _ in range(500)] + ["", " "]
+    pieces, codes, starts, ends = distinct_pieces(texts)
+    names = pieces.to_pylist()
+    assert len(set(names)) == len(names)
+    assert [[names[c] for c in codes[a:b]] for a, b in zip(starts, ends)] == [split_units(t) for t in texts]

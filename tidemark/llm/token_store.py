@@ -29,12 +29,13 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
 from .common import text_or_empty
-from .units import UnitCache, split_units
+from .units import UnitCache, distinct_pieces
 
 END_ID = 0
 #: Chunks hold at least MIN_IDS ids (but for a document's last) and at most MAX_IDS, about MEAN_IDS beyond the least.
@@ -42,7 +43,7 @@ MIN_IDS, MEAN_IDS, MAX_IDS = 256, 1024, 8192
 _WINDOW = 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct units whose ids one Python worker remembers, and characters encoded at a time.
-CACHE_UNITS, SLICE_CHARS = 1_000_000, 4_000_000
+CACHE_UNITS, SLICE_CHARS = 1_000_000, 12_000_000
 
 #: A word, the marks after it, and the first word of the next line: each is a pre-token.
 _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)(?:([!-&(-/:-@\[-`{-~]+)(?:\n([A-Za-zÀ-ÖØ-öø-ɏ]+))?)?").fullmatch
@@ -58,19 +59,22 @@ def _library(path: str):
     return tokenizer, {}, {}, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
-def _fill(tokenizer, known: dict, needed: set[str], lead: str, limit: int) -> None:
-    """Add the ids of the needed units.
+def _encoded(tokenizer, known: dict, units: list[str], lead: str, limit: int) -> list[bytes]:
+    """The ids of each of some different units.
 
     A word is one pre-token, so the library's model takes it as it is, in the
     byte alphabet, without its normalised strings and offsets; units of another
-    form go through the whole tokenizer.  When ``known`` is full, only those of its
-    units that are needed now stay.
+    form go through the whole tokenizer.  ``known`` remembers words without the
+    marks after them, and units of another form; when it is full, only those
+    that are needed now stay.
     """
-    new = needed.difference(known)
-    if len(known) + len(new) > limit:
-        again = {u: known[u] for u in needed.difference(new)}
+    parts = [(u, "", "") if u.isalpha() and u.isascii() else (m.groups("") if (m := _PARTS(u)) else None) for u in units]  # most are a plain word
+    words, other = {p[0] for p in parts if p}, [u for u, p in zip(units, parts) if p is None]
+    new_words, new_other = words.difference(known), [u for u in other if u not in known]
+    if len(known) + len(new_words) + len(new_other) > limit:
+        kept = {u: known[u] for u in (*words.difference(new_words), *set(other).difference(new_other))}
         known.clear()
-        known.update(again)
+        known.update(kept)
     tokenize, space = tokenizer.model.tokenize, lead and _BYTE_CHARS[ord(lead)]
 
     def word(w: str, before: str) -> bytes:
@@ -80,41 +84,50 @@ def _fill(tokenizer, known: dict, needed: set[str], lead: str, limit: int) -> No
     def plain(text: str) -> bytes:
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    marks, bare, other = UnitCache(plain, limit), UnitCache(lambda w: word(w, ""), limit), []
-    for unit in new:
-        if unit.isalpha() and unit.isascii():  # most are a plain word
-            if unit not in known:
-                known[unit] = word(unit, space)
-            continue
-        parts = _PARTS(unit)
-        if parts is None:
-            other.append(unit)
-            continue
-        stem, tail, after = parts.groups()
-        ids = known.get(stem)
-        if ids is None:
-            ids = known[stem] = word(stem, space)
-        if after:
-            known[unit] = ids + marks[tail + "\n"] + bare[after]
-        elif tail:
-            known[unit] = ids + marks[tail]
-    for unit, e in zip(other, tokenizer.encode_batch_fast([lead + u for u in other], add_special_tokens=False)):
-        known[unit] = array("I", e.ids).tobytes()
+    marks, bare = UnitCache(plain, limit), UnitCache(lambda w: word(w, ""), limit)
+    for w in new_words:
+        known[w] = word(w, space)
+    for u, e in zip(new_other, tokenizer.encode_batch_fast([lead + u for u in new_other], add_special_tokens=False)):
+        known[u] = array("I", e.ids).tobytes()
+
+    def whole(u: str, p: tuple[str, str, str] | None) -> bytes:
+        if p is None or not p[1]:
+            return known[u]
+        return known[p[0]] + marks[p[1] + "\n"] + bare[p[2]] if p[2] else known[p[0]] + marks[p[1]]
+
+    return [whole(u, p) for u, p in zip(units, parts)]
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each whole text as little-endian 32-bit integers, by the tokenizers library.
 
-    The library encodes every distinct unit (see ``units``) once per worker;
+    The library encodes every distinct unit (see ``units``) once per worker, and a
+    call looks each up once; arrays of places put their ids in the texts' order;
     texts that hold an added token's string go through it as a whole.
     """
+    if not texts:
+        return []
     tokenizer, first, later, added = _library(path)
     whole = {i for i, t in enumerate(texts) if any(a in t for a in added)}
-    pieces = [[""] if i in whole else split_units(t) for i, t in enumerate(texts)]
-    heads = [p.pop(0) for p in pieces]
-    _fill(tokenizer, first, set(heads), "", CACHE_UNITS // 4)
-    _fill(tokenizer, later, set().union(*pieces), " ", CACHE_UNITS)
-    out = [first[h] + b"".join(map(later.__getitem__, p)) for h, p in zip(heads, pieces)]
+    pieces, codes, starts, ends = distinct_pieces(["" if i in whole else t for i, t in enumerate(texts)])
+    heads, head = np.unique(codes[starts], return_inverse=True)
+    further = np.ones(len(codes), bool)
+    further[starts] = False
+    rest = np.flatnonzero(np.bincount(codes[further], minlength=len(pieces)))
+    strings = lambda places: pieces.take(pa.array(places)).to_numpy(zero_copy_only=False).tolist()
+    known = _encoded(tokenizer, first, strings(heads), "", CACHE_UNITS // 4) + _encoded(tokenizer, later, strings(rest), " ", CACHE_UNITS)
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    place = np.zeros(len(pieces), np.int64)
+    place[rest] = np.arange(len(heads), len(known))
+    unit = place[codes]
+    unit[starts] = head
+    n = sizes[unit]
+    stop = np.cumsum(n)
+    at = stop - n
+    source = np.repeat((np.cumsum(sizes) - sizes)[unit] - at, n)
+    source += np.arange(len(source))
+    ids = np.frombuffer(b"".join(known), "<u4")[source]
+    out = [ids[a:b].tobytes() for a, b in zip(at[starts], stop[ends - 1])]
     for i in whole:
         out[i] = array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
     return out
